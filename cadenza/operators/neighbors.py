@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.similarity import (
     PART_RATERS,
-    both_ways,
     cosine,
-    overlap_pairs,
+    partner_dots,
     popular_items,
     similarity_of,
     with_cosine,
@@ -29,14 +28,20 @@ BLOCK_ROWS = 2048
 SLACK = 1e-9
 
 
+def _first(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc("cos"), "other_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """First k rows (user_id, rank, other_id, cos) per user of directed pairs.
 
-    Spark limits each map task to k rows per user before it shuffles by user.
+    Pairs with a ``part`` are cut to k per part where they lie, before the parts of a user are
+    brought together.
     """
-    order = Window.partitionBy("user_id").orderBy(F.desc("cos"), "other_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("user_id", "rank", "other_id", "cos")
+    if "part" in pairs.columns:
+        pairs = _first(pairs, ["user_id", "part"], k).drop("part", "rank")
+    return _first(pairs, ["user_id"], k).select("user_id", "rank", "other_id", "cos")
 
 
 def top_neighbors(
@@ -61,7 +66,7 @@ def top_neighbors(
         return fill_up(found, users.where(F.col("user_id").isin(user_ids)), users, k)
     hot = popular_items(ratings, hot_raters).orderBy(F.desc("raters"), "item_id").limit(max_hot)
     if hot.isEmpty():
-        found = nearest(both_ways(with_cosine(overlap_pairs(with_norms(ratings)))), k)
+        found = nearest(with_cosine(partner_dots(with_norms(ratings)), "part"), k)
     else:
         found = _with_hot_items(ratings, cut(hot.select("item_id"), "hot-items"), k, block_rows)
     return fill_up(found, users, users, k)
@@ -115,34 +120,22 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
     a row's length that lies in hot items (Cauchy-Schwarz).
 
     1. Pairs sharing a plain item: keep those whose upper bound reaches the k-th best lower
-       bound of either user, add their exact hot part.
+       bound of the user, add their exact hot part.
     2. Pairs sharing hot items only have cosine <= h(u): needed only for users whose k-th best
        cosine so far does not exceed h(u), see ``_hot_rows_nearest``.
     """
     marked = ratings.join(hot.withColumn("is_hot", F.lit(True)), "item_id", "left")
     marked = marked.withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    square = F.col("w") * F.col("w")
-    lengths = marked.groupBy("user_id").agg(
-        F.sum(square).alias("n"), F.sum(F.when(F.col("is_hot"), square).otherwise(0)).alias("hot_n")
-    )
-    rated = cut(marked.join(lengths, "user_id"), "marked-ratings")
-    plain = rated.where(~F.col("is_hot"))
+    hot_n = F.sum(F.when(F.col("is_hot"), F.col("w") * F.col("w")).otherwise(0)).alias("hot_n")
+    rated = cut(with_norms(marked, hot_n), "marked-ratings")
     hot_part = rated.where("is_hot")
 
-    pairs = cut(overlap_pairs(plain, extra=("hot_n",), part_raters=PART_RATERS), "plain-pairs")
-    floors = cut(_kth(nearest(both_ways(with_cosine(pairs)), k), k), "floors")
-    reach = (
-        (F.col("dot") + F.sqrt(F.col("hot_n").cast("double") * F.col("hot_n_other")))
-        / F.sqrt(F.col("n").cast("double") * F.col("n_other"))
-        * (1 + SLACK)
-    )
-    live = (
-        pairs.join(floors, "user_id")
-        .join(floors.select(F.col("user_id").alias("other_id"), F.col("floor").alias("floor_other")), "other_id")
-        .where(reach >= F.least("floor", "floor_other"))
-        .select("user_id", "other_id", "dot", "n", "n_other", (F.col("hot_n") * F.col("hot_n_other") > 0).alias("add"))
-    )
-    live = cut(live, "live-pairs")
+    pairs = cut(partner_dots(rated.where(~F.col("is_hot")), extra=("hot_n",)), "plain-pairs")
+    floors = _kth(nearest(with_cosine(pairs, "part"), k), k)
+    hot_both = F.col("hot_n").cast("double") * F.col("hot_n_other")
+    reach = cosine(F.col("dot") + F.sqrt(hot_both), F.col("n"), F.col("n_other")) * (1 + SLACK)
+    live = pairs.join(floors, "user_id").where(reach >= F.col("floor"))
+    live = cut(live.select("user_id", "other_id", "dot", "n", "n_other", (hot_both > 0).alias("add")), "live-pairs")
     added = (
         live.where("add")
         .select("user_id", "other_id")
@@ -157,7 +150,7 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
     exact = live.join(added, ["user_id", "other_id"], "left").withColumn(
         "dot", F.col("dot") + F.coalesce("hot_dot", F.lit(0))
     )
-    first = cut(nearest(both_ways(with_cosine(exact)), k), "nearest-by-plain")
+    first = cut(nearest(with_cosine(exact), k), "nearest-by-plain")
 
     hot_users = lengths_of_hot(hot_part)
     open_users = (

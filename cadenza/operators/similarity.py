@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # An item with more raters than this is split over several join keys.
 PART_RATERS = 1000
+# A user with more items than this is split over several partitions of partners.
+PART_ITEMS = 5000
 
 
 def user_norms(ratings: DataFrame) -> DataFrame:
@@ -14,12 +16,17 @@ def user_norms(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
 
 
-def with_norms(ratings: DataFrame) -> DataFrame:
-    """Ratings plus the squared length ``n`` of their user's row.
+def with_norms(ratings: DataFrame, *more: Column) -> DataFrame:
+    """Ratings plus per-user columns: the squared length ``n`` of the user's row, ``parts`` to
+    split the user's partners into, and any further aggregates given.
 
     Joined here, on one row per rating, because the pairs made later are many times more.
     """
-    return ratings.join(user_norms(ratings), "user_id")
+    parts = F.ceil(F.count("*") / PART_ITEMS).cast("int")
+    per_user = ratings.groupBy("user_id").agg(
+        F.sum(F.col("w") * F.col("w")).alias("n"), parts.alias("parts"), *more
+    )
+    return ratings.join(per_user, "user_id")
 
 
 def cosine(dot: Column, n: Column, n_other: Column) -> Column:
@@ -35,48 +42,64 @@ def popular_items(ratings: DataFrame, raters: int) -> DataFrame:
 
 
 def _split_popular(rated: DataFrame, part_raters: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of the item self-join, popular items split into parts.
+    """Both sides of the item self-join, popular items split into pieces.
 
-    The left raters of a popular item are dealt out to parts by hash and the right raters are
-    copied to each part, so that no join key holds more than ``part_raters`` left rows.
+    The left raters of a popular item are dealt out to pieces by hash and the right raters are
+    copied to each piece, so that no join key holds more than ``part_raters`` left rows.
     """
     popular = popular_items(rated, part_raters)
     if popular.isEmpty():
         return rated, rated, ["item_id"]
-    parts = popular.select("item_id", F.ceil(F.col("raters") / part_raters).cast("int").alias("parts"))
-    sized = rated.join(parts, "item_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = sized.withColumn("part", F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int"))
-    right = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return left, right, ["item_id", "part"]
-
+    pieces = popular.select("item_id", F.ceil(F.col("raters") / part_raters).cast("int").alias("pieces"))
+    sized = rated.join(pieces, "item_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    left = sized.withColumn("piece", F.pmod(F.xxhash64("user_id"), F.col("pieces")).cast("int"))
+    right = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return left, right, ["item_id", "piece"]
 
-def overlap_pairs(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int = PART_RATERS) -> DataFrame:
-    """Dot product of every two users that share an item, each pair once (user_id < other_id).
 
-    ``rated`` has user_id, item_id, w, n. Per-user columns named in ``extra`` are carried along
-    as ``<name>`` and ``<name>_other``.
-    """
-    carried = ("n", *extra)
+def _shared(rated: DataFrame, carried: tuple[str, ...], part_raters: int) -> DataFrame:
+    """One row per item shared by two users: both weights and the carried columns of both."""
     left, right, keys = _split_popular(rated, part_raters)
-    a = left.select(*keys, "user_id", "w", *carried)
+    a = left.select(*keys, "user_id", "w", "parts", *carried)
     b = right.select(
         *keys,
         F.col("user_id").alias("other_id"),
         F.col("w").alias("w_other"),
         *[F.col(c).alias(f"{c}_other") for c in carried],
     )
-    per_user = [F.max(c).alias(c) for c in carried] + [F.max(f"{c}_other").alias(f"{c}_other") for c in carried]
-    return (
-        a.join(b, keys)
-        .where("user_id < other_id")
-        .groupBy("user_id", "other_id")
-        .agg(F.sum(F.col("w") * F.col("w_other")).alias("dot"), *per_user)
-    )
+    return a.join(b, keys)
+
+
+def _dots(carried: tuple[str, ...]) -> list[Column]:
+    both = [n for c in carried for n in (c, f"{c}_other")]
+    return [F.sum(F.col("w") * F.col("w_other")).alias("dot"), *[F.max(c).alias(c) for c in both]]
+
+
+def overlap_pairs(rated: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
+    """Dot product and lengths of every two users that share an item, each pair once
+    (user_id < other_id). ``rated`` comes from ``with_norms``."""
+    shared = _shared(rated, ("n",), part_raters).where("user_id < other_id")
+    return shared.groupBy("user_id", "other_id").agg(*_dots(("n",)))
+
+
+def partner_dots(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int = PART_RATERS) -> DataFrame:
+    """As ``overlap_pairs`` in both directions, laid out for ranking each user's partners.
+
+    One shuffle, by user, serves both the sums per pair and the ranking per user. A user with
+    very many items is split into parts by partner, so no task gets all partners of such a user.
+    Per-user columns named in ``extra`` are carried as ``<name>`` and ``<name>_other``.
+    """
+    carried = ("n", *extra)
+    shared = _shared(rated, carried, part_raters).where("user_id <> other_id")
+    shared = shared.withColumn("part", F.pmod(F.xxhash64("other_id"), F.col("parts")).cast("int"))
+    columns = [n for c in carried for n in (c, f"{c}_other")]
+    placed = shared.select("user_id", "part", "other_id", "w", "w_other", *columns).repartition("user_id", "part")
+    return placed.groupBy("user_id", "part", "other_id").agg(*_dots(carried))
 
 
-def with_cosine(pairs: DataFrame) -> DataFrame:
+def with_cosine(pairs: DataFrame, *keep: str) -> DataFrame:
     """(user_id, other_id, cos) of pairs carrying dot, n and n_other."""
-    return pairs.select("user_id", "other_id", cosine(F.col("dot"), F.col("n"), F.col("n_other")).alias("cos"))
+    return pairs.select("user_id", *keep, "other_id", cosine(F.col("dot"), F.col("n"), F.col("n_other")).alias("cos"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -93,7 +116,7 @@ def similarity(ratings: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
     Its size is that of the answer itself: two users that share any item have a cell. To get
     only the nearest users, ``neighbors.top_neighbors`` does not go through this matrix.
     """
-    return both_ways(with_cosine(overlap_pairs(with_norms(ratings), part_raters=part_raters)))
+    return both_ways(with_cosine(overlap_pairs(with_norms(ratings), part_raters)))
 
 
 def similarity_of(ratings: DataFrame, user_ids: list) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.listing import unknown_ids
 from cadenza.operators.neighbors import top_neighbors
 from cadenza.operators.ratings import LIKE_TENTHS, binary_ratings, combined_ratings, play_ratings
-from cadenza.operators.recommend import page_bounds, recommend, recommend_from_catalog
+from cadenza.operators.recommend import fill_page, page_bounds, recommend
 from cadenza.plans.materialize import cut
 
 # Neighbours per user, page size, and items of the unpaged lists.
@@ -36,57 +36,66 @@ def _require_users(user_ids: list | None, users: DataFrame) -> None:
         raise ValueError(f"unknown user: {', '.join(map(str, sorted(missing)))}")
 
 
-def _run(ratings, users, scale, first, last, user_ids=None, items=None) -> DataFrame:
+def _run(ratings, users, items, scale, first, last, user_ids=None) -> DataFrame:
     """Both steps over written tables; ``scale`` turns weights into scores."""
     _require_users(user_ids, users)
     near = cut(top_neighbors(ratings, users, NEIGHBORS, user_ids), "neighbors")
-    if items is not None and user_ids is not None:
-        out = recommend_from_catalog(near, ratings, user_ids, items, first, last)
-    else:
-        out = recommend(near, ratings, first, last, user_ids)
+    head = cut(recommend(near, ratings, 1, last, user_ids), "scored")
+    wanted = users if user_ids is None else users.where(F.col("user_id").isin(user_ids))
+    out = fill_page(head, ratings, wanted, items, first, last)
     return out.select("user_id", "rank", "item_id", (F.col("w") / scale).alias("score"))
 
 
+def item_ids(df: DataFrame) -> DataFrame:
+    """(item_id) of a song or artist table."""
+    return df.select(F.col("id").alias("item_id"))
+
+
 def recommend_songs(
-    like: DataFrame, play: DataFrame, user: DataFrame, song: DataFrame | None = None,
+    like: DataFrame, play: DataFrame, user: DataFrame, song: DataFrame,
     page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | None = None,
 ) -> DataFrame:
     """One page of songs per user from likes and plays: (user_id, rank, item_id, score).
 
-    For given users the songs nobody near them touched follow with score 0 when ``song`` is
-    given. For all users that tail would be users x songs cells, so only scored songs come out.
+    All songs the user has not touched are candidates: after those that neighbours touched come
+    the others with score 0, so every page is full as long as the catalogue lasts.
     """
     ratings = cut(combined_ratings(like, play), "ratings")
-    items = None if song is None else song.select(F.col("id").alias("item_id"))
-    return _run(ratings, universe(user), float(LIKE_TENTHS), *page_bounds(page, page_size), user_ids, items)
+    return _run(ratings, universe(user), item_ids(song), float(LIKE_TENTHS), *page_bounds(page, page_size), user_ids)
 
 
 def recommend_artists(
-    follow: DataFrame, user: DataFrame, artist: DataFrame | None = None,
+    follow: DataFrame, user: DataFrame, artist: DataFrame,
     page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | None = None,
 ) -> DataFrame:
     """One page of artists per user from follows: (user_id, rank, item_id, score)."""
     ratings = cut(binary_ratings(follow, "artistId"), "follows")
-    items = None if artist is None else artist.select(F.col("id").alias("item_id"))
-    return _run(ratings, universe(user), 1.0, *page_bounds(page, page_size), user_ids, items)
+    return _run(ratings, universe(user), item_ids(artist), 1.0, *page_bounds(page, page_size), user_ids)
 
 
 def recommend_from_likes(like: DataFrame, user_ids: list | None = None) -> DataFrame:
-    """First songs from likes alone, among the users that liked anything."""
+    """First songs from likes alone, among the users and songs with any like."""
     ratings = cut(binary_ratings(like, "songId"), "likes")
-    return _run(ratings, raters(ratings), 1.0, 1, FIRST_ITEMS, user_ids)
+    return _run(ratings, raters(ratings), rated_items(ratings), 1.0, 1, FIRST_ITEMS, user_ids)
 
 
 def recommend_from_plays(play: DataFrame, user_ids: list | None = None) -> DataFrame:
-    """First songs from play counts alone, among the users that played anything."""
+    """First songs from play counts alone, among the users and songs with any play."""
     ratings = cut(play_ratings(play), "plays")
-    return _run(ratings, raters(ratings), 1.0, 1, FIRST_ITEMS, user_ids)
+    return _run(ratings, raters(ratings), rated_items(ratings), 1.0, 1, FIRST_ITEMS, user_ids)
+
+
+def rated_items(ratings: DataFrame) -> DataFrame:
+    """(item_id) of the items that anybody rated."""
+    return ratings.select("item_id").distinct()
 
 
 def _lists(ratings: DataFrame, near_name: str, item_name: str) -> DataFrame:
     """Per rater the ids of neighbours and of recommended items, best first."""
-    near = cut(top_neighbors(ratings, raters(ratings), NEIGHBORS), "neighbors")
-    items = recommend(near, ratings, 1, FIRST_ITEMS)
+    users = raters(ratings)
+    near = cut(top_neighbors(ratings, users, NEIGHBORS), "neighbors")
+    head = cut(recommend(near, ratings, 1, FIRST_ITEMS), "scored")
+    items = fill_page(head, ratings, users, rated_items(ratings), 1, FIRST_ITEMS)
     in_order = lambda c: F.transform(
         F.sort_array(F.collect_list(F.struct("rank", c))), lambda x: x[c]
     )

@@ -224,17 +224,17 @@ def neighbors_follow_hot(t):
 
 @query
 def recommend_songs(t):
-    return recommenders.recommend_songs(t.like, t.play, t.user)
+    return recommenders.recommend_songs(t.like, t.play, t.user, t.song)
 
 
 @query
 def recommend_songs_page2(t):
-    return recommenders.recommend_songs(t.like, t.play, t.user, page=2)
+    return recommenders.recommend_songs(t.like, t.play, t.user, t.song, page=2)
 
 
 @query
 def recommend_artists(t):
-    return recommenders.recommend_artists(t.follow, t.user)
+    return recommenders.recommend_artists(t.follow, t.user, t.artist)
 
 
 @query
@@ -310,7 +310,7 @@ def artist_cards(t):
 @query
 def recommended_song_cards(t):
     """The first page of songs of every user with the cards of the songs."""
-    top = cut(recommenders.recommend_songs(t.like, t.play, t.user), "recommended")
+    top = cut(recommenders.recommend_songs(t.like, t.play, t.user, t.song), "recommended")
     cards = catalog.song_cards(t, MEDIA, ids=top.select("item_id"))
     cards = cards.select("id", "title", "duration", F.size("album").alias("albums"), F.size("artists").alias("artists"))
     return catalog.ranked_cards(top, cards)
@@ -319,7 +319,7 @@ def recommended_song_cards(t):
 @query
 def recommended_artist_cards(t):
     """The first page of artists of every user with the cards of the artists."""
-    top = cut(recommenders.recommend_artists(t.follow, t.user), "recommended")
+    top = cut(recommenders.recommend_artists(t.follow, t.user, t.artist), "recommended")
     cards = catalog.artist_cards(t, MEDIA, ids=top.select("item_id"))
     genres = joined("genres", lambda g: F.concat_ws("=", g["genreId"], g["name"]))
     return catalog.ranked_cards(top, cards.select("id", "name", "avatar", genres.alias("genres")))

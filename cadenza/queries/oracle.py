@@ -50,11 +50,26 @@ near AS (SELECT user_id, rank, other_id, cos FROM
          WHERE rank <= {k})"""
 
 
+# Every item is a candidate: those no neighbour touched have weight 0. They can be on the first
+# two pages only of users with fewer than 20 others.
 RECOMMENDED = """
 scored AS (SELECT n.user_id, r.item_id, CAST(sum(r.w) AS BIGINT) AS w
            FROM near n JOIN r ON r.user_id = n.other_id GROUP BY 1, 2),
+unseen AS (SELECT user_id, item_id, w FROM scored s
+           WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = s.user_id AND r.item_id = s.item_id)),
+lacking AS (SELECT u.user_id FROM u LEFT JOIN unseen USING (user_id) GROUP BY 1 HAVING count(item_id) < 20),
+tail AS (SELECT l.user_id, i.item_id, CAST(0 AS BIGINT) AS w FROM lacking l, i
+         WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.user_id = l.user_id AND s.item_id = i.item_id)
+           AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = l.user_id AND r.item_id = i.item_id)),
 rec AS (SELECT user_id, item_id, w, CAST(row_number() OVER (PARTITION BY user_id ORDER BY w DESC, item_id) AS INTEGER) AS rank
-        FROM scored s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = s.user_id AND r.item_id = s.item_id))"""
+        FROM (SELECT * FROM unseen UNION ALL SELECT * FROM tail))"""
+
+ITEMS = {
+    "likes": "i AS (SELECT DISTINCT item_id FROM r)",
+    "plays": "i AS (SELECT DISTINCT item_id FROM r)",
+    "combined": "i AS (SELECT p_partkey AS item_id FROM part)",
+    "follow": "i AS (SELECT s_suppkey AS item_id FROM supplier)",
+}
 
 
 def _with(*parts: str) -> str:
@@ -66,7 +81,7 @@ def _near(kind: str, users: str, k: int = 5) -> str:
 
 
 def _rec(kind: str, users: str) -> str:
-    return _near(kind, users) + "," + RECOMMENDED
+    return _near(kind, users) + ",\n" + ITEMS[kind] + "," + RECOMMENDED
 
 
 def _page(kind: str, users: str, first: int, last: int, scale: str) -> str:
@@ -75,7 +90,7 @@ def _page(kind: str, users: str, first: int, last: int, scale: str) -> str:
 
 def _lists(name: str, kind: str) -> str:
     """One side of the report, as a subquery with its own ratings."""
-    inner = _with(RATINGS[kind], USERS["raters"], SIMILARITY, _neighbors()) + "," + RECOMMENDED
+    inner = _with(RATINGS[kind], USERS["raters"], SIMILARITY, _neighbors(), ITEMS[kind]) + "," + RECOMMENDED
     return f"""{name} AS ({inner}
       SELECT u.user_id,
         (SELECT string_agg(other_id, '|' ORDER BY rank) FROM near WHERE near.user_id = u.user_id) AS users,
