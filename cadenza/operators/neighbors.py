@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.similarity import (
-    PART_RATERS,
     cosine,
     partner_dots,
     popular_items,
@@ -66,7 +65,9 @@ def top_neighbors(
         return fill_up(found, users.where(F.col("user_id").isin(user_ids)), users, k)
     hot = popular_items(ratings, hot_raters).orderBy(F.desc("raters"), "item_id").limit(max_hot)
     if hot.isEmpty():
-        found = nearest(with_cosine(partner_dots(with_norms(ratings)), "part"), k)
+        # written once: the ratings and the lists of raters are both read from it
+        rated = cut(with_norms(ratings), "rated")
+        found = nearest(with_cosine(partner_dots(rated, part_raters=None), "part"), k)
     else:
         found = _with_hot_items(ratings, cut(hot.select("item_id"), "hot-items"), k, block_rows)
     return fill_up(found, users, users, k)

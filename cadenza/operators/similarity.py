@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# An item with more raters than this is split over several join keys.
+# The raters of an item are listed in rows of about this many; popular items take several.
 PART_RATERS = 1000
 # A user with more items than this is split over several partitions of partners.
 PART_ITEMS = 5000
@@ -41,60 +41,55 @@ def popular_items(ratings: DataFrame, raters: int) -> DataFrame:
     )
 
 
-def _split_popular(rated: DataFrame, part_raters: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of the item self-join, popular items split into pieces.
+def _raters(rated: DataFrame, other: Column, part_raters: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Ratings and, to be joined to them on the returned keys, the raters of each item.
 
-    The left raters of a popular item are dealt out to pieces by hash and the right raters are
-    copied to each piece, so that no join key holds more than ``part_raters`` left rows.
+    The raters of a popular item are dealt out by hash to several arrays of bounded length. Its
+    own ratings are dealt out to as many lanes, and every array goes to each lane, so that one
+    join key holds about ``part_raters`` ratings at most.
     """
-    popular = popular_items(rated, part_raters)
-    if popular.isEmpty():
-        return rated, rated, ["item_id"]
+    listed = F.collect_list(other).alias("raters")
+    popular = None if part_raters is None else popular_items(rated, part_raters)
+    if popular is None or popular.isEmpty():
+        return rated, rated.groupBy("item_id").agg(listed), ["item_id"]
     pieces = popular.select("item_id", F.ceil(F.col("raters") / part_raters).cast("int").alias("pieces"))
     sized = rated.join(pieces, "item_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    left = sized.withColumn("piece", F.pmod(F.xxhash64("user_id"), F.col("pieces")).cast("int"))
-    right = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return left, right, ["item_id", "piece"]
+    sized = sized.withColumn("lane", F.pmod(F.xxhash64("user_id"), F.col("pieces")).cast("int"))
+    lists = sized.groupBy("item_id", F.col("lane").alias("piece"), "pieces").agg(listed)
+    lists = lists.select("item_id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("lane"), "raters")
+    return sized, lists, ["item_id", "lane"]
 
 
-def _shared(rated: DataFrame, carried: tuple[str, ...], part_raters: int) -> DataFrame:
-    """One row per item shared by two users: both weights and the carried columns of both."""
-    left, right, keys = _split_popular(rated, part_raters)
-    a = left.select(*keys, "user_id", "w", "parts", *carried)
-    b = right.select(
-        *keys,
-        F.col("user_id").alias("other_id"),
-        F.col("w").alias("w_other"),
-        *[F.col(c).alias(f"{c}_other") for c in carried],
-    )
-    return a.join(b, keys)
-
-
-def _dots(carried: tuple[str, ...]) -> list[Column]:
-    both = [n for c in carried for n in (c, f"{c}_other")]
-    return [F.sum(F.col("w") * F.col("w_other")).alias("dot"), *[F.max(c).alias(c) for c in both]]
-
+def partner_dots(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int | None = PART_RATERS) -> DataFrame:
+    """Dot product and lengths of every two users that share an item, in both directions:
+    (user_id, part, other_id, dot, n, n_other).
 
-def overlap_pairs(rated: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
-    """Dot product and lengths of every two users that share an item, each pair once
-    (user_id < other_id). ``rated`` comes from ``with_norms``."""
-    shared = _shared(rated, ("n",), part_raters).where("user_id < other_id")
-    return shared.groupBy("user_id", "other_id").agg(*_dots(("n",)))
+    ``rated`` comes from ``with_norms``. Each rating meets the array of its item's raters and is
+    sent to its user with that array still folded, which is a fraction of the rows and about half
+    the bytes of single pairs. This one shuffle, by user, serves the sums per pair and any later
+    ranking per user. A user with very many items is split into parts by partner, so no task
+    gets all partners of such a user.
 
-
-def partner_dots(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int = PART_RATERS) -> DataFrame:
-    """As ``overlap_pairs`` in both directions, laid out for ranking each user's partners.
-
-    One shuffle, by user, serves both the sums per pair and the ranking per user. A user with
-    very many items is split into parts by partner, so no task gets all partners of such a user.
-    Per-user columns named in ``extra`` are carried as ``<name>`` and ``<name>_other``.
+    Per-user columns named in ``extra`` are carried along as ``<name>`` and ``<name>_other``.
+    ``part_raters`` None saves the search for popular items where there are none.
     """
-    carried = ("n", *extra)
-    shared = _shared(rated, carried, part_raters).where("user_id <> other_id")
-    shared = shared.withColumn("part", F.pmod(F.xxhash64("other_id"), F.col("parts")).cast("int"))
-    columns = [n for c in carried for n in (c, f"{c}_other")]
-    placed = shared.select("user_id", "part", "other_id", "w", "w_other", *columns).repartition("user_id", "part")
-    return placed.groupBy("user_id", "part", "other_id").agg(*_dots(carried))
+    both = ("n", *extra)
+    other = F.struct(
+        F.col("user_id").alias("other_id"), F.col("w").alias("w_other"), *[F.col(c).alias(f"{c}_other") for c in both]
+    )
+    left, lists, keys = _raters(rated, other, part_raters)
+    own = ["w", *both]
+    met = left.select(*keys, "user_id", "parts", *own).join(lists, keys)
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    of_part = F.filter("raters", lambda x: F.pmod(F.xxhash64(x["other_id"]), F.col("parts")) == F.col("part"))
+    listed = F.when(F.col("parts") == 1, F.col("raters")).otherwise(of_part).alias("raters")
+    placed = met.select("user_id", "part", *own, listed).repartition("user_id", "part")
+    pairs = placed.select("user_id", "part", *own, F.inline("raters")).where("user_id <> other_id")
+    # the carried columns are constant within a group
+    carried = [*both, *[f"{c}_other" for c in both]]
+    return pairs.groupBy("user_id", "part", "other_id").agg(
+        F.sum(F.col("w") * F.col("w_other")).alias("dot"), *[F.first(c).alias(c) for c in carried]
+    )
 
 
 def with_cosine(pairs: DataFrame, *keep: str) -> DataFrame:
@@ -102,21 +97,13 @@ def with_cosine(pairs: DataFrame, *keep: str) -> DataFrame:
     return pairs.select("user_id", *keep, "other_id", cosine(F.col("dot"), F.col("n"), F.col("n_other")).alias("cos"))
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """(user_id, other_id, cos) in both directions."""
-    u, v, c = F.col("user_id"), F.col("other_id"), F.col("cos")
-    there = F.struct(u.alias("user_id"), v.alias("other_id"), c.alias("cos"))
-    back = F.struct(v.alias("user_id"), u.alias("other_id"), c.alias("cos"))
-    return pairs.select(F.inline(F.array(there, back)))
-
-
 def similarity(ratings: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
     """The whole similarity matrix off its diagonal, non-zero cells only.
 
     Its size is that of the answer itself: two users that share any item have a cell. To get
     only the nearest users, ``neighbors.top_neighbors`` does not go through this matrix.
     """
-    return both_ways(with_cosine(overlap_pairs(with_norms(ratings), part_raters)))
+    return with_cosine(partner_dots(with_norms(ratings), part_raters=part_raters))
 
 
 def similarity_of(ratings: DataFrame, user_ids: list) -> DataFrame:
