@@ -69,7 +69,7 @@ def top_neighbors(
         rated = cut(with_norms(ratings), "rated")
         found = nearest(with_cosine(partner_dots(rated, part_raters=None), "part"), k)
     else:
-        found = _with_hot_items(ratings, cut(hot.select("item_id"), "hot-items"), k, block_rows)
+        found = _with_hot_items(ratings, cut(hot, "hot-items"), k, block_rows)
     return fill_up(found, users, users, k)
 
 
@@ -114,7 +114,7 @@ def _kth(top: DataFrame, k: int) -> DataFrame:
 
 
 def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Exact top-k without pairing up the raters of hot items.
+    """Exact top-k without pairing up the raters of hot items (item_id, raters).
 
     Weights are positive, so the dot product over the other ("plain") items is a lower bound of
     the whole one, and hot items can add at most h(u) * h(v) to the cosine, h being the share of
@@ -125,7 +125,7 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
     2. Pairs sharing hot items only have cosine <= h(u): needed only for users whose k-th best
        cosine so far does not exceed h(u), see ``_hot_rows_nearest``.
     """
-    marked = ratings.join(hot.withColumn("is_hot", F.lit(True)), "item_id", "left")
+    marked = ratings.join(hot.select("item_id", F.lit(True).alias("is_hot")), "item_id", "left")
     marked = marked.withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
     hot_n = F.sum(F.when(F.col("is_hot"), F.col("w") * F.col("w")).otherwise(0)).alias("hot_n")
     rated = cut(with_norms(marked, hot_n), "marked-ratings")
@@ -153,20 +153,20 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
     )
     first = cut(nearest(with_cosine(exact), k), "nearest-by-plain")
 
-    hot_users = lengths_of_hot(hot_part)
+    hot_users = _hot_rows(hot_part)
+    share = F.sqrt(F.col("hot_n").cast("double") / F.col("n")) * (1 + SLACK)
     open_users = (
         hot_users.join(_kth(first, k), "user_id", "left")
-        .where(
-            F.sqrt(F.col("hot_n").cast("double") / F.col("n")) * (1 + SLACK) >= F.coalesce("floor", F.lit(0.0))
-        )
-        .select("user_id", "n", "items", "weights")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .where(share >= F.col("floor"))
+        .select("user_id", "n", "items", "weights", "floor")
     )
-    second = _hot_rows_nearest(open_users, hot_users, k, block_rows)
+    second = _hot_rows_nearest(open_users, hot_users, hot, k, block_rows)
     both = first.select("user_id", "other_id", "cos").unionAll(second)
     return nearest(both.groupBy("user_id", "other_id").agg(F.max("cos").alias("cos")), k)
 
 
-def lengths_of_hot(hot_part: DataFrame) -> DataFrame:
+def _hot_rows(hot_part: DataFrame) -> DataFrame:
     """One row per user that touched a hot item: n, hot_n and the hot row as two arrays.
 
     The arrays hold at most one entry per hot item, of which there are at most ``MAX_HOT``.
@@ -177,7 +177,9 @@ def lengths_of_hot(hot_part: DataFrame) -> DataFrame:
     return cut(rows, "hot-rows")
 
 
-def _hot_rows_nearest(open_users: DataFrame, hot_users: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _hot_rows_nearest(
+    open_users: DataFrame, hot_users: DataFrame, hot: DataFrame, k: int, block_rows: int
+) -> DataFrame:
     """(user_id, other_id, cos over hot items) holding all that open users can still need.
 
     Users with equal hot rows score alike but for their length: against any user, the shortest
@@ -185,19 +187,25 @@ def _hot_rows_nearest(open_users: DataFrame, hot_users: DataFrame, k: int, block
     user itself. So k + 1 members stand for all copies of a hot row. Likewise open users with
     equal hot row and length share one list of k + 1 partners.
 
-    What is left is compared block by block: per hot item both sides are dealt out to blocks of
-    bounded size, and a task multiplies two blocks and keeps k + 1 partners per row.
+    What is left is compared block by block: per probed hot item both sides are dealt out to
+    blocks of bounded size, and a task multiplies two blocks and keeps k + 1 partners per row.
     """
     same_row = Window.partitionBy("items", "weights").orderBy("n", "user_id")
     members = hot_users.withColumn("r", F.row_number().over(same_row)).where(F.col("r") <= k + 1)
     members = cut(members.select(F.col("user_id").alias("row_id"), "n", "items", "weights"), "hot-members")
     open_users = cut(open_users, "open-users")
-    askers = open_users.groupBy("items", "weights", "n").agg(F.min("user_id").alias("row_id"))
+    askers = open_users.groupBy("items", "weights", "n").agg(
+        F.min("user_id").alias("row_id"), F.min("floor").alias("floor")
+    )
     askers = cut(askers, "hot-askers")
 
-    left, right = _blocks(askers, members, block_rows), _blocks(members, askers, block_rows)
+    asking = askers.drop("floor").join(cut(_probes(askers, hot), "probes"), "row_id")
+    listed = members.withColumn("item_id", F.explode("items"))
+    left, right = _blocks(asking, listed, block_rows), _blocks(listed, asking, block_rows)
+    right = right.select(
+        "item_id", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), "row_id", "n", "items", "weights"
+    )
     keys = ["item_id", "mine", "theirs"]
-    right = right.select("item_id", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), "row_id", "n", "items", "weights")
     id_type = members.schema["row_id"].dataType.simpleString()
     best = (
         left.groupBy(*keys)
@@ -208,21 +216,35 @@ def _hot_rows_nearest(open_users: DataFrame, hot_users: DataFrame, k: int, block
     lists = (
         best.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     )
-    asked = open_users.join(askers, ["items", "weights", "n"]).select("user_id", "row_id")
+    asked = open_users.join(askers.drop("floor"), ["items", "weights", "n"]).select("user_id", "row_id")
     return asked.join(lists, "row_id").where("user_id <> other_id").select("user_id", "other_id", "cos")
 
 
+def _probes(askers: DataFrame, hot: DataFrame) -> DataFrame:
+    """(row_id, item_id): the hot items under which a row must look for partners.
+
+    Take a row's hot items from the least popular on. Once the items still to come make up less
+    of its length than its floor, a partner sharing only those stays below the floor; so they,
+    the most popular ones, need not be probed.
+    """
+    cells = askers.select("row_id", "n", "floor", F.inline(F.arrays_zip(F.col("items").alias("item_id"), F.col("weights").alias("w"))))
+    to_come = Window.partitionBy("row_id").orderBy("raters", "item_id").rowsBetween(0, Window.unboundedFollowing)
+    cells = cells.join(hot, "item_id").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(to_come))
+    share = F.sqrt(F.col("rest").cast("double") / F.col("n")) * (1 + SLACK)
+    return cells.where(share >= F.col("floor")).select("row_id", "item_id")
+
+
 def _blocks(rows: DataFrame, opposite: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of one side, once per hot item and per block of the opposite side of that item."""
-    per_item = lambda df, name: (
-        df.select(F.explode("items").alias("item_id"))
-        .groupBy("item_id")
-        .agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    """Rows of one side (one per hot item), once per block of the opposite side of that item.
+
+    The counts joined here have one row per hot item.
+    """
+    count = F.ceil(F.count("*") / block_rows).cast("int")
+    counts = rows.groupBy("item_id").agg(count.alias("own_blocks")).join(
+        opposite.groupBy("item_id").agg(count.alias("opposite_blocks")), "item_id"
     )
-    counts = per_item(rows, "own_blocks").join(per_item(opposite, "opposite_blocks"), "item_id")
     return (
-        rows.select("row_id", "n", "items", "weights", F.explode("items").alias("item_id"))
-        .join(counts, "item_id")
+        rows.join(counts, "item_id")
         .withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("own_blocks")).cast("int"))
         .withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("opposite_blocks") - 1)))
         .select("item_id", "mine", "theirs", "row_id", "n", "items", "weights")

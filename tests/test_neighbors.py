@@ -92,3 +92,23 @@ def test_few_users_and_cold_users(spark):
     assert sorted_rows(few) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (1, 1, 0, 0.0), (1, 2, 2, 0.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0)]
     cold = neighbors.top_neighbors(frame(spark, []), everybody(spark, 7))
     assert [r for r in sorted_rows(cold) if r[0] == 6] == [(6, i + 1, i, 0.0) for i in range(5)]
+
+
+@pytest.mark.parametrize("seed", range(8, 12))
+def test_most_popular_items_need_no_probe(spark, seed):
+    """Rare items give most users partners good enough to skip the most popular hot items."""
+    rows = dense.random_rows(seed, users=60, items=12, per_user=5, popular=0.7)
+    m = dense.matrix(rows, range(66), range(12))
+    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 66), k=3, hot_raters=6, block_rows=8)
+    assert sorted_rows(got) == sorted(dense.neighbors(m, 3))
+
+
+def test_probes(spark):
+    """Popular items are left out exactly when the rest of the row cannot reach the floor."""
+    hot = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "item_id long, raters long")
+    askers = spark.createDataFrame(
+        [(0, 100, [1, 2, 3], [6, 6, 5], 0.0), (1, 100, [1, 2, 3], [6, 6, 5], 0.55), (2, 100, [1, 2, 3], [6, 6, 5], 0.9)],
+        "row_id long, n long, items array<long>, weights array<long>, floor double",
+    )
+    got = sorted_rows(neighbors._probes(askers, hot))
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (2, 1)]
