@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.materialize import cut
+
 # The raters of an item are listed in rows of about this many; popular items take several.
 PART_RATERS = 1000
 # A user with more items than this is split over several partitions of partners.
@@ -103,7 +105,7 @@ def similarity(ratings: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
     Its size is that of the answer itself: two users that share any item have a cell. To get
     only the nearest users, ``neighbors.top_neighbors`` does not go through this matrix.
     """
-    return with_cosine(partner_dots(with_norms(ratings), part_raters=part_raters))
+    return with_cosine(partner_dots(cut(with_norms(ratings), "rated"), part_raters=part_raters))
 
 
 def similarity_of(ratings: DataFrame, user_ids: list) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set(_SETTING, folder)
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"cadenza-{application}-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

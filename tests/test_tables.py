@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schemas
 from cadenza.operators import catalog, integrity, listing
+from cadenza.plans import materialize
 from cadenza.plans.materialize import cut, shared_folder
 from cadenza.sources import tables
 from cadenza.sources.testdata import Domain
@@ -61,6 +62,12 @@ def test_cut_goes_to_the_shared_folder(spark):
     assert df.count() == 5 and shared_folder(spark).removeprefix("file:") in df.inputFiles()[0]
 
 
+def test_shared_folder_without_setting(spark, monkeypatch):
+    monkeypatch.setattr(materialize, "_SETTING", "spark.no.such.setting")
+    assert shared_folder(spark) == shared_folder(spark)
+    assert cut(spark.range(3), "three").count() == 3
+
+
 def test_select_rows(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2)], "title string, n int")
     assert [r["title"] for r in listing.select_rows(df, {"n": 1}, order="title").collect()] == ["a", "b"]
