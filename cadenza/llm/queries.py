@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import simhash, url_filter
+from cadenza.llm import simhash, token_output, url_filter
 from cadenza.llm.text import table
+from cadenza.plans.materialize import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +38,16 @@ def op3_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op5_token_output(spark, folder):
+    path = scratch_path(spark, "token-files")
+    token_output.write_token_files(table(spark, folder, "documents"), path, TOKENIZER, end_id=2)
+    return token_output.read_token_files(spark, path)
+
+
 def _terms(terms) -> str:
     return "list_aggregate([" + ", ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms) + "], 'sum')::int"
 
