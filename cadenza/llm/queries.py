@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import simhash, token_output, url_filter
+from cadenza.llm import decontamination, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -38,6 +38,12 @@ def op3_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op4_decontamination(spark, folder):
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -76,3 +82,30 @@ SELECT page_id, host, path, rule, strict_terms, soft_terms,
        CASE WHEN strict_terms > 0 THEN 1.0::double ELSE least(1.0::double, soft_terms / 2) END AS score
 FROM found
 """
+
+WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+ORACLE["op4_decontamination"] = f"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(translate(text, {UPPER_LOWER}), ''), {WORDS}) AS w
+    FROM documents),
+item AS (
+    SELECT item_id::varchar AS item_id, regexp_extract_all(coalesce(translate(text, {UPPER_LOWER}), ''), {WORDS}) AS w
+    FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM item WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT k FROM win),
+place AS (
+    SELECT r, k, s, array_to_string(w[s : s + k - 1], ' ') AS phrase
+    FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM doc, lengths WHERE len(w) >= k)),
+met AS (SELECT r, s, k, item_id FROM place JOIN win USING (k, phrase)),
+hit AS (
+    SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS pos FROM met) GROUP BY r),
+named AS (
+    SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

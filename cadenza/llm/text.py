@@ -13,8 +13,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column | str) -> Column:
-    """A-Z to a-z, all else unchanged (``lower`` would change other alphabets too)."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z to a-z, all else unchanged (``lower`` would change other alphabets too, but it is the faster one)."""
+    changed = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(changed)
 
 
 # What separates words: every ASCII character that is neither a digit nor, after lower-casing, a letter.

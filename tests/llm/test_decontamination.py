@@ -1,0 +1,89 @@
+"""Decontamination against a plain search for every window."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from cadenza.llm import decontamination as d
+
+
+def plain_words(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
+def plain(docs, items, window=13):
+    out = []
+    for key, text in docs:
+        w, hit, named = plain_words(text), set(), set()
+        for name, item in items:
+            t = plain_words(item)
+            k = min(len(t), window)
+            for s in range(len(t) - k + 1 if t else 0):
+                for at in range(len(w) - k + 1):
+                    if w[at : at + k] == t[s : s + k]:
+                        hit |= set(range(at, at + k))
+                        if name is not None:
+                            named.add(str(name))
+        ids = ",".join(sorted(named))
+        bad = len(hit) > 0 and 20 * len(hit) >= len(w)
+        out.append((key, len(w), len(hit), len(named), hashlib.sha256(ids.encode()).hexdigest(), bad))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, per_pass=d.TERMS, extra=""):
+    docs = spark.createDataFrame(docs, "doc_id long, text string" + extra)
+    items = spark.createDataFrame(items, "item_id long, text string" + extra)
+    found = d.contamination(docs, items, per_pass=per_pass)
+    return sorted((tuple(r) for r in found.drop("text_hash").collect()), key=str)
+
+
+@pytest.mark.parametrize("per_pass", [d.TERMS, 5])
+def test_random_texts(spark, per_pass):
+    rng = random.Random(per_pass)
+    vocabulary = ["The", "of", "a", "é", "Ünd", "x1", "42", "b", "rare"] + [f"word{i}" for i in range(25)]
+
+    def words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    items = [(i, words(n)) for i, n in enumerate([1, 2, 5, 12, 13, 14, 30, 30, 45])]
+    items[7] = (7, items[6][1][5:] + ["of"] * 13)
+    docs = []
+    for i in range(40):
+        text = words(rng.randrange(60))
+        for _ in range(rng.randrange(4)):
+            item = rng.choice(items)[1]
+            a = rng.randrange(len(item))
+            text[rng.randrange(len(text) + 1) : 0] = item[a : a + rng.choice([5, 13, 20, 60])]
+        docs.append((i, ",\n ".join(text)))
+    docs += [(90, None), (91, ""), (92, " !? "), (0, docs[0][1]), (1, "another text of the id"), (None, docs[3][1]), (93, "of " * 30)]
+    items = [(k, " ".join(w).upper()) for k, w in items] + [(20, None), (21, ""), (6, "of " * 14), (None, "word1 word2")]
+    assert run(spark, docs, items, per_pass) == plain(docs, items)
+
+
+def test_long_text_and_edges(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    docs = [(1, "w " * 200_000 + passage), (2, passage + " tail"), (3, "head " + passage), (4, passage[:-1])]
+    items = [(5, passage)]
+    got = run(spark, docs, items)
+    assert [(r[0], r[2], r[5]) for r in got] == [(1, 13, False), (2, 13, True), (3, 13, True), (4, 0, False)]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    assert run(spark, [], [(1, "a b")]) == []
+    assert run(spark, [(1, "a b")], []) == plain([(1, "a b")], [])
+    rows = [(1, "a b c", 7, ["z"])]
+    assert run(spark, rows, [(2, "b", 1, ["q"])], extra=", pos int, words array<string>") == plain([r[:2] for r in rows], [(2, "b")])
+
+
+def test_proximity(spark):
+    item = [f"t{i}" for i in range(13)]
+    swapped = item[:]
+    swapped[3], swapped[4] = swapped[4], swapped[3]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(swapped)), (3, "t0 other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (len(r["hits"]), r["share"]) for r in d.find_matches(docs, items, near=0.9)[1].collect()}
+    assert found == {1: (13, 1.0), 2: (0, 1.0)}
+    assert {r["doc_id"] for r in d.find_matches(docs, items)[1].collect()} == {1}
