@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontamination, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -54,6 +54,11 @@ def op5_token_output(spark, folder):
     return token_output.read_token_files(spark, path)
 
 
+@query
+def op6_language_id(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def _terms(terms) -> str:
     return "list_aggregate([" + ", ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms) + "], 'sum')::int"
 
