@@ -180,3 +180,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, per_m
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (1000 * n_hit >= per_mille * F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, per_mille: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``contamination`` lets pass, with all columns."""
+    bad = contamination(docs, items, window, per_mille).where("contaminated")
+    bad = cut(bad.select(F.col("doc_id").alias("bad_id_"), F.col("text_hash").alias("bad_hash_")).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("bad_hash_"))
+    return docs.join(bad, same, "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,3 +170,27 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     model = train(learn, id_column=id_column, text_column=text_column, lang_column=lang_column, **options)
     found = predict(docs, model, id_column, text_column)
     return found.select(id_column, is_held_out(id_column).alias("held_out"), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` whose language can be told (not ``und``), with all columns.
+
+    Rows without a language get the predicted one; given ones stay. No shuffle of the texts.
+    """
+    learn = docs.where(~is_held_out(id_column) & F.col(id_column).isNotNull())
+    model = train(learn, id_column=id_column, text_column=text_column, lang_column=lang_column, **options)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text_column).cast("string"), F.lit("")).rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_column), docs.columns.index(lang_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                names, _ = shared.value.predict(part.column(text_at).to_pylist())
+                known = pa.array([n != UNKNOWN for n in names], pa.bool_())
+                filled = pc.coalesce(part.column(lang_at), pa.array(names, part.column(lang_at).type))
+                yield part.set_column(lang_at, part.schema.field(lang_at), filled).filter(known)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -44,16 +44,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp) per row; a null text has no words. A map over Arrow batches, no shuffle."""
+    """(id, text_hash, fp) per row; a null text has no words. A map over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             values = [fingerprint(x.as_py() or b"", width) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.int64())], ["id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, fp long")
+    text = F.col(text_column).cast("string")
+    rows = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, text_hash long, fp long")
 
 
 # The even bits of a word.
@@ -114,25 +115,46 @@ def links(groups: DataFrame) -> DataFrame:
     return around.join(first, "word").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) per row: fingerprints at 2 or fewer differing bits are linked,
-    and component_id is the smallest id that can be reached, the row's own included.
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``fingerprints`` plus root, the same for linked fingerprints, and component_id, its smallest id.
 
-    Equal fingerprints are folded first, so copies cost one row each and no links. Null and
-    wordless texts have fingerprint zero and are linked like any other. A null id is never the
-    smallest; a component of such rows only has a null one. Rows repeating an id stay as they
-    are. An empty table gives an empty one; other columns are not read.
+    Equal fingerprints are folded first, so copies cost one row each and no links.
     """
-    rows = cut(fingerprints(docs, width, id_column, text_column), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = cut(components(links(groups)).withColumnRenamed("node", "fp"), "roots")
     # the roots themselves are not among the nodes
     linked = roots.union(roots.select("root", "root").distinct())
     ids = linked.join(groups, "fp").groupBy("root").agg(F.min("least").alias("linked_least"))
-    linked = linked.join(ids, "root").select("fp", "linked_least")
-    known = groups.join(linked, "fp", "left").select("fp", F.coalesce("linked_least", "least").alias("component_id"))
-    return rows.join(known, "fp").select(
-        F.col("id").alias(id_column),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+    linked = linked.join(ids, "root").select("fp", "root", "linked_least")
+    known = groups.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("component_id")
     )
+    return rows.join(known, "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) per row: fingerprints at 2 or fewer differing bits are linked,
+    and component_id is the smallest id that can be reached, the row's own included.
+
+    Null and wordless texts have fingerprint zero and are linked like any other. A null id is
+    never the smallest; a component of such rows only has a null one. Rows repeating an id stay
+    as they are. An empty table gives an empty one; other columns are not read.
+    """
+    found = _grouped(cut(fingerprints(docs, width, id_column, text_column), "fingerprints"))
+    return found.select(
+        F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns: the one with the smallest id.
+
+    Among rows of that id the smallest text hash decides, and of rows alike in both any one stays.
+    Rows without an id stay only where their component has no other.
+    """
+    found = _grouped(cut(fingerprints(docs, width, id_column, text_column), "fingerprints"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("m"))
+    first = cut(first.select(F.col("m.id").alias("kept_id_"), F.col("m.text_hash").alias("kept_hash_")), "kept")
+    hashed = docs.withColumn("text_hash_", F.xxhash64(F.col(text_column).cast("string")))
+    same = F.col(id_column).eqNullSafe(F.col("kept_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
+    return hashed.join(first, same, "left_semi").dropDuplicates([id_column, "text_hash_"]).drop("text_hash_")
