@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontamination, language_id, mixing, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, license_scan, mixing, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -59,6 +59,11 @@ def op6_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query
+def op8_license_scan(spark, folder):
+    return license_scan.licenses(table(spark, folder, "documents")).drop("text_hash")
+
+
 @query
 def op9_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
