@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, language_id, license_scan, mixing, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, license_scan, line_dedup, mixing, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -69,6 +70,12 @@ def op9_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query
+def op10_line_dedup(spark, folder):
+    found = line_dedup.repeated_lines(table(spark, folder, "documents"))
+    return found.drop("text_hash").withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def _terms(terms) -> str:
     return "list_aggregate([" + ", ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms) + "], 'sum')::int"
 

@@ -29,3 +29,12 @@ def words(text: Column | str) -> Column:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in smaller Arrow batches than Spark's default of 10,000 rows, which suits
+    numbers: a batch is held several times over on both sides. A setting of the user's own stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)

@@ -1,0 +1,104 @@
+"""Line dedup against comparing every two lines."""
+
+import random
+
+import xxhash
+from cadenza.llm import line_dedup as ld
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def text_hash(text):
+    if text is None:
+        return 42
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain(rows, min_chars=20):
+    ordered = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+    seen, found = [], {}
+    for key, text in ordered:
+        removed, copies, near = [], 0, 0
+        for i, raw in enumerate([] if text is None else text.split("\n")):
+            line = raw.strip(" ").lower()
+            if not line:
+                continue
+            if line in seen:
+                copies += 1
+                removed.append(i)
+            elif len(line) >= min_chars and any(len(x) >= min_chars and within_one(x, line) for x in seen):
+                near += 1
+                removed.append(i)
+            seen.append(line)
+        found[key, text] = (0 if text is None else text.count("\n") + 1, copies, near, removed)
+    return sorted(((r[0], *found[r[:2]]) for r in rows), key=str)
+
+
+def run(spark, rows, schema="doc_id long, text string"):
+    got = ld.repeated_lines(spark.createDataFrame(rows, schema))
+    return sorted(((r[0], *r[2:]) for r in map(tuple, got.collect())), key=str)
+
+
+def test_random_lines(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abé \U0001f600") for _ in range(rng.randrange(15, 45))).strip() for _ in range(25)]
+    lines = []
+    for line in base:
+        lines.append(line)
+        for _ in range(rng.randrange(6)):
+            x, i = list(line), rng.randrange(len(line))
+            kind = rng.randrange(5)
+            if kind == 0:
+                x[i] = rng.choice("abxY")
+            elif kind == 1:
+                x.insert(i, rng.choice("abz"))
+            elif kind == 2:
+                del x[i]
+            elif kind == 3:
+                x[i] = x[-1 - i] = "q"
+            lines.append(rng.choice([" ", ""]) + "".join(x))
+            if rng.random() < 0.3:
+                line = "".join(x)
+    rng.shuffle(lines)
+    rows = [(100 - i, "\n".join(rng.choice(lines + [""]) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
+    rows += [(100, "other text of the id\n" + base[0]), rows[3], rows[3], (None, base[1] + "\n\n" + base[2]), (None, "x"), (7, None), (8, ""), (None, None)]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_numbered_lines_and_ends(spark):
+    text = "\n".join(f"line number {i % 10} of the same kind" for i in range(40))
+    rows = [(1, text), (2, "xline number 1 of the same kind\nine number 1 of the same kind\nline number 1 of the same kinds")]
+    assert run(spark, rows) == plain(rows)
+    rows = [(1, "aaaaaaaaaaaaaaaaaaaaaaaa"), (2, "a" * 23 + "\n" + "a" * 25 + "\n" + "a" * 27), (3, "a" * 19 + "\n" + "a" * 20)]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_long_lines_empty_table_clashing_columns(spark):
+    long = "very long line " * 30_000 + "end"
+    rows = [(1, long, 1, "z"), (2, long + "!", 2, "z"), (3, "?" + long, 3, "z"), (4, "Y" + long[1:], 4, "z")]
+    got = run(spark, rows, "doc_id long, text string, line int, place string")
+    assert got == [(1, 1, 0, 0, []), (2, 1, 0, 1, [0]), (3, 1, 0, 1, [0]), (4, 1, 0, 1, [0])]
+    assert run(spark, []) == []
+
+
+def test_texts_without_them(spark):
+    rows = [(1, "keep this line of text\n\nKEEP THIS LINE OF TEXT", "a"), (2, "keep this lime of text\nand another", "b"), (3, None, "c"), (2, "keep this lime of text\nand another", "b")]
+    got = ld.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string"))
+    assert got.columns == ["doc_id", "text", "lines"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "keep this line of text\n", "a"), (2, "and another", "b"), (2, "and another", "b"), (3, None, "c")]
+
+
+def test_variants_match_plain_deletions():
+    line = "añb\U0001f600ccd"
+    own, without = ld.variant_hashes(line)
+    for i in range(len(line)):
+        assert ld.variant_hashes(line[:i] + line[i + 1 :])[0] == int(without[i])
+    assert own == ld.variant_hashes(line)[0]
