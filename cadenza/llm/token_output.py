@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -21,16 +22,64 @@ from cadenza.llm.text import type_of
 # Ids of about this many make one record of a file.
 RECORD_IDS = 1 << 20
 # Text bytes encoded together, and pieces remembered per worker process.
-TEXT_BYTES, PIECES = 1 << 22, 300_000
+TEXT_BYTES, PIECES = 1 << 22, 700_000
+PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
 _HEADER = struct.Struct("<4sII")
 MAGIC = b"TID1"
 
 
+class Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
+class Memo:
+    """Remembers the ids of strings, at most about ``PIECES`` of them.
+
+    ``learn`` takes strings it was not asked for before, and gives all their ids and how many
+    each has.
+    """
+
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = Numbers()
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def __call__(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of strings end to end, and how many each list has."""
+        if len(self.index) > PIECES:
+            self.forget()
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int32, int(counts.sum()))
+        if new := self.index.new:
+            ids, sizes = self.learn(new)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.index.new = []
+        first = self.ends[which]
+        sizes = self.ends[which + 1] - first
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        return flat, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once.
 
-    A piece is a run without ASCII white space. It fits tokenizers that drop white space and
-    never join across it; pieces then have the same ids alone as within their text.
+    A piece is a run without ASCII white space; its parts end where a Latin letter meets an ASCII
+    sign or digit other than an apostrophe. It fits tokenizers that drop white space and never
+    join across either; pieces and parts then have the same ids alone as within their text.
     """
 
     def __init__(self, path: str):
@@ -38,35 +87,51 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, specials)) if specials else rb"(?!)")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.of_parts = Memo(self._encode)
+        self.of_pieces = Memo(lambda pieces: self.of_parts([self._split(p) for p in pieces]))
 
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.ends = np.zeros(0, np.int64)
+    def _split(self, piece: bytes) -> list[str]:
+        text = piece.decode()
+        if text.isalpha() or self.special.search(piece):
+            return [text]
+        return PARTS.sub(" ", text).split(" ")
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters are one word each: many are encoded as one text and parted at the ids
+        that end a word. If these are not as many, and for other parts, each is encoded alone."""
+        letters = [i for i, p in enumerate(parts) if p.isalpha()]
+        alone = [i for i, p in enumerate(parts) if not p.isalpha()]
+        together: list[int] = []
+        ids, sizes = [], []
+        for at in range(0, len(letters), 500):
+            some = letters[at : at + 500]
+            (got,) = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)
+            own = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[own]) + 1
+            if len(ends) == len(some) and ends[-1] == len(own):
+                together += some
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                alone += some
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([parts[i] for i in alone], add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        # back into the order of the parts
+        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        back = np.argsort(np.array(together + alone, np.int64))
+        first, size = (np.cumsum(size) - size)[back], size[back]
+        upto = np.cumsum(size)
+        return flat[np.repeat(first - upto + size, size) + np.arange(len(flat))], size
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
-        pieces = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(self.index))
-        if len(self.index) + len(new) > PIECES and self.index:
-            self.forget()
-            new = list(set(chain.from_iterable(pieces)))
-        if new:
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        of_text = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), np.int64, int(of_text.sum()))
-        first = np.concatenate([[0], self.ends])
-        sizes = first[which + 1] - first[which]
-        upto = np.cumsum(sizes)
-        flat = self.ids[np.repeat(first[which] - (upto - sizes), sizes) + np.arange(int(sizes.sum()))]
-        borders = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(of_text)])]
-        return flat, np.diff(borders)
+        return self.of_pieces([t.split() for t in texts])
 
 
 @cache
