@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, language_id, license_scan, line_dedup, mixing, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, license_scan, line_dedup, merkle, mixing, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -29,6 +29,11 @@ URL_RULES = [
 ]
 
 
+@query
+def op1_fingerprints(spark, folder):
+    return merkle.fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query
 def op2_url_filter(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
