@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, language_id, license_scan, line_dedup, merkle, mixing, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, license_scan, line_dedup, merkle, mixing, ngram_quality, simhash, token_output, url_filter
 from cadenza.llm.text import table
 from cadenza.plans.materialize import scratch_path
 
@@ -65,6 +65,11 @@ def op6_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query
+def op7_quality(spark, folder):
+    return ngram_quality.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op8_license_scan(spark, folder):
     return license_scan.licenses(table(spark, folder, "documents")).drop("text_hash")
