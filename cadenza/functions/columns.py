@@ -45,13 +45,13 @@ def json_literal(text: Column) -> Column:
         by_code = F.concat(
             F.lit("\\u"), units.substr(1, 4), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), units.substr(5, 4))).otherwise("")
         )
-        case = F.when(ch.rlike("^[ -~]$"), ch)
+        case = F.when(ch.rlike(r"\A[ -~]\z"), ch)
         for raw, code in short.items():
             case = case.when(ch == raw, code)
         return case.otherwise(by_code)
 
-    characters = F.transform(F.sequence(F.lit(1), F.length(quoted)), lambda i: F.substring(quoted, i, F.lit(1)))
-    body = F.when(quoted.rlike("^[ -~]*$"), quoted).otherwise(F.array_join(F.transform(characters, escaped), ""))
+    # not ^ and $: the latter also matches before a last line end
+    body = F.when(quoted.rlike(r"\A[ -~]*\z"), quoted).otherwise(F.array_join(F.transform(F.split(quoted, ""), escaped), ""))
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

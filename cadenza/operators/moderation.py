@@ -41,16 +41,30 @@ def stand_in_scores(content: Column) -> Column:
     return F.array(toxic, *[F.lit(0.0)] * (CLASSES - 1))
 
 
-def model_scores(load: Callable[[], Scorer]) -> Callable[[Column], Column]:
-    """A column function from a classifier: ``load`` runs once per task, then scores batches.
+_LOADED: dict[str, Scorer] = {}
+
+
+def loaded(key: str, load: Callable[[], Scorer]) -> Scorer:
+    """The scorer kept in this worker process under ``key``; another key takes its place."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def model_scores(load: Callable[[], Scorer], key: str | None = None) -> Callable[[Column], Column]:
+    """A column function from a classifier: ``load`` runs once per worker process, whose tasks
+    then score batches with it.
 
     The loader is what a worker runs to get the model (read weights, build a tokenizer); the
-    scorer gets whole texts and returns one row of class scores per text.
+    scorer gets whole texts and returns one row of class scores per text. The scorer is kept
+    under ``key``, by default the loader's name: give one that changes with what it loads.
     """
+    kept_as = key or f"{load.__module__}.{load.__qualname__}"
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = load()
+        score = loaded(kept_as, load)
         for texts in batches:
             yield pd.Series([list(map(float, row)) for row in score(texts.tolist())], index=texts.index)
 
@@ -66,19 +80,26 @@ def score(request: DataFrame, scores: Callable[[Column], Column] = stand_in_scor
 
 def moderated_comments(scored: DataFrame, existing: DataFrame) -> DataFrame:
     """The comment rows to store. A blocked comment keeps its parent only if that exists in
-    ``existing`` (id); an accepted one keeps it unchecked.
+    ``existing`` (id) or is an earlier request, by time and id; an accepted one keeps it unchecked.
 
-    Only blocked replies need the lookup, so only they are joined. ``scored`` is read twice:
-    give it as a written table when the scorer is expensive.
+    Only blocked replies need the lookup, so only they are joined. ``scored`` is read several
+    times: give it as a written table when the scorer is expensive.
     """
     lookup = F.col("blocked") & F.col("commentParentId").isNotNull()
-    known = existing.select(F.col("id").alias("commentParentId"), F.lit(True).alias("known"))
+    # comments stored before have no time and come before all requests
+    asked = scored.select("id", F.struct("createdAt", "id").alias("at"))
+    stored = existing.select("id", F.lit(None).cast(asked.schema["at"].dataType).alias("at"))
+    # one row per parent, its first appearance
+    known = stored.unionByName(asked).groupBy(F.col("id").alias("commentParentId")).agg(
+        F.min("at").alias("first"), F.max(F.col("at").isNull()).alias("stored")
+    )
+    there = F.coalesce(F.col("stored") | (F.col("first") < F.struct("createdAt", "id")), F.lit(False))
     checked = (
         scored.where(lookup)
         .join(known, "commentParentId", "left")
-        .withColumn("commentParentId", F.when(F.col("known"), F.col("commentParentId")))
+        .withColumn("commentParentId", F.when(there, F.col("commentParentId")))
     )
-    out = checked.drop("known").unionByName(scored.where(~lookup))
+    out = checked.drop("first", "stored").unionByName(scored.where(~lookup))
     return out.select(
         "id",
         "commentParentId",

@@ -73,16 +73,34 @@ def orphans(edge: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def defects(edge: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Edges, and those with an unknown user or item, counted in one pass: (edges, unknown_user, unknown_item)."""
+    known_user = users.select(F.col("id").alias("user_id"), F.lit(True).alias("has_user"))
+    known_item = items.select(F.col("id").alias("item_id"), F.lit(True).alias("has_item"))
+    return edge.join(known_user, "user_id", "left").join(known_item, "item_id", "left").agg(
+        F.count("*").alias("edges"),
+        F.count_if(F.col("has_user").isNull()).alias("unknown_user"),
+        F.count_if(F.col("has_item").isNull()).alias("unknown_item"),
+    )
+
+
 def duplicates(edge: DataFrame) -> DataFrame:
     """Pairs that occur more than once, with how often."""
     return edge.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def wide_matrix(ratings: DataFrame, items: list, prefix: str = "") -> DataFrame:
-    """One row per user, one column per listed item, 0 where there is no rating.
+# Columns a wide matrix may have; the long form has no such limit.
+WIDE_COLUMNS = 2000
+
+
+def wide_matrix(ratings: DataFrame, users: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
+    """One row per user of ``users`` (id), one column per item of ``items`` (id), 0 where there is no rating.
 
-    The columns must be listed: reading them from the data would need one more job and, for a
-    real catalogue, more columns than a row can hold. The long form has no such limit.
+    The items become columns, so they are read first; more than ``WIDE_COLUMNS`` are an error.
     """
-    cells = ratings.groupBy("user_id").pivot("item_id", items).agg(F.sum("w")).na.fill(0)
-    return cells.select("user_id", *[F.col(f"`{i}`").alias(f"{prefix}{i}") for i in items])
+    found = [r[0] for r in items.select("id").distinct().orderBy("id").limit(WIDE_COLUMNS + 1).collect()]
+    if len(found) > WIDE_COLUMNS:
+        raise ValueError(f"over {WIDE_COLUMNS} columns")
+    cells = ratings.groupBy("user_id").pivot("item_id", found).agg(F.sum("w"))
+    rows = users.select(F.col("id").alias("user_id")).join(cells, "user_id", "left")
+    return rows.select("user_id", *[F.coalesce(F.col(f"`{i}`"), F.lit(0).cast("long")).alias(f"{prefix}{i}") for i in found])

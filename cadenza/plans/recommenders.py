@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.listing import unknown_ids
 from cadenza.operators.neighbors import top_neighbors
-from cadenza.operators.ratings import LIKE_TENTHS, binary_ratings, combined_ratings, play_ratings
+from cadenza.operators.ratings import LIKE_TENTHS, binary_ratings, combined_ratings, known_only, play_ratings
 from cadenza.operators.recommend import fill_page, page_bounds, recommend
 from cadenza.plans.materialize import cut
 
@@ -58,9 +58,10 @@ def recommend_songs(
     """One page of songs per user from likes and plays: (user_id, rank, item_id, score).
 
     All songs the user has not touched are candidates: after those that neighbours touched come
-    the others with score 0, so every page is full as long as the catalogue lasts.
+    the others with score 0, so every page is full as long as the catalogue lasts. Interactions
+    of unknown users or songs take no part.
     """
-    ratings = cut(combined_ratings(like, play), "ratings")
+    ratings = cut(known_only(combined_ratings(like, play), user, song), "ratings")
     return _run(ratings, universe(user), item_ids(song), float(LIKE_TENTHS), *page_bounds(page, page_size), user_ids)
 
 
@@ -68,8 +69,9 @@ def recommend_artists(
     follow: DataFrame, user: DataFrame, artist: DataFrame,
     page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | None = None,
 ) -> DataFrame:
-    """One page of artists per user from follows: (user_id, rank, item_id, score)."""
-    ratings = cut(binary_ratings(follow, "artistId"), "follows")
+    """One page of artists per user from follows: (user_id, rank, item_id, score). Follows of
+    unknown users or artists take no part."""
+    ratings = cut(known_only(binary_ratings(follow, "artistId"), user, artist), "follows")
     return _run(ratings, universe(user), item_ids(artist), 1.0, *page_bounds(page, page_size), user_ids)
 
 

@@ -16,11 +16,11 @@ from cadenza.functions import columns as fc
 from cadenza.operators import catalog, integrity, listing, moderation, neighbors, ratings, recommend, similarity
 from cadenza.plans import recommenders
 from cadenza.plans.materialize import cut, scratch_path
+from cadenza.sources.tables import write_csv, write_json
 from cadenza.sources.testdata import MARKER, Domain, comment_request, event_edges
 from cadenza.streaming import jobs as streams
 
 MEDIA = catalog.Media(marker=MARKER, bucket="media", endpoint="objects.example.org", password="not a secret", nonce="run-1")
-ALBUMS = [f"Brand#{i}" for i in range(1, 26)]
 ONE_USER = 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,21 +103,14 @@ def orphan_interactions(t):
     """Likes, plays and follows by kind of defect, the sound ones included."""
 
     def summary(kind, edge, items):
-        bad = ratings.orphans(edge, t.user, items)
-        total = edge.agg(F.count("*").alias("edges"))
-        defects = bad.agg(
-            F.count_if("unknown_user").alias("unknown_user"), F.count_if("unknown_item").alias("unknown_item")
-        )
-        return total.select(
-            F.lit(kind).alias("kind"), "edges",
-            defects.select("unknown_user").scalar().alias("unknown_user"),
-            defects.select("unknown_item").scalar().alias("unknown_item"),
-        )
+        return ratings.defects(edge, t.user, items).select(F.lit(kind).alias("kind"), "*")
 
     return (
         summary("like", ratings.edges(t.like, "songId"), t.song)
         .unionAll(summary("play", ratings.edges(t.play, "songId"), t.song))
         .unionAll(summary("follow", ratings.edges(t.follow, "artistId"), t.artist))
+        .unionAll(summary("event", ratings.edges(t.event_as_song, "songId"), t.song))
+        .unionAll(summary("buyer", ratings.edges(t.event_as_user, "songId"), t.song))
     )
 
 
@@ -143,8 +136,35 @@ def rating_matrix_wide(t):
     by_song = ratings.combined_ratings(t.like, t.play)
     album = t.album_song.select(F.col("songId").alias("item_id"), "albumId")
     by_album = by_song.join(album, "item_id").select("user_id", F.col("albumId").alias("item_id"), "w")
-    wide = ratings.wide_matrix(by_album, ALBUMS)
-    return wide.withColumnsRenamed({a: a.replace("Brand#", "album_") for a in ALBUMS})
+    wide = ratings.wide_matrix(by_album, t.user, t.album.select(F.col("albumId").alias("id")))
+    return wide.withColumnsRenamed({a: a.replace("Brand#", "album_") for a in wide.columns})
+
+
+@query
+def export_rating_matrix(t):
+    """The same matrix written as CSV and read back."""
+    path = scratch_path(t.spark, "matrix-csv")
+    wide = rating_matrix_wide(t)
+    write_csv(wide, path)
+    return t.spark.read.schema(wide.schema).option("header", True).csv(path)
+
+
+@query
+def export_play_counts(t):
+    """Play counts written as CSV and read back."""
+    path = scratch_path(t.spark, "plays-csv")
+    counts = ratings.play_counts(t.play)
+    write_csv(counts, path)
+    return t.spark.read.schema(counts.schema).option("header", True).csv(path)
+
+
+@query
+def export_song_records(t):
+    """Songs written as JSON records, nulls kept, and read back."""
+    path = scratch_path(t.spark, "songs-json")
+    songs = t.song.select("id", "title", "duration", "privacy", "lyric", F.col("releaseDate").cast("string").alias("releaseDate"))
+    write_json(songs, path)
+    return t.spark.read.schema(songs.schema).json(path)
 
 
 # ---- similarity and neighbours
@@ -227,6 +247,14 @@ def recommend_songs(t):
     return recommenders.recommend_songs(t.like, t.play, t.user, t.song)
 
 
+@query
+def recommend_songs_unknown_ids(t):
+    """Songs from edges that also name unknown users and songs, which take no part."""
+    like = t.like.select("userId", "songId").unionByName(t.event_as_user)
+    play = t.play.select("userId", "songId").unionByName(t.event_as_song)
+    return recommenders.recommend_songs(like, play, t.user, t.song)
+
+
 @query
 def recommend_songs_page2(t):
     return recommenders.recommend_songs(t.like, t.play, t.user, t.song, page=2)
@@ -337,16 +365,16 @@ def media_url(t):
 
 @query
 def secure_media_path(t):
-    """Sealed paths with key and initial vector, and what opening them gives."""
+    """Sealed paths with key and initial vector, and what opening them gives; other paths as they are."""
     path = F.col("filePathAudio")
     key, iv = fc.key_and_iv(F.lit(MEDIA.password.encode()), fc.row_salt(F.col("id"), MEDIA.nonce))
-    marked = t.song.where(path.contains(MARKER)).withColumn("sealed", MEDIA.sealed(path, F.col("id")))
-    return marked.select(
+    rows, marked = t.song.withColumn("sealed", MEDIA.sealed(path, F.col("id"))), path.contains(MARKER)
+    return rows.select(
         "id",
-        F.hex(key).alias("key"),
-        F.hex(iv).alias("iv"),
+        F.when(marked, F.hex(key)).alias("key"),
+        F.when(marked, F.hex(iv)).alias("iv"),
         F.length("sealed").cast("int").alias("sealed_chars"),
-        fc.open_salted_aes(F.col("sealed"), MEDIA.password).alias("payload"),
+        F.when(marked, fc.open_salted_aes(F.col("sealed"), MEDIA.password)).otherwise(F.col("sealed")).alias("payload"),
     )
 
 
@@ -451,11 +479,28 @@ def stream_moderation(t):
     return _shown(t.spark.read.parquet(f"{out}/comments").drop("batch_id"))
 
 
+@query
+def stream_reports(t):
+    """The reports of such a stream, each with the comment it is about."""
+    schema = t.read("documents").schema
+    documents = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    out = scratch_path(t.spark, "reported-stream")
+    streams.moderate_stream(
+        comment_request(documents, t.read("events")), t.existing_comment, out, f"{out}/progress"
+    ).awaitTermination()
+    comments = t.spark.read.parquet(f"{out}/comments").select(F.col("id").alias("commentId"), F.col("content").alias("comment"), "hide")
+    return _shown(t.spark.read.parquet(f"{out}/reports").drop("batch_id")).join(comments, "commentId")
+
+
 @query
 def stream_ratings(t):
-    """Weights accumulated by a stream over the event files."""
-    schema = t.read("events").schema
-    events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    out = scratch_path(t.spark, "ratings-stream")
-    streams.ratings_stream(event_edges(events), f"{out}/increments", f"{out}/progress").awaitTermination()
-    return streams.current_ratings(t.spark.read.parquet(f"{out}/increments"))
+    """Weights accumulated by a stream over the event files, in two batches with a compaction between."""
+    events, out = t.read("events"), scratch_path(t.spark, "ratings-stream")
+    late = F.col("event_id") % 2 == 1
+    for batch, part in enumerate((~late, late)):
+        events.where(part).write.mode("append").parquet(f"{out}/source")
+        source = t.spark.readStream.schema(events.schema).parquet(f"{out}/source")
+        streams.ratings_stream(event_edges(source), f"{out}/increments", f"{out}/progress").awaitTermination()
+        if batch == 0:
+            streams.compact_ratings(t.spark, f"{out}/increments", f"{out}/base", upto=0)
+    return streams.stored_ratings(t.spark, f"{out}/increments", f"{out}/base")

@@ -9,7 +9,7 @@ from cadenza.operators.moderation import (
     REPORT_TEXT,
     STAND_IN_WORDS,
 )
-from cadenza.queries.jobs import ALBUMS, MEDIA, ONE_USER
+from cadenza.queries.jobs import MEDIA, ONE_USER
 
 EDGES = """
 line AS (SELECT o_custkey AS user_id, l_partkey, l_suppkey, l_returnflag AS f, l_linestatus AS s
@@ -107,7 +107,9 @@ request AS (SELECT d.doc_id AS id, CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id - 7
 hit AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(content), '[^a-z]+')), {WORDS})) AS h FROM request),
 scored AS (SELECT *, 1.0 - pow(CAST(4 AS DOUBLE), -h) AS toxic, 1.0 - pow(CAST(4 AS DOUBLE), -h) > 0.9 AS blocked,
              strftime(ts + INTERVAL 7 HOUR, '%m/%d/%Y %H:%M:%S') AS shown FROM hit),
-stored AS (SELECT id, CASE WHEN NOT blocked OR parent IN (SELECT doc_id FROM labels) THEN parent END AS parent,
+stored AS (SELECT id, CASE WHEN NOT blocked OR parent IN (SELECT doc_id FROM labels)
+               OR EXISTS (SELECT 1 FROM request p WHERE p.id = scored.parent AND (p.ts < scored.ts OR p.ts = scored.ts AND p.id < scored.id))
+             THEN parent END AS parent,
              user_id, song_id, content, blocked, shown FROM scored)"""
 
 STORED = (
@@ -175,7 +177,8 @@ FKS = "\nUNION ALL ".join(
         ("ArtistSong.songId", "bridge", "l_partkey", "part", "p_partkey"),
         ("ArtistSong.artistId", "bridge", "l_suppkey", "supplier", "s_suppkey"),
         ("ArtistGenre.artistId", "genre", "s_suppkey", "supplier", "s_suppkey"),
-        ("ArtistGenre.genreId", "genre", "g", "genre", "g"),
+        ("ArtistGenre.genreId", "(SELECT split_part(g, '=', 1) AS g FROM genre)", "g",
+         "(SELECT 'n' || n_nationkey AS g FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region)", "g"),
         ("AlbumSong.songId", "part", "p_partkey", "part", "p_partkey"),
         ("AlbumSong.albumId", "part", "p_brand", "album", "p_brand"),
         ("AlbumImage.albumId", "image", "p_brand", "album", "p_brand"),
@@ -191,6 +194,23 @@ def _defects(kind: str, edges: str, items: str, key: str) -> str:
   CAST(count(*) FILTER (WHERE item_id NOT IN (SELECT {key} FROM {items})) AS BIGINT) AS unknown_item FROM {edges}"""
 
 
+EVENT_AS_SONG = "(SELECT user_id, event_id AS item_id FROM events)"
+EVENT_AS_USER = "(SELECT event_id AS user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id FROM events)"
+
+KNOWN_RATINGS = f"""r AS (SELECT user_id, item_id, CAST(sum(w) AS BIGINT) AS w FROM
+  (SELECT user_id, item_id, 10 AS w FROM likes UNION ALL SELECT user_id, item_id, 1 FROM plays
+   UNION ALL SELECT user_id, item_id, 10 FROM {EVENT_AS_USER} UNION ALL SELECT user_id, item_id, 1 FROM {EVENT_AS_SONG})
+  WHERE user_id IN (SELECT c_custkey FROM customer) AND item_id IN (SELECT p_partkey FROM part) GROUP BY 1, 2)"""
+
+# the test tables have these albums
+ALBUMS = [f"Brand#{i}" for i in range(1, 26)]
+
+WIDE = (
+    f"WITH {EDGES}, {RATINGS['combined']} SELECT c_custkey AS user_id, "
+    + ", ".join(f"CAST(coalesce(sum(w) FILTER (WHERE p_brand = '{a}'), 0) AS BIGINT) AS {a.replace('Brand#', 'album_')}" for a in ALBUMS)
+    + " FROM customer LEFT JOIN r ON user_id = c_custkey LEFT JOIN part ON p_partkey = item_id GROUP BY 1"
+)
+
 SALT = f"unhex(substr(sha256('{MEDIA.nonce}:' || id), 1, 16))"
 SECRET = f"CAST('{MEDIA.password}' AS BLOB) || {SALT}"
 
@@ -211,15 +231,19 @@ ORACLE: dict[str, str] = {
     "combined_ratings": f"""WITH {EDGES}, {RATINGS["combined"]} SELECT user_id, item_id, w, w / 10.0 AS score FROM r
       JOIN customer ON c_custkey = user_id JOIN part ON p_partkey = item_id""",
     "orphan_interactions": f"WITH {EDGES} {_defects('like', 'likes', 'part', 'p_partkey')} UNION ALL "
-    f"{_defects('play', 'plays', 'part', 'p_partkey')} UNION ALL {_defects('follow', 'follows', 'supplier', 's_suppkey')}",
+    f"{_defects('play', 'plays', 'part', 'p_partkey')} UNION ALL {_defects('follow', 'follows', 'supplier', 's_suppkey')} UNION ALL "
+    f"{_defects('event', EVENT_AS_SONG, 'part', 'p_partkey')} UNION ALL {_defects('buyer', EVENT_AS_USER, 'part', 'p_partkey')}",
     "duplicate_edges": f"WITH {EDGES} SELECT user_id, item_id, count(*) AS n FROM likes GROUP BY 1, 2 HAVING count(*) > 1",
     "fk_integrity": f"WITH {EDGES}, {CARDS}, {COMMENTS} {FKS}",
     "unknown_users": f"WITH {EDGES} SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM likes)",
-    "rating_matrix_wide": f"WITH {EDGES}, {RATINGS['combined']} SELECT user_id, "
-    + ", ".join(
-        f"CAST(coalesce(sum(w) FILTER (WHERE p_brand = '{a}'), 0) AS BIGINT) AS {a.replace('Brand#', 'album_')}" for a in ALBUMS
-    )
-    + " FROM r JOIN part ON p_partkey = item_id GROUP BY 1",
+    "rating_matrix_wide": WIDE,
+    "export_rating_matrix": WIDE,
+    "export_play_counts": f"WITH {EDGES} SELECT user_id, item_id AS song_id, count(*) AS listen_count FROM plays GROUP BY 1, 2",
+    "export_song_records": """SELECT p_partkey AS id, p_name AS title, CAST(p_size AS INTEGER) AS duration, p_type = 'SMALL' AS privacy,
+        CAST(NULL AS VARCHAR) AS lyric,
+        CASE WHEN p_size > 5 THEN strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d') END AS "releaseDate" FROM part""",
+    "recommend_songs_unknown_ids": _with(EDGES, KNOWN_RATINGS, USERS["all"], SIMILARITY, _neighbors()) + ",\n" + ITEMS["combined"] + ","
+    + RECOMMENDED + "\nSELECT user_id, rank, item_id, w / 10.0 AS score FROM rec WHERE rank BETWEEN 1 AND 10",
     "user_norms": f"WITH {EDGES}, {RATINGS['combined']}, {SIMILARITY} SELECT user_id, n FROM norms",
     **{
         f"similarity_{kind}": _with(EDGES, RATINGS[kind], SIMILARITY) + " SELECT user_id, other_id, cos FROM sim"
@@ -264,11 +288,12 @@ ORACLE: dict[str, str] = {
     "local_time_text": "SELECT event_id, strftime(ts + INTERVAL 7 HOUR, '%m/%d/%Y %H:%M:%S') AS local_time FROM events",
     "media_url": f"WITH {USER} SELECT id, url FROM person",
     "secure_media_path": f"""WITH {SONG},
-      one AS (SELECT id, opened AS payload, {SECRET} AS secret FROM song WHERE path LIKE '%{MEDIA.marker}%'),
+      one AS (SELECT id, path, opened AS payload, {SECRET} AS secret FROM song WHERE path LIKE '%{MEDIA.marker}%'),
       two AS (SELECT *, unhex(md5(secret)) AS d1 FROM one),
       three AS (SELECT *, unhex(md5(d1 || secret)) AS d2 FROM two)
       SELECT id, hex(d1 || d2) AS key, upper(md5(d2 || secret)) AS iv,
-        CAST(4 * ceil((16 + 16 * (length(payload) // 16 + 1)) / 3.0) AS INTEGER) AS sealed_chars, payload FROM three""",
+        CAST(4 * ceil((16 + 16 * (length(payload) // 16 + 1)) / 3.0) AS INTEGER) AS sealed_chars, payload FROM three
+      UNION ALL SELECT id, NULL, NULL, CAST(length(path) AS INTEGER), path FROM song WHERE path NOT LIKE '%{MEDIA.marker}%'""",
     "moderation_scores": SCORES,
     "moderation_scores_model": SCORES,
     "moderation_summary": f"""WITH {COMMENTS} SELECT blocked, coalesce(CAST(l.toxic AS VARCHAR), 'none') AS label, count(*) AS comments
@@ -285,6 +310,9 @@ ORACLE: dict[str, str] = {
     "moderation_outcomes": f"""WITH {COMMENTS} SELECT id, CASE WHEN blocked THEN 'error' ELSE 'success' END AS status,
         CASE WHEN blocked THEN '{BLOCKED_MESSAGE}' ELSE '{ACCEPTED_MESSAGE}' END AS message, toxic FROM scored""",
     "stream_moderation": STORED,
+    "stream_reports": f"""WITH {COMMENTS} SELECT substr(sha256('report:' || id), 1, 32) AS id, CAST(NULL AS VARCHAR) AS "userId",
+        id AS "commentId", '{REPORT_TEXT}' AS content, '{REPORT_STATUS}' AS status, shown AS "createdAt", shown AS "updatedAt",
+        content AS comment, true AS hide FROM scored WHERE blocked""",
     "stream_ratings": """SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id,
         CAST(sum(CASE event_type WHEN 'purchase' THEN 10 ELSE 1 END) AS BIGINT) AS w
       FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2""",

@@ -90,6 +90,16 @@ class Domain:
             self._line_id().alias("followerId"), "userId", F.col("l_suppkey").alias("artistId")
         )
 
+    @cached_property
+    def event_as_song(self) -> DataFrame:
+        """Edges to event ids taken as songs, many of them unknown."""
+        return self.read("events").select(F.col("user_id").alias("userId"), F.col("event_id").alias("songId"))
+
+    @cached_property
+    def event_as_user(self) -> DataFrame:
+        """Edges of event ids taken as users, many of them unknown."""
+        return self.read("events").select(F.col("event_id").alias("userId"), F.get_json_object("props", "$.k").cast("long").alias("songId"))
+
     @cached_property
     def artist(self) -> DataFrame:
         key = F.col("s_suppkey")

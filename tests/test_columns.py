@@ -14,6 +14,7 @@ from cadenza.functions import columns as fc
 PASSWORD = "correct horse"
 TEXTS = [
     "a/b.mp3", "", 'quo"te\\back', "tab\tnew\nline\r\b\f\x01\x1f", "\x7f", "Đường đến", "emoji 🎵 end", "x" * 200, "/slash/", "'",
+    "abc\n", "abc\r", "abc\u0085", "abc\u2028", 'a"b\n', "\n", "é" * 500,
 ]
 
 

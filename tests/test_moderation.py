@@ -1,5 +1,6 @@
 """Routing of comments, in batch and as a stream."""
 
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -55,6 +56,35 @@ def test_parents_and_hiding(spark):
     }
 
 
+def test_parents_among_the_requests(spark):
+    """A reply may name an earlier request, by time and then id, blocked or not, but no later one and not itself."""
+    later = datetime(2024, 1, 2)
+    rows = [
+        (1, None, 1, 5, "nice", later), (2, 1, 1, 5, "stupid clown", AT), (3, 2, 1, 5, "stupid clown", AT), (4, 5, 1, 5, "stupid clown", AT),
+        (5, 1, 1, 5, "stupid clown", later), (6, 6, 1, 5, "stupid clown", AT), (7, 42, 1, 5, "stupid clown", AT), (42, None, 1, 5, "old", later),
+    ]
+    rows = mod.moderated_comments(mod.score(spark.createDataFrame(rows, REQUEST)), spark.createDataFrame([(42,), (42,)], "id long"))
+    assert by_id(rows, "commentParentId") == {1: (None,), 2: (None,), 3: (2,), 4: (None,), 5: (1,), 6: (None,), 7: (42,), 42: (None,)}
+
+
+def test_a_scorer_is_loaded_once_per_process(spark, tmp_path):
+    loads = str(tmp_path / "loads")
+
+    def load():
+        with open(loads, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return load_word_scorer()
+
+    scores = mod.model_scores(load, key="counted")
+    df = requests(spark).repartition(40).persist()
+    for _ in range(2):
+        mod.score(df, scores).write.format("noop").mode("overwrite").save()
+    df.unpersist()
+    with open(loads) as f:
+        found = f.read().split()
+    assert len(found) == len(set(found))
+
+
 def test_reports_and_outcomes(spark):
     scored = mod.score(requests(spark))
     rows = mod.reports(scored).collect()
@@ -107,6 +137,45 @@ def test_moderation_stream_in_two_batches_and_again(spark, tmp_path):
     assert stored() == want
 
 
+def test_a_reply_to_a_comment_of_an_earlier_batch(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    none = existing(spark).where("false")
+
+    def run():
+        stream = spark.readStream.schema(REQUEST).parquet(source)
+        streams.moderate_stream(stream, none, out, progress).awaitTermination()
+        return by_id(spark.read.parquet(f"{out}/comments"), "commentParentId")
+
+    def add(*rows):
+        spark.createDataFrame(rows, REQUEST).coalesce(1).write.mode("append").parquet(source)
+
+    add((1, None, 1, 5, "nice song", AT), (9, 8, 1, 5, "stupid clown", AT))
+    assert run() == {1: (None,), 9: (None,)}
+    add((2, 1, 1, 5, "stupid clown", AT), (8, None, 1, 5, "late parent", AT))
+    want = {1: (None,), 9: (None,), 2: (1,), 8: (None,)}
+    assert run() == want
+    for n in (1, 0):  # a batch run again sees no later ones
+        for name in (f"{n}", f".{n}.crc"):
+            (tmp_path / "progress" / "commits" / name).unlink()
+        assert run() == want
+
+
+def test_compaction_counts_every_batch_once(spark, tmp_path):
+    source, out, base, progress = (str(tmp_path / n) for n in ("in", "out", "base", "progress"))
+    schema = "kind string, userId long, songId long"
+    want = {}
+    for n in range(4):
+        spark.createDataFrame([("like", 1, 1), ("play", n, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+        streams.ratings_stream(spark.readStream.schema(schema).parquet(source), out, progress).awaitTermination()
+        want[1, 1] = want.get((1, 1), 0) + 10
+        want[n, 2] = want.get((n, 2), 0) + 1
+        if n in (1, 2):
+            streams.compact_ratings(spark, out, base, upto=n)
+            streams.compact_ratings(spark, out, base, upto=n)  # again, after a failure
+        got = {(r[0], r[1]): r[2] for r in streams.stored_ratings(spark, out, base).collect()}
+        assert got == want
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     """Losing the record of the last batch makes the stream run it again."""
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))

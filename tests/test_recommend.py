@@ -51,9 +51,32 @@ def test_orphans_and_known_only(spark):
 
 def test_wide_matrix(spark):
     df = spark.createDataFrame([(1, 1, 5), (2, 3, 4)], "user_id long, item_id long, w long")
-    wide = ratings.wide_matrix(df, [1, 2, 3], prefix="s")
+    users, items = spark.range(1, 4), spark.range(1, 4)
+    wide = ratings.wide_matrix(df, users, items, prefix="s")
     assert wide.columns == ["user_id", "s1", "s2", "s3"]
-    assert sorted_rows(wide) == [(1, 5, 0, 0), (2, 0, 0, 4)]
+    assert sorted_rows(wide) == [(1, 5, 0, 0), (2, 0, 0, 4), (3, 0, 0, 0)]
+    with pytest.raises(ValueError):
+        ratings.wide_matrix(df, users, spark.range(ratings.WIDE_COLUMNS + 1))
+
+
+def test_defects(spark):
+    df = spark.createDataFrame([(1, 1), (1, 9), (8, 1), (8, 9), (1, 9)], "user_id long, item_id long")
+    assert sorted_rows(ratings.defects(df, spark.range(3), spark.range(3))) == [(5, 2, 3)]
+
+
+def test_unknown_users_and_songs_take_no_part(spark):
+    """Unknown user 9 is no neighbour, unknown songs 50 and 99 are not recommended."""
+    edges = [(u, s) for u in range(1, 8) for s in range(1, 8) if (u + s) % 3] + [(9, s) for s in range(1, 8)] + [(1, 50), (9, 99), (2, 99)]
+    likes = spark.createDataFrame(edges, "userId long, songId long")
+    users, songs = spark.range(1, 8), spark.range(1, 8)
+    known = spark.createDataFrame([e for e in edges if e[0] < 8 and e[1] < 8], likes.schema)
+    none = likes.where("false")
+    got = sorted_rows(plans.recommend_songs(likes, none, users, songs))
+    assert got == sorted_rows(plans.recommend_songs(known, none, users, songs))
+    assert {r[2] for r in got} <= set(range(1, 8))
+    follow = likes.withColumnRenamed("songId", "artistId")
+    got = sorted_rows(plans.recommend_artists(follow, users, songs))
+    assert got == sorted_rows(plans.recommend_artists(known.withColumnRenamed("songId", "artistId"), users, songs))
 
 
 @pytest.mark.parametrize("page", [1, 2, 5])
