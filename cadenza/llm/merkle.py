@@ -111,16 +111,20 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Other columns are not read.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), text.alias("text"))
-    order = next_documents(docs, id_column, text_column).withColumnRenamed("id", "for_id")
-    given = rows.join(order, F.col("id").eqNullSafe(F.col("next_id"))).where(F.xxhash64("text") == F.col("next_hash"))
-    given = given.select("for_id", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("given"), fingerprint(F.col("text")).alias("next_print"))
-    given = given.dropDuplicates(["for_id"])
-    joined = rows.join(given, F.col("id").eqNullSafe(F.col("for_id")))
+    # as structs, ids can be null and equal, and all joins and the folding have the same key
+    rows = docs.select(F.struct(F.col(id_column).alias("id")).alias("key"), text.alias("text"))
+    order = next_documents(docs, id_column, text_column)
+    order = order.select(F.struct("id").alias("for_key"), "need", F.struct(F.col("next_id").alias("id")).alias("next_key"), "next_hash")
+    # not an equality of columns: both joins are to have the same key, so that the texts' shuffle serves both
+    same_text = F.xxhash64("text").bitwiseXOR(F.col("next_hash")) == 0
+    given = rows.join(order, F.col("key") == F.col("next_key")).where(same_text)
+    given = given.select("for_key", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("given"), fingerprint(F.col("text")).alias("next_print"))
+    given = given.dropDuplicates(["for_key"])
+    joined = rows.join(given, F.col("key") == F.col("for_key"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("given"), F.lit(1), half))
-    joined = joined.select("id", fingerprint(F.col("text")).alias("print"), "next_print", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    joined = joined.select(F.col("key.id").alias("id"), fingerprint(F.col("text")).alias("print"), "next_print", n.cast("long").alias("n_chars"), edited.alias("edited"))
     joined = joined.withColumn("edited_print", fingerprint(F.col("edited")))
     return joined.select(
         F.col("id").alias(id_column),
