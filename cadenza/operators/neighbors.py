@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ratings import of_users
 from cadenza.operators.similarity import (
     cosine,
     partner_dots,
@@ -19,10 +20,9 @@ from cadenza.plans.materialize import cut
 
 # An item with more raters than this makes no pairs of its own, see ``_with_hot_items``.
 HOT_RATERS = 1000
-# At most so many items are treated as hot, the most popular ones, which bounds a user's hot row.
-MAX_HOT = 4096
-# Rows per side of one task in the hot-row comparison.
+# Rows per side of one task in the hot-row comparison, and hot items multiplied at a time.
 BLOCK_ROWS = 2048
+BLOCK_ITEMS = 4096
 # Slack of the bounds, far above rounding error: it can only let more candidates through.
 SLACK = 1e-9
 
@@ -47,23 +47,22 @@ def top_neighbors(
     ratings: DataFrame,
     users: DataFrame,
     k: int = 5,
-    user_ids: list | None = None,
+    user_ids: list | DataFrame | None = None,
     hot_raters: int = HOT_RATERS,
-    max_hot: int = MAX_HOT,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exactly min(k, users - 1) neighbours per user: (user_id, rank, other_id, cos).
 
     ``users`` (user_id) is everybody who can be a neighbour. Users who share an item with fewer
-    than k others are filled up with the lowest other ids at cosine 0. With ``user_ids`` only
-    these users get neighbours, by a one-sided join.
+    than k others are filled up with the lowest other ids at cosine 0. With ``user_ids`` (a list,
+    or a table with user_id) only these users get neighbours, by a one-sided join.
 
     ``ratings`` is read several times, so give it as a written table.
     """
     if user_ids is not None:
         found = nearest(similarity_of(ratings, user_ids), k)
-        return fill_up(found, users.where(F.col("user_id").isin(user_ids)), users, k)
-    hot = popular_items(ratings, hot_raters).orderBy(F.desc("raters"), "item_id").limit(max_hot)
+        return fill_up(found, of_users(users, user_ids), users, k)
+    hot = popular_items(ratings, hot_raters)
     if hot.isEmpty():
         # written once: the ratings and the lists of raters are both read from it
         rated = cut(with_norms(ratings), "rated")
@@ -169,7 +168,7 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
 def _hot_rows(hot_part: DataFrame) -> DataFrame:
     """One row per user that touched a hot item: n, hot_n and the hot row as two arrays.
 
-    The arrays hold at most one entry per hot item, of which there are at most ``MAX_HOT``.
+    The arrays hold what the user itself has of hot items.
     """
     cells = F.sort_array(F.collect_list(F.struct("item_id", "w")))
     rows = hot_part.groupBy("user_id").agg(F.max("n").alias("n"), F.max("hot_n").alias("hot_n"), cells.alias("cells"))
@@ -210,7 +209,7 @@ def _hot_rows_nearest(
     best = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(_block_nearest(k + 1), f"row_id {id_type}, other_id {id_type}, cos double")
+        .applyInPandas(_block_nearest(k + 1, BLOCK_ITEMS), f"row_id {id_type}, other_id {id_type}, cos double")
     )
     order = Window.partitionBy("row_id").orderBy(F.desc("cos"), "other_id")
     lists = (
@@ -251,25 +250,34 @@ def _blocks(rows: DataFrame, opposite: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def _block_nearest(keep: int):
-    """Task function: the ``keep`` best partners on the right for every row on the left."""
+def _block_nearest(keep: int, block_items: int):
+    """Task function: the ``keep`` best partners on the right for every row on the left.
 
-    def dense(rows: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
-        cells = np.zeros((len(rows), len(columns)))
-        sizes = rows["items"].map(len).to_numpy()
-        items = np.concatenate(rows["items"].to_list())
+    Hot items are taken a block at a time, so memory does not depend on how many there are.
+    """
+
+    def cells_of(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Row count, and line, item and weight of every entry."""
+        line = np.repeat(np.arange(len(rows)), rows["items"].map(len).to_numpy())
+        return len(rows), line, np.concatenate(rows["items"].to_list()), np.concatenate(rows["weights"].to_list())
+
+    def dense(entries: tuple, columns: np.ndarray) -> np.ndarray:
+        n, line, items, weights = entries
+        cells = np.zeros((n, len(columns)))
         spot = np.minimum(np.searchsorted(columns, items), len(columns) - 1)
         known = columns[spot] == items
-        line = np.repeat(np.arange(len(rows)), sizes)
-        cells[line[known], spot[known]] = np.concatenate(rows["weights"].to_list())[known]
+        cells[line[known], spot[known]] = weights[known]
         return cells
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"row_id": [], "other_id": [], "cos": []})
         right = right.sort_values("row_id")
-        columns = np.unique(np.concatenate(left["items"].to_list()))
-        dots = dense(left, columns) @ dense(right, columns).T
+        ours, theirs = cells_of(left), cells_of(right)
+        columns, dots = np.unique(ours[2]), np.zeros((len(left), len(right)))
+        for at in range(0, len(columns), block_items):
+            some = columns[at : at + block_items]
+            dots += dense(ours, some) @ dense(theirs, some).T
         n, n_other = left["n"].to_numpy(float), right["n"].to_numpy(float)
         cos = dots / np.sqrt(n[:, None] * n_other[None, :])
         # a stable sort keeps equal cosines in id order

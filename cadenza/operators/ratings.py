@@ -16,6 +16,13 @@ def edges(df: DataFrame, item_col: str, user_col: str = "userId") -> DataFrame:
     return df.select(F.col(user_col).alias("user_id"), F.col(item_col).alias("item_id"))
 
 
+def of_users(df: DataFrame, user_ids: list | DataFrame) -> DataFrame:
+    """Rows of the given users: a list of ids, or a table of any size with user_id."""
+    if isinstance(user_ids, DataFrame):
+        return df.join(user_ids.select("user_id").distinct(), "user_id", "left_semi")
+    return df.where(F.col("user_id").isin(user_ids))
+
+
 def combined_ratings(
     likes: DataFrame, plays: DataFrame, like_tenths: int = LIKE_TENTHS, play_tenths: int = PLAY_TENTHS
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.ratings import of_users
 from cadenza.plans.materialize import cut
 
 # The raters of an item are listed in rows of about this many; popular items take several.
@@ -108,25 +109,30 @@ def similarity(ratings: DataFrame, part_raters: int = PART_RATERS) -> DataFrame:
     return with_cosine(partner_dots(cut(with_norms(ratings), "rated"), part_raters=part_raters))
 
 
-def similarity_of(ratings: DataFrame, user_ids: list) -> DataFrame:
-    """Rows of the similarity matrix for the given users.
+def similarity_of(ratings: DataFrame, user_ids: list | DataFrame) -> DataFrame:
+    """Rows of the similarity matrix for the given users (a list, or a table with user_id).
 
-    One-sided: only items of these users are joined, so the work is at most one pass over the
-    ratings per requested user. A filter on the full matrix could not be pushed below the
-    mirroring, hence this separate form.
+    One-sided: only items of these users are joined, dealt out over several keys where they are
+    popular, and lengths are joined to the sums per pair. A filter on the full matrix could not
+    be pushed below the mirroring, hence this separate form.
     """
-    rated = with_norms(ratings)
-    mine = rated.where(F.col("user_id").isin(user_ids)).select("item_id", "user_id", "w", "n")
-    theirs = rated.select(
+    norms = user_norms(ratings)
+    mine = of_users(ratings, user_ids).select("item_id", "user_id", "w")
+    # lanes for the raters of popular items; what is asked for goes to each of an item's lanes
+    lanes = ratings.groupBy("item_id").agg(F.ceil(F.count("*") / PART_RATERS).cast("int").alias("lanes"))
+    wanted = mine.select("item_id").distinct().join(lanes, "item_id")
+    theirs = ratings.join(wanted, "item_id").select(
         "item_id",
+        F.pmod(F.xxhash64("user_id"), F.col("lanes")).cast("int").alias("lane"),
         F.col("user_id").alias("other_id"),
         F.col("w").alias("w_other"),
-        F.col("n").alias("n_other"),
     )
-    pairs = (
-        mine.join(theirs, "item_id")
+    mine = mine.join(wanted, "item_id").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
+    dots = (
+        mine.join(theirs, ["item_id", "lane"])
         .where("user_id <> other_id")
         .groupBy("user_id", "other_id")
-        .agg(F.sum(F.col("w") * F.col("w_other")).alias("dot"), F.max("n").alias("n"), F.max("n_other").alias("n_other"))
+        .agg(F.sum(F.col("w") * F.col("w_other")).alias("dot"))
     )
+    pairs = dots.join(norms, "user_id").join(norms.select(F.col("user_id").alias("other_id"), F.col("n").alias("n_other")), "other_id")
     return with_cosine(pairs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.listing import unknown_ids
 from cadenza.operators.neighbors import top_neighbors
-from cadenza.operators.ratings import LIKE_TENTHS, binary_ratings, combined_ratings, known_only, play_ratings
+from cadenza.operators.ratings import LIKE_TENTHS, binary_ratings, combined_ratings, known_only, of_users, play_ratings
 from cadenza.operators.recommend import fill_page, page_bounds, recommend
 from cadenza.plans.materialize import cut
 
@@ -27,11 +27,14 @@ def raters(ratings: DataFrame) -> DataFrame:
     return ratings.select("user_id").distinct()
 
 
-def _require_users(user_ids: list | None, users: DataFrame) -> None:
+def _require_users(user_ids: list | DataFrame | None, users: DataFrame) -> None:
     if user_ids is None:
         return
-    asked = users.sparkSession.createDataFrame([(u,) for u in user_ids], users.select("user_id").schema)
-    missing = [r[0] for r in unknown_ids(asked, users).collect()]
+    if isinstance(user_ids, DataFrame):
+        asked = user_ids.select("user_id")
+    else:
+        asked = users.sparkSession.createDataFrame([(u,) for u in user_ids], users.select("user_id").schema)
+    missing = [r[0] for r in unknown_ids(asked, users).limit(20).collect()]
     if missing:
         raise ValueError(f"unknown user: {', '.join(map(str, sorted(missing)))}")
 
@@ -41,7 +44,7 @@ def _run(ratings, users, items, scale, first, last, user_ids=None) -> DataFrame:
     _require_users(user_ids, users)
     near = cut(top_neighbors(ratings, users, NEIGHBORS, user_ids), "neighbors")
     head = cut(recommend(near, ratings, 1, last, user_ids), "scored")
-    wanted = users if user_ids is None else users.where(F.col("user_id").isin(user_ids))
+    wanted = users if user_ids is None else of_users(users, user_ids)
     out = fill_page(head, ratings, wanted, items, first, last)
     return out.select("user_id", "rank", "item_id", (F.col("w") / scale).alias("score"))
 
@@ -53,7 +56,7 @@ def item_ids(df: DataFrame) -> DataFrame:
 
 def recommend_songs(
     like: DataFrame, play: DataFrame, user: DataFrame, song: DataFrame,
-    page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | None = None,
+    page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | DataFrame | None = None,
 ) -> DataFrame:
     """One page of songs per user from likes and plays: (user_id, rank, item_id, score).
 
@@ -67,7 +70,7 @@ def recommend_songs(
 
 def recommend_artists(
     follow: DataFrame, user: DataFrame, artist: DataFrame,
-    page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | None = None,
+    page: int = 1, page_size: int = PAGE_SIZE, user_ids: list | DataFrame | None = None,
 ) -> DataFrame:
     """One page of artists per user from follows: (user_id, rank, item_id, score). Follows of
     unknown users or artists take no part."""
@@ -75,13 +78,13 @@ def recommend_artists(
     return _run(ratings, universe(user), item_ids(artist), 1.0, *page_bounds(page, page_size), user_ids)
 
 
-def recommend_from_likes(like: DataFrame, user_ids: list | None = None) -> DataFrame:
+def recommend_from_likes(like: DataFrame, user_ids: list | DataFrame | None = None) -> DataFrame:
     """First songs from likes alone, among the users and songs with any like."""
     ratings = cut(binary_ratings(like, "songId"), "likes")
     return _run(ratings, raters(ratings), rated_items(ratings), 1.0, 1, FIRST_ITEMS, user_ids)
 
 
-def recommend_from_plays(play: DataFrame, user_ids: list | None = None) -> DataFrame:
+def recommend_from_plays(play: DataFrame, user_ids: list | DataFrame | None = None) -> DataFrame:
     """First songs from play counts alone, among the users and songs with any play."""
     ratings = cut(play_ratings(play), "plays")
     return _run(ratings, raters(ratings), rated_items(ratings), 1.0, 1, FIRST_ITEMS, user_ids)

@@ -247,6 +247,20 @@ def recommend_songs(t):
     return recommenders.recommend_songs(t.like, t.play, t.user, t.song)
 
 
+@query
+def recommend_songs_given_users(t):
+    """The first page of songs of every fifth user, given as a table."""
+    asked = t.user.select(F.col("id").alias("user_id")).where("user_id % 5 = 0")
+    return recommenders.recommend_songs(t.like, t.play, t.user, t.song, user_ids=asked)
+
+
+@query
+def similarity_given_users(t):
+    """Rows of the similarity matrix of every fifth user, cosine at least 0.1."""
+    asked = t.user.select(F.col("id").alias("user_id")).where("user_id % 5 = 0")
+    return similarity.similarity_of(_combined(t), asked).where("cos >= 0.1")
+
+
 @query
 def recommend_songs_unknown_ids(t):
     """Songs from edges that also name unknown users and songs, which take no part."""

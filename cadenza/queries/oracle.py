@@ -242,6 +242,9 @@ ORACLE: dict[str, str] = {
     "export_song_records": """SELECT p_partkey AS id, p_name AS title, CAST(p_size AS INTEGER) AS duration, p_type = 'SMALL' AS privacy,
         CAST(NULL AS VARCHAR) AS lyric,
         CASE WHEN p_size > 5 THEN strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d') END AS "releaseDate" FROM part""",
+    "recommend_songs_given_users": _page("combined", "all", 1, 10, "10.0") + " AND user_id % 5 = 0",
+    "similarity_given_users": _with(EDGES, RATINGS["combined"], SIMILARITY)
+    + " SELECT user_id, other_id, cos FROM sim WHERE user_id % 5 = 0 AND cos >= 0.1",
     "recommend_songs_unknown_ids": _with(EDGES, KNOWN_RATINGS, USERS["all"], SIMILARITY, _neighbors()) + ",\n" + ITEMS["combined"] + ","
     + RECOMMENDED + "\nSELECT user_id, rank, item_id, w / 10.0 AS score FROM rec WHERE rank BETWEEN 1 AND 10",
     "user_norms": f"WITH {EDGES}, {RATINGS['combined']}, {SIMILARITY} SELECT user_id, n FROM norms",

@@ -42,14 +42,15 @@ def test_neighbors_plain(spark, seed):
 
 
 @pytest.mark.parametrize(
-    "seed,hot_raters,max_hot,block_rows,popular",
+    "seed,hot_raters,block_items,block_rows,popular",
     [(0, 8, 100, 2048, 0.4), (1, 8, 100, 4, 0.4), (2, 3, 100, 3, 0.4), (3, 3, 2, 5, 0.9), (4, 0, 100, 7, 0.6), (5, 10, 1, 2, 0.8)],
 )
-def test_neighbors_with_hot_items(spark, seed, hot_raters, max_hot, block_rows, popular):
+def test_neighbors_with_hot_items(spark, monkeypatch, seed, hot_raters, block_items, block_rows, popular):
+    monkeypatch.setattr(neighbors, "BLOCK_ITEMS", block_items)
     rows = dense.random_rows(seed, popular=popular, per_user=3)
     m = dense.matrix(rows, range(46), range(30))
     got = neighbors.top_neighbors(
-        frame(spark, rows), everybody(spark, 46), hot_raters=hot_raters, max_hot=max_hot, block_rows=block_rows
+        frame(spark, rows), everybody(spark, 46), hot_raters=hot_raters, block_rows=block_rows
     )
     assert sorted_rows(got) == sorted(dense.neighbors(m))
 
