@@ -14,8 +14,8 @@ from cadenza.plans.materialize import cut
 
 # Shorter lines are only compared for equality: one edit makes other words of them.
 MIN_CHARS = 20
-# Keys per Arrow batch of variants.
-BATCH = 200_000
+# A line is cut into so many parts to find where it may differ from another one.
+SEGMENTS = 16
 
 
 def normal(line: Column | str) -> Column:
@@ -51,44 +51,84 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def variant_hashes(line: str) -> tuple[int, np.ndarray]:
-    """Hashes of a line, and of the line without its i-th character for all i, in linear time.
+BASE = 0x9DDFEA08EB382D69
 
-    The hash is the sum of code * base ** place, so leaving one out moves the rest down a place.
-    """
-    base, inverse = 0x9DDFEA08EB382D69, pow(0x9DDFEA08EB382D69, -1, 1 << 64)
+
+def prefix_hashes(line: str) -> np.ndarray:
+    """Hashes of the first 0, 1, 2, ... characters: sums of code * BASE ** place, modulo 2 ** 64."""
     codes = _mixed(np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64))
-    powers = np.cumprod(np.full(len(codes), base, np.uint64))
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers)])
-    return int(upto[-1]), upto[:-1] + (upto[-1] - upto[1:]) * np.uint64(inverse)
+    powers = np.cumprod(np.full(len(codes), BASE, np.uint64))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers)])
 
 
-def deletion_variants(lines: DataFrame) -> DataFrame:
-    """(line_id, variant, at) for ``lines`` (line_id, line): the line's own hash with place -1, and
-    those of the line without each of its characters."""
+def without(upto: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the line of ``upto`` without the ``size`` characters from each of ``start`` on: what
+    follows moves down by as many places."""
+    back = np.uint64(pow(BASE, -size, 1 << 64))
+    return upto[start] + (upto[-1] - upto[start + size]) * back
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, variants, places, held = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal ids, variants, places, held
-            columns = [np.concatenate(x) for x in (ids, variants, places)]
-            ids, variants, places, held = [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line_id", "variant", "at"])
+def _segments(n: int, longer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a line's segments, cut for the shorter of two lines: the line itself, or,
+    with ``longer`` 1, one without one of its ``n`` characters."""
+    borders = (n - longer) * np.arange(SEGMENTS + 1, dtype=np.int64) // SEGMENTS
+    return borders[:-1], borders[1:] + longer
+
+
+def segment_keys(lines: DataFrame) -> DataFrame:
+    """(line_id, key, longer, segment) for ``lines`` (line_id, line): hashes of the line without each
+    of its segments.
+
+    Lines within one edit have equal keys for the segment that the edit is in, cut for the
+    shorter one's length.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for line_id, line in zip(batch.column(0), batch.column(1), strict=True):
-                own, without = variant_hashes(line.as_py())
-                variants.append(np.concatenate([np.array([own], np.uint64), without]).view(np.int64))
-                places.append(np.arange(-1, len(without), dtype=np.int32))
-                ids.append(np.full(len(without) + 1, line_id.as_py(), np.int64))
-                held += len(without) + 1
-                if held >= BATCH:
-                    yield flush()
-        if held:
-            yield flush()
+            keys = []
+            for line in batch.column(1):
+                upto = prefix_hashes(line.as_py())
+                n = len(upto) - 1
+                for longer in (0, 1):
+                    start, end = _segments(n, longer)
+                    key = np.empty(SEGMENTS, np.uint64)
+                    for size in set((end - start).tolist()):
+                        some = end - start == size
+                        key[some] = without(upto, start[some], size)
+                    salt = np.arange(SEGMENTS, dtype=np.uint64) + np.uint64((n - longer) * SEGMENTS)
+                    keys.append(_mixed(key ^ _mixed(salt)))
+            rows = len(batch)
+            columns = [
+                np.repeat(batch.column(0).to_numpy(), 2 * SEGMENTS), np.concatenate(keys).view(np.int64),
+                np.tile(np.repeat(np.array([0, 1], np.int32), SEGMENTS), rows), np.tile(np.arange(SEGMENTS, dtype=np.int32), 2 * rows),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line_id", "key", "longer", "segment"])
+
+    return lines.select("line_id", "line").mapInArrow(run, "line_id long, key long, longer int, segment int")
 
-    return lines.select("line_id", "line").mapInArrow(run, "line_id long, variant long, at int")
+
+def deletion_variants(lines: DataFrame) -> DataFrame:
+    """(line_id, variant, at) for ``lines`` (line_id, line, segments): the line's own hash with place -1,
+    and those of the line without each character of the given segments (array of (longer, segment))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, variants, places = [], [], []
+            for line_id, line, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                upto = prefix_hashes(line.as_py())
+                n = len(upto) - 1
+                spans = []
+                for x in wanted.as_py():
+                    start, end = _segments(n, x["longer"])
+                    spans.append(np.arange(start[x["segment"]], end[x["segment"]]))
+                at = np.unique(np.concatenate(spans))
+                variants.append(np.append(upto[-1:], without(upto, at, 1)))
+                places.append(np.append(np.int32(-1), at.astype(np.int32)))
+                ids.append(np.full(len(at) + 1, line_id.as_py(), np.int64))
+            columns = [np.concatenate(ids), np.concatenate(variants).view(np.int64), np.concatenate(places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line_id", "variant", "at"])
+
+    return lines.select("line_id", "line", "segments").mapInArrow(run, "line_id long, variant long, at int")
 
 
 def within_one(a: str, b: str) -> bool:
@@ -118,8 +158,14 @@ def near_lines(first: DataFrame, texts: DataFrame) -> DataFrame:
     Lines that become equal without their character at the same place differ there only; a line
     equal to another without a character lacks that one. So every group of equal keys needs its
     earliest member only, and no pairs are made. The edit distance is checked on the texts.
+
+    Only characters of such segments are left out without which the line equals another one
+    without its own; that is so for the segment with the edit.
     """
-    keys = cut(deletion_variants(texts).join(first, "line_id"), "variants")
+    segments = cut(segment_keys(texts), "segments")
+    shared = segments.groupBy("key").agg(F.min("line_id").alias("a"), F.max("line_id").alias("b")).where("a <> b")
+    open_ = segments.join(shared.select("key"), "key").groupBy("line_id").agg(F.collect_set(F.struct("longer", "segment")).alias("segments"))
+    keys = cut(deletion_variants(texts.join(open_, "line_id")).join(first, "line_id"), "variants")
     one = F.struct("place", "line_id")
     changed = keys.where("at >= 0").groupBy("variant", "at").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b")
     by_change = keys.join(changed.select("variant", "at", "a"), ["variant", "at"]).where(F.col("place") > F.col("a.place"))
@@ -143,7 +189,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_column: str =
 
     1. Lines are folded to distinct ones by hash with their first place.
     2. Distinct lines that share no half with another can have no near one and are done.
-    3. ``near_lines`` on the texts of the rest.
+    3. ``near_lines`` on the texts of the rest, which narrows the place down further.
 
     A null text has no lines, an empty one has one blank line. Documents of equal id are ordered
     by hash of their texts, null ids come first; rows that repeat an id and text are one document
@@ -167,7 +213,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_column: str =
         F.collect_list(F.struct("line_id", F.col("place.number").alias("number"))).alias("wanted")
     )
     same = F.col("doc_id").eqNullSafe(F.col("open_id")) & F.col("text_hash").eqNullSafe(F.col("open_hash"))
-    texts = split.join(of_doc, same).select("lines", F.inline("wanted"))
+    # the open lines grow with the corpus, so they are never broadcast, not even while they are few
+    texts = split.join(of_doc.hint("merge"), same).select("lines", F.inline("wanted"))
     texts = cut(texts.select("line_id", normal(F.element_at("lines", F.col("number") + 1)).alias("line")).dropDuplicates(["line_id"]), "open-texts")
     near = near_lines(open_lines, texts).select("line_id", F.lit(True).alias("near"))
 

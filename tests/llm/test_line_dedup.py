@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import xxhash
+
 from cadenza.llm import line_dedup as ld
 
 
@@ -96,9 +98,23 @@ def test_texts_without_them(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "keep this line of text\n", "a"), (2, "and another", "b"), (2, "and another", "b"), (3, None, "c")]
 
 
-def test_variants_match_plain_deletions():
+def test_hashes_match_plain_deletions():
     line = "añb\U0001f600ccd"
-    own, without = ld.variant_hashes(line)
-    for i in range(len(line)):
-        assert ld.variant_hashes(line[:i] + line[i + 1 :])[0] == int(without[i])
-    assert own == ld.variant_hashes(line)[0]
+    upto = ld.prefix_hashes(line)
+    for size in (1, 2, 5):
+        starts = np.arange(len(line) - size + 1)
+        for i, h in zip(starts, ld.without(upto, starts, size), strict=True):
+            assert ld.prefix_hashes(line[:i] + line[i + size :])[-1] == h
+
+
+def test_many_lengths(spark):
+    """Every place of an edit in lines of many lengths."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(20, 60, 3):
+        line = "".join(rng.choice("abcdefgh") for _ in range(n))
+        for i in range(n + 1):
+            for other in {line[:i] + "X" + line[i + 1 :], line[:i] + "X" + line[i:]}:
+                rows.append((len(rows), other if rng.random() < 0.5 else line + "\n" + other))
+    rng.shuffle(rows)
+    assert run(spark, rows) == plain(rows)
