@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,35 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"cadenza-{application}-")
 
 
+_OPEN_JOBS: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """A job that owns the tables written below the shared folder meanwhile, and removes them at its end.
+
+    Results are read from such tables, so write or collect them inside::
+
+        with scratch_tables(spark):
+            recommend_songs(like, play, user, song).write.parquet(path)
+    """
+    made: list[str] = []
+    _OPEN_JOBS.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN_JOBS.remove(made)
+        for path in made:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; a ``scratch_tables`` job around it owns what is written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_JOBS:
+        _OPEN_JOBS[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -141,3 +141,20 @@ def test_ranked_cards_keep_the_rank(spark):
     top = spark.createDataFrame([(9, 1, 2, 1.0), (9, 2, 1, 0.5)], "user_id long, rank int, item_id long, score double")
     got = catalog.ranked_cards(top, catalog.song_cards(Songs(spark), media)).orderBy("rank").collect()
     assert [(r["user_id"], r["rank"], r["title"]) for r in got] == [(9, 1, "two"), (9, 2, "one")]
+
+
+def test_a_job_removes_its_scratch_tables(spark, tmp_path):
+    from cadenza.plans.materialize import cut, scratch_tables
+
+    def there(path):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    kept = str(tmp_path / "result")
+    with scratch_tables(spark) as made:
+        cut(spark.range(5), "one").write.parquet(kept)
+        with scratch_tables(spark) as inner:
+            cut(spark.range(3), "two").count()
+        assert len(made) == len(inner) == 1 and there(made[0]) and not there(inner[0])
+    assert not there(made[0])
+    assert spark.read.parquet(kept).count() == 5
