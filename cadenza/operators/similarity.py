@@ -52,9 +52,9 @@ def _raters(rated: DataFrame, other: Column, part_raters: int | None) -> tuple[D
     join key holds about ``part_raters`` ratings at most.
     """
     listed = F.collect_list(other).alias("raters")
-    popular = None if part_raters is None else popular_items(rated, part_raters)
-    if popular is None or popular.isEmpty():
+    if part_raters is None:
         return rated, rated.groupBy("item_id").agg(listed), ["item_id"]
+    popular = popular_items(rated, part_raters)
     pieces = popular.select("item_id", F.ceil(F.col("raters") / part_raters).cast("int").alias("pieces"))
     sized = rated.join(pieces, "item_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     sized = sized.withColumn("lane", F.pmod(F.xxhash64("user_id"), F.col("pieces")).cast("int"))
