@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.grams import GramTable, codes_of, groups, letters_of, sums
-from cadenza.llm.text import type_of
+from cadenza.llm.text import short_batches, type_of
 
 UNKNOWN = "und"
 # Longest context in bytes.
@@ -120,6 +120,7 @@ def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, id_
     That bounds the counts brought to the driver and sent to the tasks; which documents are taken
     depends on a hash of their ids alone. Prediction reads every text.
     """
+    short_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     labelled = labelled.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()

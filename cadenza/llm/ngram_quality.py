@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.grams import GramTable, codes_of, groups, sums
-from cadenza.llm.text import type_of
+from cadenza.llm.text import short_batches, type_of
 from cadenza.plans.materialize import cut
 
 ORDER = 4
-# So many of the corpus's most frequent grams are sent to the tasks, at 20 bytes each; texts meet
+# So many of the corpus's most frequent grams are sent to the tasks, at some 60 bytes each; texts meet
 # all others in a join.
-FREQUENT = 500_000
+FREQUENT = 150_000
 # Documents less probable than so many of the trusted ones of their language are rejected.
 QUANTILE = 0.95
 # One in so many trusted documents is not learned from, and sets the threshold.
@@ -126,8 +126,9 @@ def scored(docs: DataFrame, grams: DataFrame, order: int = ORDER, frequent: int
     left of a document leaves as rows of gram and count and is joined with the sharded
     probabilities; no such gram is common, so no key is hot.
     """
-    top = grams.orderBy(F.desc("n"), "lang", "gram").limit(frequent).select("lang", "gram", F.col("p")).toPandas()
-    known = {lang: (GramTable(x["gram"].to_numpy(np.int64)), -np.log2(x["p"].to_numpy())) for lang, x in top.groupby("lang")}
+    top = grams.orderBy(F.desc("n"), "lang", "gram").limit(frequent).select("lang", "gram", "p").toArrow()
+    langs, gram, p = (top.column(i).to_numpy() for i in range(3))
+    known = {x: (GramTable(gram[langs == x]), -np.log2(p[langs == x])) for x in set(langs)}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +193,14 @@ def judge_quality(
     nothing; rows repeating an id each get a row. Empty tables: no documents give an empty table.
     Other columns are not read.
     """
+    short_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), lang.alias("lang"))
     held = F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(held_out)) == 0 if held_out else F.lit(False)
     good = cut(labels.where("quality = 1").select(F.col(id_column).alias("id")).distinct().withColumn("held", held), "trusted-ids")
     full = rows.where("text <> ''")
-    trusted = cut(gram_counts(full.join(good.where("not held"), "id", "left_semi"), order), "trusted-counts")
+    # trusted ids grow with the labels, so they are never broadcast, not even while they are few
+    trusted = cut(gram_counts(full.join(good.where("not held").hint("merge"), "id", "left_semi"), order), "trusted-counts")
     corpus = cut(gram_counts(full, order), "corpus-counts")
     grams = cut(corpus.join(probabilities(trusted, corpus, order), ["lang", "gram"]), "grams")
     found = scored(rows, grams, order, frequent)

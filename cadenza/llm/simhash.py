@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.graph import components
-from cadenza.llm.text import type_of
+from cadenza.llm.text import short_batches, type_of
 from cadenza.plans.materialize import cut
 
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
             values = [fingerprint(x.as_py() or b"", width) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.int64())], ["id", "text_hash", "fp"])
 
+    short_batches(docs.sparkSession)
     text = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, text_hash long, fp long")

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import simple8b
-from cadenza.llm.text import type_of
+from cadenza.llm.text import short_batches, type_of
 
 # Ids of about this many make one record of a file.
 RECORD_IDS = 1 << 20
 # Text bytes encoded together, and pieces remembered per worker process.
-TEXT_BYTES, PIECES = 1 << 22, 700_000
+TEXT_BYTES, PIECES = 1 << 22, 500_000
 PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
 _HEADER = struct.Struct("<4sII")
 MAGIC = b"TID1"
@@ -184,6 +184,7 @@ def write_token_files(
     ``RECORD_IDS`` and the longest text. ``tokenizer`` must be a path that every executor has.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
