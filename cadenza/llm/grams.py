@@ -9,7 +9,7 @@ import numpy as np
 # ASCII other than letters becomes white space; all bytes of other characters stay.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 # Bytes of text looked up together.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 def letters_of(text: str) -> bytes:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.grams import GramTable, codes_of, groups, sums
+from cadenza.llm.language_id import MAX_LANGUAGES
 from cadenza.llm.text import short_batches, type_of
 from cadenza.plans.materialize import cut
 
@@ -71,6 +72,17 @@ def _suffix(gram: Column, length: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (8 * length)) - 1))
 
 
+def per_language(df: DataFrame) -> DataFrame:
+    """A table of one row per language as the small side of a join, after a look at its size.
+
+    A join by shuffle would bring all rows of a language into one task.
+    """
+    df = cut(df, "per-language")
+    if df.count() > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    return F.broadcast(df)
+
+
 def discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): what modified Kneser-Ney takes off counts of 1, 2, and 3 or more."""
     n1, n2, n3, n4 = (F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4))
@@ -102,7 +114,7 @@ def probabilities(trusted: DataFrame, wanted: DataFrame, order: int = ORDER) ->
         asked.insert(0, asked[0].select("lang", _suffix(F.col("gram"), length).alias("gram")).distinct())
     lower = None
     for length, (counts, grams) in enumerate(zip(levels, asked, strict=True)):
-        off = discounts(counts)
+        off = per_language(discounts(counts))
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         priced = counts.join(off, "lang").select("lang", "gram", "n", taken.alias("d"))
         contexts = priced.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
@@ -213,7 +225,7 @@ def judge_quality(
         ).alias("threshold")
     )
     thirds = found.groupBy("lang").agg(F.percentile_approx("perplexity", [1 / 3, 2 / 3], exact).alias("thirds"))
-    limits = thirds.join(thresholds, "lang", "left")
+    limits = per_language(thirds.join(thresholds, "lang", "left"))
     bucket = F.when(F.col("perplexity") <= F.col("thirds")[0], "head").when(F.col("perplexity") <= F.col("thirds")[1], "middle")
     return found.join(limits, "lang").select(
         F.col("id").alias(id_column),
