@@ -110,8 +110,10 @@ def mix(
     any stretch of the mix is within a block of the weights. ``weights`` maps sources to target
     weights; without it they follow the ``POWER`` of the sources' sizes, which lowers large
     ones. ``drawn`` is true for blocks released before the first source has used up its
-    documents: until then, and no longer, all weights are met. Sources without a weight have
-    null slots and are not drawn.
+    documents: until then, and no longer, all weights are met. Slots of a source that is used
+    up stay empty, so in order of slots the others go on, by deadline, with their weights
+    renormalised, until all documents are placed. Sources without a weight have null slots and
+    are not drawn.
 
     A source of any size is numbered over many tasks. A null source is the source "" (and
     counts together with one so named); null ids are one id. Rows repeating an id and source are
@@ -153,3 +155,19 @@ def drawn_documents(docs: DataFrame, weights: Mapping[str, float] | None = None,
     for row in limits.collect():  # one row per source, at most MAX_SOURCES
         drawn = drawn | ((_key(F.col(source_column)) == row["s"]) & (_draw(id_column) <= row["last"]))
     return docs.where(drawn)
+
+
+def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = BLOCK_DOCS, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
+    """All rows of ``docs`` whose source has a weight, all their columns, in order of their slots in ``mix``.
+
+    Without given weights these are all rows. A source that is used up leaves the mix, and the
+    others go on without it. Rows repeating an id and source stand where the first of them does.
+    """
+    slots = mix(docs, weights, block_docs, id_column, source_column).where(F.col("slot").isNotNull())
+    # as structs, ids can be null and equal
+    key = F.struct(F.col(id_column).alias("id"), _key(F.col(source_column)).alias("s"))
+    slots = slots.groupBy(key.alias("key_")).agg(F.min("slot").alias("slot_"))
+    keyed = docs.withColumn("mixed_", key)
+    # the slots grow with the corpus, so their join does not depend on their size
+    placed = keyed.join(slots.hint("merge"), F.col("mixed_") == F.col("key_"))
+    return placed.orderBy("slot_", "mixed_").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,12 +1,17 @@
 """Pfair windows, deviation below one block, and the mix of a table against a plain one."""
 
 import random
+import sys
 from collections import Counter, defaultdict
 from math import ceil
+from pathlib import Path
 
 import pytest
 
-from cadenza.llm import mixing
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from cadenza.llm import mixing  # noqa: E402
 
 
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {f"s{i}": 1.0 / (i + 1) for i in range(40)}, {"x": 1e9, "y": 1}])
@@ -71,3 +76,24 @@ def test_own_weights_and_empty(spark):
     assert abs(drawn["big"] / sum(drawn.values()) - want) < 0.02 and drawn["small"] >= 190
     empty = spark.createDataFrame([], docs.schema)
     assert mixing.mix(empty).collect() == [] and mixing.drawn_documents(empty).collect() == []
+
+
+def test_all_documents_stay(spark):
+    """A source of one document and one of a third of the rows: nothing is lost."""
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(3000)] + [(3000, "one"), (3001, None), (None, "hot"), (None, "hot"), (7, "s7")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    assert Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect())) == Counter(rows)
+
+
+def test_others_go_on_with_renormalised_weights(spark):
+    sizes = {"a": 2000, "b": 300, "c": 700, "none": 5}
+    docs = spark.createDataFrame([(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)], "doc_id string, source string")
+    got = [r["source"] for r in mixing.mixed_documents(docs, {"a": 0.5, "b": 0.3, "c": 0.2}, block_docs=4).collect()]
+    assert Counter(got) == {"a": 2000, "b": 300, "c": 700}
+    b, c = (len(got) - got[::-1].index(s) for s in "bc")
+    assert abs(b - 1000) < 20 and abs(c - 2750) < 30
+    for n in range(0, b, 100):
+        assert all(abs(got[:n].count(s) - w * n) <= 8 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    for n in range(0, c - b, 100):
+        assert abs(got[b : b + n].count("c") - 2 / 7 * n) <= 12
+    assert set(got[c:]) == {"a"}
