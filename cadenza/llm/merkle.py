@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 from cadenza.plans.materialize import cut
 
-# Behind blank lines; behind line ends; before words with these first letters. All cut without
-# leaving anything out, and each depends on the text around it alone, so an edit moves no other.
+# Behind blank lines; behind line ends. All cut without leaving anything out, and each depends on
+# the text around it alone, so an edit moves no other.
 SECTION = r"(?<=\n\n)(?=[^\n])"
 PARAGRAPH = r"(?<=\n)(?=[^\n])"
-LEAF = r"(?<= )(?=[aeAE])"
+# Code points of scripts written without spaces (first, last, a block's step, how many of it):
+# South-East Asian ones and Tibetan, kana and Bopomofo, Yi, Han and its supplements.
+UNSPACED = [
+    (0x0E00, 0x109F, 32, 4), (0x1780, 0x17FF, 32, 4), (0x1950, 0x1BFF, 32, 4), (0xA980, 0xAADF, 32, 4), (0x3040, 0x312F, 32, 4),
+    (0xA000, 0xA48F, 1024, 64), (0x3400, 0x4DBF, 1024, 64), (0x4E00, 0x9FFF, 1024, 64), (0x20000, 0x3FFFF, 0x8000, 0x800),
+]
+_STARTS = "".join(f"{chr(a)}-{chr(a + n - 1)}" for first, last, step, n in UNSPACED for a in range(first, last + 1, step))
+# Before words of 4, 8, 12 … characters, in any script; within a run of characters, before those of the list.
+SPACED = r"(?<= )(?=(?:[^ \n]{4})++(?![^ \n]))"
+LEAF = rf"{SPACED}|(?<=[^ \n])(?=[{_STARTS}])"
+# All characters of the list are among these; without them, the first half of the rule is all of it.
+MAY_BE_UNSPACED = f"[{chr(0x0E00)}-{chr(0x1BFF)}{chr(0x3040)}-{chr(0x3FFFF)}]"
 
 
 def _digest(text: Column) -> Column:
@@ -19,18 +30,23 @@ def _digest(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 32)
 
 
+def _leaves(paragraph: Column) -> Column:
+    return F.when(paragraph.rlike(MAY_BE_UNSPACED), F.split(paragraph, LEAF)).otherwise(F.split(paragraph, SPACED))
+
+
 def fingerprint(text: Column) -> Column:
     """The Merkle tree of a text (null: empty) as a string: ``root:leaves``.
 
     Sections are cut behind blank lines, paragraphs behind line ends, leaves are runs of some
-    words of a paragraph. A node's digest is that of its children's digests; the root has 64
+    words of a paragraph: one ends before each word whose length is a multiple of 4 characters,
+    and, in scripts written without spaces, before each character of a fixed share. A node's digest is that of its children's digests; the root has 64
     digits. Behind it stand the first 8 digits of every leaf, in order: ``,`` parts the leaves of
     a paragraph, ``;`` paragraphs, ``/`` sections. Texts are equal if and only if their roots are.
     """
     sections = F.transform(
         F.split(F.coalesce(text, F.lit("")), SECTION),
         lambda section: F.transform(
-            F.split(section, PARAGRAPH), lambda paragraph: F.transform(F.split(paragraph, LEAF), lambda leaf: _digest(leaf))
+            F.split(section, PARAGRAPH), lambda paragraph: F.transform(_leaves(paragraph), lambda leaf: _digest(leaf))
         ),
     )
 

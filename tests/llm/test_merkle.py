@@ -81,3 +81,24 @@ def test_roots_and_edits(spark):
     pair = spark.createDataFrame([(prints[0], prints[i]) for i in range(4)], "a string, b string")
     got = [r[0] for r in pair.select(merkle.edits(F.col("a"), F.col("b"))).collect()]
     assert got == [[], [1], [1], [2]]
+
+
+SCRIPTS = {
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать",
+    "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待三人行必有我师一日不见如隔三秋",
+    "ja": "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である人間は理性と良心とを授けられており互いに",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิต่างมีเหตุผลและมโนธรรมและควรปฏิบัติต่อกัน",
+    "it, no word with a or e": "sono solo quindi molto giusti ognuno di loro li fu nostro dopo poi tutti contro nuovi primi sopra",
+}
+
+
+def test_half_a_paragraph_stays_in_any_script(spark):
+    """Of one paragraph with its second half replaced, leaves of the first half stay."""
+    rows = [(n, t, t[: len(t) // 2] + "?" * (len(t) // 2)) for n, t in SCRIPTS.items()]
+    pair = spark.createDataFrame(rows, "n string, a string, b string").select("n", *[merkle.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    for r in pair.select("n", "a", merkle.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        assert r["a"] == plain_fingerprint(SCRIPTS[r["n"]])
+        assert 0 < r["near"] < 1, r["n"]
