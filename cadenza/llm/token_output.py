@@ -12,8 +12,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import simple8b
@@ -21,9 +22,11 @@ from cadenza.llm.text import short_batches, type_of
 
 # Ids of about this many make one record of a file.
 RECORD_IDS = 1 << 20
-# Text bytes encoded together, and pieces remembered per worker process.
-TEXT_BYTES, PIECES = 1 << 22, 700_000
-PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+# Text bytes encoded together, and bytes of parts and their ids remembered within a task.
+TEXT_BYTES, MEMO_BYTES = 1 << 22, 48 << 20
+# What a remembered part takes besides its characters and ids: its entry, key and end.
+ENTRY_BYTES = 180
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-@\[-`{-~"
 _HEADER = struct.Struct("<4sII")
 MAGIC = b"TID1"
 
@@ -41,7 +44,7 @@ class Numbers(dict):
 
 
 class Memo:
-    """Remembers the ids of strings, at most about ``PIECES`` of them.
+    """Remembers the ids of strings, in about ``MEMO_BYTES`` and what one group of texts adds.
 
     ``learn`` takes strings it was not asked for before, and gives all their ids and how many
     each has.
@@ -55,10 +58,11 @@ class Memo:
         self.index = Numbers()
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.held = 0
 
     def __call__(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of lists of strings end to end, and how many each list has."""
-        if len(self.index) > PIECES:
+        if self.held > MEMO_BYTES:
             self.forget()
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int32, int(counts.sum()))
@@ -66,40 +70,55 @@ class Memo:
             ids, sizes = self.learn(new)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, ids])
+            self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + ids.nbytes
             self.index.new = []
-        first = self.ends[which]
-        sizes = self.ends[which + 1] - first
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(int(upto[-1]))]
-        return flat, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+        return _pick(self.ids, self.ends, which, counts)
 
 
-class PieceEncoder:
-    """Encodes texts piece by piece, each distinct piece once.
+def _pick(ids: np.ndarray, ends: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the strings numbered ``which`` end to end, and how many each run of ``counts`` strings has."""
+    first = ends[which]
+    sizes = ends[which + 1] - first
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    flat = ids[np.repeat(first - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+    return flat, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def part_borders(tokenizer) -> re.Pattern:
+    """Where pieces are cut: between a Latin letter and an ASCII sign or digit other than an apostrophe.
 
-    A piece is a run without ASCII white space; its parts end where a Latin letter meets an ASCII
-    sign or digit other than an apostrophe. It fits tokenizers that drop white space and never
-    join across either; pieces and parts then have the same ids alone as within their text.
+    A letter that the tokenizer's normaliser turns into anything but letters (a dotted capital I
+    ends in a combining dot) may join the sign behind it, so no cut is made beside it.
     """
+    changed = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    letters = [chr(c) for c in range(0x250) if re.match(f"[{_LETTERS}]", chr(c))]
+    kept = "".join(c for c in letters if changed(c).isalpha())
+    return re.compile(rf"(?<=[{kept}])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[{kept}])")
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece: each distinct piece of a group once, each distinct part once
+    as long as it is remembered.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A piece is a run without ASCII white space; its parts end at ``part_borders``. It fits
+    tokenizers that drop white space and never join across either; pieces and parts then have
+    the same ids alone as within their text.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(map(re.escape, specials)) if specials else rb"(?!)")
-        vocabulary = self.tokenizer.get_vocab()
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.borders = part_borders(tokenizer)
+        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) if specials else "(?!)")
+        vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.of_parts = Memo(self._encode)
-        self.of_pieces = Memo(lambda pieces: self.of_parts([self._split(p) for p in pieces]))
 
-    def _split(self, piece: bytes) -> list[str]:
-        text = piece.decode()
-        if text.isalpha() or self.special.search(piece):
-            return [text]
-        return PARTS.sub(" ", text).split(" ")
+    def _split(self, piece: str) -> list[str]:
+        if piece.isalpha() or self.special.search(piece):
+            return [piece]
+        return self.borders.sub(" ", piece).split(" ")
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters are one word each: many are encoded as one text and parted at the ids
@@ -129,14 +148,21 @@ class PieceEncoder:
         upto = np.cumsum(size)
         return flat[np.repeat(first - upto + size, size) + np.arange(len(flat))], size
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each text has."""
-        return self.of_pieces([t.split() for t in texts])
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (large strings, no nulls), and how many each text has."""
+        lists = pc.ascii_split_whitespace(texts)
+        pieces = lists.flatten().dictionary_encode()
+        ids, sizes = self.of_parts([self._split(p) for p in pieces.dictionary.to_pylist()])
+        counts = pc.list_value_length(lists).to_numpy()
+        return _pick(ids, np.concatenate([[0], np.cumsum(sizes)]), pieces.indices.to_numpy(), counts)
 
 
 @cache
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def pack_record(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -172,8 +198,10 @@ def write_token_files(
     files: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
+    order: list[Column] | None = None,
 ) -> None:
-    """Write the ids of all texts, each followed by ``end_id``, in ascending order of their id.
+    """Write the ids of all texts, each followed by ``end_id``, in ascending order of their id,
+    or by the expressions of ``order`` before it.
 
     File k holds the k-th range of ids (``files`` ranges, the session's shuffle partitions by
     default) as records (shard, record, doc_ids, n_ids, payload) in a Parquet container, which
@@ -185,15 +213,17 @@ def write_token_files(
     """
     spark = docs.sparkSession
     short_batches(spark)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    before = [c.alias(f"before_{i}") for i, c in enumerate(order or [])]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), *before)
     rows = rows.withColumn("tie", F.xxhash64("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    keys = [*rows.columns[2:-1], "id", "tie"]
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text").select("id", "text")
     kind = type_of(rows, "id")
     schema = f"shard int, record int, doc_ids array<{kind}>, n_ids long, payload binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, record = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, record = PieceEncoder(_tokenizer(tokenizer)), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         names: list[pa.Array] = []
@@ -209,13 +239,11 @@ def write_token_files(
             return pa.RecordBatch.from_arrays(columns, ["shard", "record", "doc_ids", "n_ids", "payload"])
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            held = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
             at = 0
             while at < len(texts):
-                group, held = [], 0
-                while at + len(group) < len(texts) and (not group or held < TEXT_BYTES):
-                    group.append(texts[at + len(group)].as_py() or b"")
-                    held += len(group[-1])
+                group = texts.slice(at, max(1, int(np.searchsorted(held, held[at] + TEXT_BYTES)) - at))
                 flat, sizes = encoder(group)
                 flat = np.insert(flat, np.cumsum(sizes), end_id).astype(np.uint32)
                 sizes = sizes + 1
@@ -238,6 +266,14 @@ def write_token_files(
     rows.mapInArrow(encode, schema).write.parquet(path)
 
 
+def stored_order() -> list[Column]:
+    """The order in which rows stand in the Parquet files of a table that was written in order.
+
+    Spark numbers the files of a sorted result in its order; the number stands behind "part-".
+    """
+    return [F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS int)"), F.col("_metadata.row_index")]
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: (doc_id, start, n_tokens, ids_crc32).
 

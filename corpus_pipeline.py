@@ -31,9 +31,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, and one row per document read back from them."""
+    """Token files of what is left, in the order of the mix, and one row per document read back from them.
+
+    The mixing stage's table holds the documents in that order and has no column for it, so it is
+    taken from the places of the rows in the table's files.
+    """
     path = scratch_path(spark, "token-files")
-    token_output.write_token_files(docs, path, TOKENIZER)
+    token_output.write_token_files(docs, path, TOKENIZER, order=token_output.stored_order())
     return token_output.read_token_files(spark, path)
 
 

@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
+from cadenza.llm import mixing, token_output  # noqa: E402
 from cadenza.llm.text import table  # noqa: E402
 from cadenza.plans.materialize import cut  # noqa: E402
 from test_decontamination import plain as plain_contamination  # noqa: E402
@@ -57,17 +58,21 @@ def test_decontamination(spark, stages):
     assert {r["doc_id"] for r in after.collect()} == {r[0] for r in judged if not r[-1]}
 
 
-def test_mixing(stages):
+def test_mixing(spark, stages):
+    """All documents, in the order of their slots."""
     before, after = stages[3]
-    sizes = Counter(r["source"] for r in before.collect())
-    kept = Counter(r["source"] for r in after.collect())
-    assert any(kept[s] > sizes[s] - 16 for s in sizes)  # one source is used up, to its last block
+    assert sorted(map(str, after.collect())) == sorted(map(str, before.collect()))
+    slots = {r["doc_id"]: r["slot"] for r in mixing.mix(before).collect()}
+    placed = [slots[r["doc_id"]] for r in after.orderBy(*token_output.stored_order()).collect()]
+    assert placed == sorted(placed) and len(set(placed)) > 1
 
 
 def test_tokens(stages):
+    """The token files hold the documents in the order of the mixing stage's table."""
     before, after = stages[4]
-    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    assert sorted(tuple(r) for r in after.collect()) == expected_tokens(rows)
+    rows = [(r["doc_id"], r["text"]) for r in before.orderBy(*token_output.stored_order()).collect()]
+    assert [r[0] for r in rows] != sorted(r[0] for r in rows)
+    assert [tuple(r) for r in after.orderBy("start").collect()] == expected_tokens(rows)
 
 
 def test_run(spark, stages):
@@ -85,6 +90,6 @@ def test_repeated_and_null_rows(spark):
     got = sorted(((r["doc_id"], r["lang"]) for r in docs.collect()), key=str)
     assert got == [(1, "en"), (3, "en"), (None, "en")]
     empty = docs.where("false")
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, FOLDER)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = cut(stage(spark, empty, FOLDER), name)
     assert empty.collect() == []

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadenza.llm import simple8b, token_output
@@ -64,6 +65,35 @@ def test_texts(spark, monkeypatch):
     assert run(spark, shuffled, files=1) == expected(rows)
 
 
+def test_letters_before_and_behind_signs(spark):
+    """Every letter at which pieces might be cut, between all signs."""
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalpha()]
+    rows = [(i, " ".join(f"x{c}{s}{c}{s}" for s in signs)) for i, c in enumerate(letters)]
+    rng = random.Random(3)
+    rows += [(len(rows) + i, "".join(rng.choice(letters[-250:] + signs + ["İ", " "]) for _ in range(300))) for i in range(200)]
+    assert run(spark, rows) == expected(rows)
+
+
+def test_memory_of_the_memo(monkeypatch):
+    """What is remembered is given up beyond its bytes, and nothing changes by it."""
+    monkeypatch.setattr(token_output, "MEMO_BYTES", 2000)
+    memo = token_output.Memo(lambda parts: (np.array([len(p) for p in parts], np.uint32), np.ones(len(parts), np.int64)))
+    for k in range(20):
+        lists = [["a" * (i % 7 + k) for i in range(30)], [], ["b"]]
+        ids, sizes = memo(lists)
+        assert ids.tolist() == [len(p) for x in lists for p in x] and sizes.tolist() == [30, 0, 1]
+        assert memo.held < 2000 + 8 * (token_output.ENTRY_BYTES + 40)
+
+
+def test_given_order(spark):
+    rows = [(i, f"text {i}", 100 - i) for i in range(50)]
+    path = scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
+    token_output.write_token_files(spark.createDataFrame(rows, "doc_id long, text string, place int"), path, PATH, order=[F.col("place")])
+    got = [tuple(r) for r in token_output.read_token_files(spark, path).orderBy("start").collect()]
+    assert got == expected([r[:2] for r in rows[::-1]])
+
+
 def test_records_are_cut(spark, monkeypatch):
     monkeypatch.setattr(token_output, "RECORD_IDS", 50)
     rows = [(i, "some words here " * (i % 40)) for i in range(120)]
