@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, language_id, license_scan, line_dedup, merkle, mixing, ngram_quality, simhash, token_output, url_filter
+from cadenza.llm import decontamination, language_id, license_scan, line_dedup, merkle, mixing, ngram_quality, prefix_trie, runs, simhash, substring_dedup, token_output, url_filter
 from cadenza.llm.text import table
-from cadenza.plans.materialize import scratch_path
+from cadenza.plans.materialize import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,6 +86,35 @@ def op10_line_dedup(spark, folder):
     return found.drop("text_hash").withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+@query
+def op11_substring_dedup(spark, folder):
+    return substring_dedup.repeated_words(table(spark, folder, "documents")).drop("spans")
+
+
+@query
+def op12_runs(spark, folder):
+    found = runs.periodic_runs(runs.with_periodic_tails(table(spark, folder, "documents")))
+    best, listed = runs.strongest(F.col("runs")), F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    turns = cut(prefix_trie.ordered_turns(table(spark, folder, "conversations")), "ordered-turns")
+    convs, rebuilt = prefix_trie.with_shared_openings(turns)
+    return prefix_trie.prefix_trie(rebuilt, convs)
+
+
 def _terms(terms) -> str:
     return "list_aggregate([" + ", ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms) + "], 'sum')::int"
 
@@ -141,3 +170,58 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+# the CRC-32 of a text, bit by bit
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))))"""
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH turn AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+    SELECT c, c - c % 20 AS base, {CRC32.format("c::varchar")} % 4 AS h, count(*) AS n FROM turn GROUP BY c),
+opening AS (SELECT conv.*, least(conv.h, coalesce(b.n, 0)) AS taken FROM conv LEFT JOIN (SELECT c, n FROM conv) b ON b.c = conv.base),
+rebuilt AS (
+    SELECT o.c, i, role, text FROM opening o JOIN turn t ON t.c = o.base WHERE i < taken
+    UNION ALL
+    SELECT o.c, i - h + taken, role, text FROM opening o JOIN turn t USING (c) WHERE i >= h),
+listed AS (
+    SELECT c, i + 1 AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+           list(sha256(sha256(role) || text)) OVER (PARTITION BY c ORDER BY i) AS turns
+    FROM rebuilt),
+prefix AS (
+    SELECT c, depth, words, sha256(array_to_string(turns, ',')) AS node,
+           CASE WHEN depth = 1 THEN '' ELSE sha256(array_to_string(turns[:-2], ',')) END AS above
+    FROM listed
+    UNION ALL SELECT c, 0, 0, '', NULL FROM conv),
+ended AS (SELECT c, max_by(node, depth) AS node FROM prefix GROUP BY c),
+ends AS (SELECT node, sha256(string_agg(c::varchar, ',' ORDER BY c)) AS ends_sha256 FROM ended GROUP BY node),
+node AS (
+    SELECT node, any_value(above) AS above, any_value(depth) AS depth, any_value(words) AS words, min(c) AS c, count(*) AS n FROM prefix GROUP BY node),
+child AS (SELECT above AS node, count(*) AS n FROM node WHERE above IS NOT NULL GROUP BY above),
+whole AS (
+    SELECT p.node, sum((d.n - 1) * d.words) AS saved, sum((k.n IS NULL)::int) AS leaves
+    FROM node d JOIN prefix p ON p.c = d.c AND p.depth <= d.depth LEFT JOIN child k ON k.node = d.node GROUP BY p.node)
+SELECT d.c AS conv_id, d.depth::bigint AS depth, a.c AS parent_conv_id, d.n::bigint AS n_convs, coalesce(k.n, 0)::bigint AS n_children,
+       leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM node d JOIN whole USING (node) LEFT JOIN node a ON a.node = d.above LEFT JOIN child k ON k.node = d.node LEFT JOIN ends e ON e.node = d.node
+"""
+
+ORACLE["op11_substring_dedup"] = """
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+place AS (
+    SELECT r, doc_id, s, sha256(array_to_string(w[s : s + 12], ' ')) AS phrase FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM doc)),
+first AS (SELECT phrase, min(doc_id) AS doc_id FROM place GROUP BY phrase),
+gone AS (
+    SELECT r, list(DISTINCT i) AS gone FROM (
+        SELECT r, unnest(range(s, s + 13)) AS i FROM place JOIN first USING (phrase) WHERE place.doc_id > first.doc_id) GROUP BY r),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM (
+        SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc) d
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(gone) AS i FROM gone) g WHERE g.r = d.r AND g.i = d.i) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
