@@ -4,27 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.ratings import of_users
-from cadenza.operators.similarity import (
-    cosine,
-    partner_dots,
-    popular_items,
-    similarity_of,
-    with_cosine,
-    with_norms,
-)
+from cadenza.operators.similarity import SLACK, cosine, partner_dots, popular_items, similarity_of, with_cosine, with_norms
 from cadenza.plans.materialize import cut
 
-# An item with more raters than this makes no pairs of its own, see ``_with_hot_items``.
-HOT_RATERS = 1000
-# Rows per side of one task in the hot-row comparison, and hot items multiplied at a time.
+# A rating is paired with at most this many others of its item; see ``top_neighbors``.
+LISTED_RATERS = 1000
+# Rows per side of one task in the comparison of rows, and items multiplied at a time.
 BLOCK_ROWS = 2048
 BLOCK_ITEMS = 4096
-# Slack of the bounds, far above rounding error: it can only let more candidates through.
-SLACK = 1e-9
+# Levels of the index by the share of a row that lies in an item and the more popular ones.
+LEVELS = 16
 
 
 def _first(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -48,7 +41,7 @@ def top_neighbors(
     users: DataFrame,
     k: int = 5,
     user_ids: list | DataFrame | None = None,
-    hot_raters: int = HOT_RATERS,
+    listed_raters: int = LISTED_RATERS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exactly min(k, users - 1) neighbours per user: (user_id, rank, other_id, cos).
@@ -57,19 +50,25 @@ def top_neighbors(
     than k others are filled up with the lowest other ids at cosine 0. With ``user_ids`` (a list,
     or a table with user_id) only these users get neighbours, by a one-sided join.
 
-    ``ratings`` is read several times, so give it as a written table.
+    A user's items count from the rarest up. Over the items that few users rated (up to
+    ``listed_raters``), pairs add up directly: work in proportion to the ratings. What the more
+    popular ones can add is bounded by the shares of both rows that lie there (Cauchy-Schwarz):
+
+    1. Pairs that share a listed item have their dot product there as a lower bound. Those whose
+       upper bound reaches the user's k-th best lower bound get their exact popular part.
+    2. Pairs that share popular items only have cosine <= the product of both shares from their
+       rarest common item on. They are looked for only where that product can reach the user's
+       k-th best cosine so far, in an index of rows by item and level of share, see
+       ``_popular_rows_nearest``.
+
+    Both steps are taken whatever the popularity of the items; without popular ones the first has
+    nothing to add and the second nothing to look at. ``ratings`` is read several times, so give
+    it as a written table.
     """
     if user_ids is not None:
         found = nearest(similarity_of(ratings, user_ids), k)
         return fill_up(found, of_users(users, user_ids), users, k)
-    hot = popular_items(ratings, hot_raters)
-    if hot.isEmpty():
-        # written once: the ratings and the lists of raters are both read from it
-        rated = cut(with_norms(ratings), "rated")
-        found = nearest(with_cosine(partner_dots(rated, part_raters=None), "part"), k)
-    else:
-        found = _with_hot_items(ratings, cut(hot, "hot-items"), k, block_rows)
-    return fill_up(found, users, users, k)
+    return fill_up(_nearest_of_all(ratings, k, listed_raters, block_rows), users, users, k)
 
 
 def fill_up(found: DataFrame, wanted: DataFrame, users: DataFrame, k: int) -> DataFrame:
@@ -112,29 +111,23 @@ def _kth(top: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Exact top-k without pairing up the raters of hot items (item_id, raters).
-
-    Weights are positive, so the dot product over the other ("plain") items is a lower bound of
-    the whole one, and hot items can add at most h(u) * h(v) to the cosine, h being the share of
-    a row's length that lies in hot items (Cauchy-Schwarz).
-
-    1. Pairs sharing a plain item: keep those whose upper bound reaches the k-th best lower
-       bound of the user, add their exact hot part.
-    2. Pairs sharing hot items only have cosine <= h(u): needed only for users whose k-th best
-       cosine so far does not exceed h(u), see ``_hot_rows_nearest``.
-    """
+def _nearest_of_all(ratings: DataFrame, k: int, listed_raters: int, block_rows: int) -> DataFrame:
+    """(user_id, rank, other_id, cos) of the pairs with a common item that are among a user's first k."""
+    hot = cut(popular_items(ratings, listed_raters), "popular-items")
     marked = ratings.join(hot.select("item_id", F.lit(True).alias("is_hot")), "item_id", "left")
     marked = marked.withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
     hot_n = F.sum(F.when(F.col("is_hot"), F.col("w") * F.col("w")).otherwise(0)).alias("hot_n")
-    rated = cut(with_norms(marked, hot_n), "marked-ratings")
+    rated = cut(with_norms(marked, hot_n), "rated")
     hot_part = rated.where("is_hot")
 
-    pairs = cut(partner_dots(rated.where(~F.col("is_hot")), extra=("hot_n",)), "plain-pairs")
-    floors = _kth(nearest(with_cosine(pairs, "part"), k), k)
+    pairs = with_cosine(partner_dots(rated.where(~F.col("is_hot")), extra=("hot_n",), part_raters=None), "part", "dot", "n", "n_other", "hot_n", "hot_n_other")
+    # the k-th best of a user's part bounds the k-th best of the user from below
+    of_part = Window.partitionBy("user_id", "part")
+    pairs = pairs.withColumn("rank", F.row_number().over(of_part.orderBy(F.desc("cos"), "other_id")))
+    pairs = pairs.withColumn("floor", F.coalesce(F.max(F.when(F.col("rank") == k, F.col("cos"))).over(of_part), F.lit(0.0)))
     hot_both = F.col("hot_n").cast("double") * F.col("hot_n_other")
     reach = cosine(F.col("dot") + F.sqrt(hot_both), F.col("n"), F.col("n_other")) * (1 + SLACK)
-    live = pairs.join(floors, "user_id").where(reach >= F.col("floor"))
+    live = pairs.where(reach >= F.col("floor"))
     live = cut(live.select("user_id", "other_id", "dot", "n", "n_other", (hot_both > 0).alias("add")), "live-pairs")
     added = (
         live.where("add")
@@ -150,7 +143,7 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
     exact = live.join(added, ["user_id", "other_id"], "left").withColumn(
         "dot", F.col("dot") + F.coalesce("hot_dot", F.lit(0))
     )
-    first = cut(nearest(with_cosine(exact), k), "nearest-by-plain")
+    first = cut(nearest(with_cosine(exact), k), "nearest-by-listed")
 
     hot_users = _hot_rows(hot_part)
     share = F.sqrt(F.col("hot_n").cast("double") / F.col("n")) * (1 + SLACK)
@@ -160,7 +153,7 @@ def _with_hot_items(ratings: DataFrame, hot: DataFrame, k: int, block_rows: int)
         .where(share >= F.col("floor"))
         .select("user_id", "n", "items", "weights", "floor")
     )
-    second = _hot_rows_nearest(open_users, hot_users, hot, k, block_rows)
+    second = _popular_rows_nearest(open_users, hot_users, hot, k, block_rows)
     both = first.select("user_id", "other_id", "cos").unionAll(second)
     return nearest(both.groupBy("user_id", "other_id").agg(F.max("cos").alias("cos")), k)
 
@@ -176,41 +169,43 @@ def _hot_rows(hot_part: DataFrame) -> DataFrame:
     return cut(rows, "hot-rows")
 
 
-def _hot_rows_nearest(
+def _popular_rows_nearest(
     open_users: DataFrame, hot_users: DataFrame, hot: DataFrame, k: int, block_rows: int
 ) -> DataFrame:
-    """(user_id, other_id, cos over hot items) holding all that open users can still need.
+    """(user_id, other_id, cos over popular items) holding all that open users can still need.
 
-    Users with equal hot rows score alike but for their length: against any user, the shortest
+    Users with equal popular rows score alike but for their length: against any user, the shortest
     k + 1 of them (ties: lowest id) come before all others, and at least k of these are not the
-    user itself. So k + 1 members stand for all copies of a hot row. Likewise open users with
-    equal hot row and length share one list of k + 1 partners.
+    user itself. So k + 1 members stand for all copies of a row. Likewise open users with equal
+    popular row and length share one list of k + 1 partners.
 
-    What is left is compared block by block: per probed hot item both sides are dealt out to
-    blocks of bounded size, and a task multiplies two blocks and keeps k + 1 partners per row.
+    What is left is an index: each member stands under each of its items at the level of its share
+    from that item on. An asker looks under its items at the levels that can reach its floor. Both
+    sides of an item and level are dealt out to blocks of bounded size, and a task multiplies two
+    blocks and keeps k + 1 partners per row.
     """
     same_row = Window.partitionBy("items", "weights").orderBy("n", "user_id")
     members = hot_users.withColumn("r", F.row_number().over(same_row)).where(F.col("r") <= k + 1)
-    members = cut(members.select(F.col("user_id").alias("row_id"), "n", "items", "weights"), "hot-members")
+    members = cut(members.select(F.col("user_id").alias("row_id"), "n", "items", "weights"), "members")
     open_users = cut(open_users, "open-users")
     askers = open_users.groupBy("items", "weights", "n").agg(
         F.min("user_id").alias("row_id"), F.min("floor").alias("floor")
     )
-    askers = cut(askers, "hot-askers")
+    askers = cut(askers, "askers")
 
     asking = askers.drop("floor").join(cut(_probes(askers, hot), "probes"), "row_id")
-    listed = members.withColumn("item_id", F.explode("items"))
+    asking = asking.withColumn("level", F.explode(F.sequence("least", F.lit(LEVELS - 1)))).drop("least")
+    listed = members.join(_shares(members, hot).select("row_id", "item_id", _level(F.col("share")).alias("level")), "row_id")
     left, right = _blocks(asking, listed, block_rows), _blocks(listed, asking, block_rows)
-    right = right.select(
-        "item_id", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), "row_id", "n", "items", "weights"
-    )
-    keys = ["item_id", "mine", "theirs"]
+    keys = ["item_id", "level", "mine", "theirs"]
+    right = right.select("item_id", "level", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), "row_id", "n", "items", "weights")
     id_type = members.schema["row_id"].dataType.simpleString()
     best = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
         .applyInPandas(_block_nearest(k + 1, BLOCK_ITEMS), f"row_id {id_type}, other_id {id_type}, cos double")
     )
+    # a pair is met under each common item, and always has the same cosine
     order = Window.partitionBy("row_id").orderBy(F.desc("cos"), "other_id")
     lists = (
         best.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
@@ -219,41 +214,52 @@ def _hot_rows_nearest(
     return asked.join(lists, "row_id").where("user_id <> other_id").select("user_id", "other_id", "cos")
 
 
+def _shares(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(row_id, item_id, share): what a row's item and its more popular ones make up of its length."""
+    cells = rows.select("row_id", "n", F.inline(F.arrays_zip(F.col("items").alias("item_id"), F.col("weights").alias("w"))))
+    to_come = Window.partitionBy("row_id").orderBy("raters", "item_id").rowsBetween(0, Window.unboundedFollowing)
+    rest = F.sum(F.col("w") * F.col("w")).over(to_come)
+    return cells.join(hot, "item_id").select("row_id", "item_id", F.sqrt(rest.cast("double") / F.col("n")).alias("share"))
+
+
+def _level(share: Column) -> Column:
+    return F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int")
+
+
 def _probes(askers: DataFrame, hot: DataFrame) -> DataFrame:
-    """(row_id, item_id): the hot items under which a row must look for partners.
+    """(row_id, item_id, least): the items under which a row must look for partners, and the least level there.
 
-    Take a row's hot items from the least popular on. Once the items still to come make up less
-    of its length than its floor, a partner sharing only those stays below the floor; so they,
-    the most popular ones, need not be probed.
+    Take a row's items from the least popular on. A pair whose rarest common item this is has
+    cosine <= the product of both shares; where the row's own share is below its floor, no partner
+    can reach it, and elsewhere only partners whose share is at least floor / own share.
     """
-    cells = askers.select("row_id", "n", "floor", F.inline(F.arrays_zip(F.col("items").alias("item_id"), F.col("weights").alias("w"))))
-    to_come = Window.partitionBy("row_id").orderBy("raters", "item_id").rowsBetween(0, Window.unboundedFollowing)
-    cells = cells.join(hot, "item_id").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(to_come))
-    share = F.sqrt(F.col("rest").cast("double") / F.col("n")) * (1 + SLACK)
-    return cells.where(share >= F.col("floor")).select("row_id", "item_id")
+    shares = _shares(askers, hot).join(askers.select("row_id", "floor"), "row_id")
+    needed = F.col("floor") / F.col("share") * (1 - SLACK)
+    return shares.where(needed <= 1).select("row_id", "item_id", _level(needed).alias("least"))
 
 
 def _blocks(rows: DataFrame, opposite: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of one side (one per hot item), once per block of the opposite side of that item.
+    """Rows of one side (one per item and level), once per block of the opposite side there.
 
-    The counts joined here have one row per hot item.
+    The counts joined here have one row per item and level.
     """
+    keys = ["item_id", "level"]
     count = F.ceil(F.count("*") / block_rows).cast("int")
-    counts = rows.groupBy("item_id").agg(count.alias("own_blocks")).join(
-        opposite.groupBy("item_id").agg(count.alias("opposite_blocks")), "item_id"
+    counts = rows.groupBy(*keys).agg(count.alias("own_blocks")).join(
+        opposite.groupBy(*keys).agg(count.alias("opposite_blocks")), keys
     )
     return (
-        rows.join(counts, "item_id")
+        rows.join(counts, keys)
         .withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("own_blocks")).cast("int"))
         .withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("opposite_blocks") - 1)))
-        .select("item_id", "mine", "theirs", "row_id", "n", "items", "weights")
+        .select(*keys, "mine", "theirs", "row_id", "n", "items", "weights")
     )
 
 
 def _block_nearest(keep: int, block_items: int):
     """Task function: the ``keep`` best partners on the right for every row on the left.
 
-    Hot items are taken a block at a time, so memory does not depend on how many there are.
+    Items are taken a block at a time, so memory does not depend on how many there are.
     """
 
     def cells_of(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.ratings import of_users
+from cadenza.operators.running import suffix_sums
 from cadenza.plans.materialize import cut
 
 # The raters of an item are listed in rows of about this many; popular items take several.
 PART_RATERS = 1000
 # A user with more items than this is split over several partitions of partners.
 PART_ITEMS = 5000
+# Slack of the bounds, far above rounding error: it can only let more candidates through.
+SLACK = 1e-9
 
 
 def user_norms(ratings: DataFrame) -> DataFrame:
@@ -136,3 +139,89 @@ def similarity_of(ratings: DataFrame, user_ids: list | DataFrame) -> DataFrame:
     )
     pairs = dots.join(norms, "user_id").join(norms.select(F.col("user_id").alias("other_id"), F.col("n").alias("n_other")), "other_id")
     return with_cosine(pairs)
+
+
+def candidate_pairs(ratings: DataFrame, floor: float, part_raters: int = PART_RATERS) -> DataFrame:
+    """Pairs of users that may have cosine >= ``floor``: (user_id, other_id, n, n_other, size, size_other), user_id < other_id.
+
+    A user's items count from the rarest up. Two users whose common items all lie where a row's
+    remaining length is below ``floor`` cannot reach it, so only the items before that (the prefix)
+    are listed, and the rarest common item of a pair that reaches it is in both prefixes. There,
+    the product of both weights and of what remains of both rows behind the item bound the dot
+    product; the rater lists are filtered by it before a pair is made of an entry.
+    """
+    if not 0 < floor <= 1:
+        raise ValueError(f"the floor is a cosine above 0, got {floor}")
+    raters = ratings.groupBy("item_id").agg(F.count("*").alias("raters"))
+    rows = suffix_sums(ratings.join(raters, "item_id"), "user_id", ["raters", "item_id"], F.col("w") * F.col("w"), "suffixes")
+    rows = rows.where(F.col("rest") >= floor * floor * (1 - SLACK) * F.col("total"))
+    prefix = cut(rows.select("user_id", "item_id", "w", F.col("total").alias("n"), "size", (F.col("rest") - F.col("w") * F.col("w")).alias("tail")), "prefixes")
+    carried = ["w", "n", "size", "tail"]
+    other = F.struct(F.col("user_id").alias("other_id"), *[F.col(c).alias(f"{c}_other") for c in carried])
+    left, lists, keys = _raters(prefix, other, part_raters)
+
+    def may_reach(x: Column) -> Column:
+        tails = F.sqrt(F.col("tail").cast("double") * x["tail_other"].cast("double"))
+        lengths = F.sqrt(F.col("n").cast("double") * x["n_other"].cast("double"))
+        return (x["other_id"] > F.col("user_id")) & (F.col("w") * x["w_other"] + tails >= floor * (1 - SLACK) * lengths)
+
+    met = left.join(lists, keys).select("user_id", "n", "size", F.inline(F.filter("raters", may_reach)))
+    return met.groupBy("user_id", "other_id").agg(*[F.first(c).alias(c) for c in ("n", "n_other", "size", "size_other")])
+
+
+def similar_users(ratings: DataFrame, floor: float, part_raters: int = PART_RATERS) -> DataFrame:
+    """Every two users with cosine >= ``floor`` (above 0), in both directions: (user_id, other_id, cos).
+
+    Pairs come from ``candidate_pairs``, and only they are multiplied out: the shorter row of a
+    pair looks up its items in the other one. ``ratings`` is read several times, so give it as a
+    written table.
+    """
+    pairs = cut(candidate_pairs(ratings, floor, part_raters), "candidate-pairs")
+    turned = F.col("size") > F.col("size_other")
+    pairs = pairs.select(
+        "user_id", "other_id", "n", "n_other",
+        F.when(turned, F.col("other_id")).otherwise(F.col("user_id")).alias("short_id"),
+        F.when(turned, F.col("user_id")).otherwise(F.col("other_id")).alias("long_id"),
+    )
+    short = ratings.select(F.col("user_id").alias("short_id"), "item_id", "w")
+    long = ratings.select(F.col("user_id").alias("long_id"), "item_id", F.col("w").alias("w_other"))
+    dots = pairs.join(short, "short_id").join(long, ["long_id", "item_id"]).groupBy("user_id", "other_id")
+    dots = dots.agg(F.sum(F.col("w") * F.col("w_other")).alias("dot"), F.first("n").alias("n"), F.first("n_other").alias("n_other"))
+    found = cut(with_cosine(dots).where(F.col("cos") >= floor), "similar-users")
+    return found.unionByName(found.select(F.col("other_id").alias("user_id"), F.col("user_id").alias("other_id"), "cos"))
+
+
+def pair_changes(old: DataFrame, change: DataFrame) -> DataFrame:
+    """How added weights ``change`` change the dot products: (user_id, other_id, d), in both directions.
+
+    ``old`` are the ratings before, (user_id, item_id, w) at least of the changed items. A dot
+    product changes by new x new, new x old and old x new weights; only items with a change are
+    joined, dealt out over several keys where they are popular.
+    """
+    items = change.select("item_id").distinct()
+    both = old.join(items, "item_id", "left_semi").select("user_id", "item_id", F.col("w").alias("before"), F.lit(0).cast("long").alias("added"))
+    both = both.unionByName(change.select("user_id", "item_id", F.lit(0).cast("long").alias("before"), F.col("w").alias("added")))
+    both = cut(both.groupBy("user_id", "item_id").agg(F.sum("before").alias("before"), F.sum("added").alias("added")), "changed-items")
+    lanes = both.groupBy("item_id").agg(F.ceil(F.count("*") / PART_RATERS).cast("int").alias("lanes"))
+    wide = both.join(lanes, "item_id")
+    theirs = wide.select(
+        "item_id",
+        F.pmod(F.xxhash64("user_id"), F.col("lanes")).cast("int").alias("lane"),
+        F.col("user_id").alias("other_id"),
+        F.col("before").alias("before_other"),
+        (F.col("before") + F.col("added")).alias("after_other"),
+    )
+    # changed rows meet all others: own added weight x the other's new one; seen from the other, that
+    # is the other's old weight x the added one, but where both changed the new x new part counts once
+    mine = wide.where("added <> 0").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    met = mine.join(theirs, ["item_id", "lane"]).where("user_id <> other_id")
+    here = F.struct("user_id", "other_id", (F.col("added") * F.col("after_other")).alias("d"))
+    there = F.struct(F.col("other_id").alias("user_id"), F.col("user_id").alias("other_id"), (F.col("before_other") * F.col("added")).alias("d"))
+    return met.select(F.inline(F.array(here, there))).where("d <> 0").groupBy("user_id", "other_id").agg(F.sum("d").alias("d"))
+
+
+def norm_changes(old: DataFrame, change: DataFrame) -> DataFrame:
+    """How added weights change the squared lengths: (user_id, d)."""
+    before = old.select("user_id", "item_id", F.col("w").alias("before"))
+    rows = change.join(before, ["user_id", "item_id"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
+    return rows.groupBy("user_id").agg(F.sum(F.col("w") * (2 * F.col("before") + F.col("w"))).alias("d"))

@@ -42,15 +42,15 @@ def test_neighbors_plain(spark, seed):
 
 
 @pytest.mark.parametrize(
-    "seed,hot_raters,block_items,block_rows,popular",
+    "seed,listed_raters,block_items,block_rows,popular",
     [(0, 8, 100, 2048, 0.4), (1, 8, 100, 4, 0.4), (2, 3, 100, 3, 0.4), (3, 3, 2, 5, 0.9), (4, 0, 100, 7, 0.6), (5, 10, 1, 2, 0.8)],
 )
-def test_neighbors_with_hot_items(spark, monkeypatch, seed, hot_raters, block_items, block_rows, popular):
+def test_neighbors_with_hot_items(spark, monkeypatch, seed, listed_raters, block_items, block_rows, popular):
     monkeypatch.setattr(neighbors, "BLOCK_ITEMS", block_items)
     rows = dense.random_rows(seed, popular=popular, per_user=3)
     m = dense.matrix(rows, range(46), range(30))
     got = neighbors.top_neighbors(
-        frame(spark, rows), everybody(spark, 46), hot_raters=hot_raters, block_rows=block_rows
+        frame(spark, rows), everybody(spark, 46), listed_raters=listed_raters, block_rows=block_rows
     )
     assert sorted_rows(got) == sorted(dense.neighbors(m))
 
@@ -59,7 +59,7 @@ def test_only_hot_items(spark):
     """A third of the users hold one item and nothing else; the others one item besides it."""
     rows = [(u, 0, 10) for u in range(30)] + [(u, 1 + u % 7, 1) for u in range(10, 30)]
     m = dense.matrix(rows, range(30), range(8))
-    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 30), hot_raters=2, block_rows=3)
+    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 30), listed_raters=2, block_rows=3)
     assert sorted_rows(got) == sorted(dense.neighbors(m))
 
 
@@ -85,7 +85,7 @@ def test_string_ids(spark):
     users = everybody(spark, 46).select(F.format_string("u%02d", "user_id").alias("user_id"))
     want = sorted((f"u{u:02}", r, f"u{v:02}", c) for u, r, v, c in dense.neighbors(dense.matrix(rows, range(46), range(30))))
     assert sorted_rows(neighbors.top_neighbors(df, users)) == want
-    assert sorted_rows(neighbors.top_neighbors(df, users, hot_raters=5, block_rows=4)) == want
+    assert sorted_rows(neighbors.top_neighbors(df, users, listed_raters=5, block_rows=4)) == want
 
 
 def test_few_users_and_cold_users(spark):
@@ -100,7 +100,7 @@ def test_most_popular_items_need_no_probe(spark, seed):
     """Rare items give most users partners good enough to skip the most popular hot items."""
     rows = dense.random_rows(seed, users=60, items=12, per_user=5, popular=0.7)
     m = dense.matrix(rows, range(66), range(12))
-    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 66), k=3, hot_raters=6, block_rows=8)
+    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 66), k=3, listed_raters=6, block_rows=8)
     assert sorted_rows(got) == sorted(dense.neighbors(m, 3))
 
 
@@ -112,4 +112,56 @@ def test_probes(spark):
         "row_id long, n long, items array<long>, weights array<long>, floor double",
     )
     got = sorted_rows(neighbors._probes(askers, hot))
-    assert got == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (2, 1)]
+    shares = [(72 + 25) ** 0.5 / 10, (36 + 25) ** 0.5 / 10, 0.5]
+    assert [r[:2] for r in got] == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (2, 1)]
+    # the level of the least share of a partner with which the floor can be reached
+    want = [0, 0, 0] + [int(0.55 / s * neighbors.LEVELS) for s in shares[:2]] + [int(0.9 / shares[0] * neighbors.LEVELS)]
+    assert [r[2] for r in got] == want
+
+
+@pytest.mark.parametrize("levels", [1, 3, 50])
+def test_levels_of_shares(spark, monkeypatch, levels):
+    """However fine the index, the same neighbours; dominated and balanced rows under two popular items."""
+    monkeypatch.setattr(neighbors, "LEVELS", levels)
+    rows = [(u, 0, 1 + u % 5) for u in range(40)] + [(u, 1, 1 + u % 3) for u in range(0, 40, 2)] + [(u, 2 + u % 9, 1 + u % 7) for u in range(0, 40, 3)]
+    m = dense.matrix(rows, range(42), range(11))
+    got = neighbors.top_neighbors(frame(spark, rows), everybody(spark, 42), listed_raters=6, block_rows=5)
+    assert sorted_rows(got) == sorted(dense.neighbors(m))
+
+
+@pytest.mark.parametrize("seed,floor,part_raters", [(0, 0.3, 1000), (1, 0.5, 3), (2, 0.7, 5), (3, 0.95, 2), (4, 1.0, 1000), (5, 0.01, 4)])
+def test_similar_users(spark, seed, floor, part_raters):
+    rows = dense.random_rows(seed, per_user=6, popular=0.7)
+    m = dense.matrix(rows, range(46), range(30))
+    sim = dense.cosines(m)
+    got = sorted_rows(similarity.similar_users(frame(spark, rows), floor, part_raters))
+    assert got == sorted((u, v, sim.loc[u, v]) for u in m.index for v in m.index if u != v and sim.loc[u, v] >= floor)
+    assert got
+
+
+def test_similar_users_odd_rows(spark):
+    one = frame(spark, [(0, 0, 1), (1, 0, 7), (2, 1, 1)])
+    assert sorted_rows(similarity.similar_users(one, 1.0)) == [(0, 1, 1.0), (1, 0, 1.0)]
+    assert sorted_rows(similarity.similar_users(frame(spark, []), 0.5)) == []
+    with pytest.raises(ValueError):
+        similarity.similar_users(one, 0.0)
+
+
+def test_bounds_come_before_pairs(spark):
+    """All users share one item that is a small part of their rows: no pair is made of it, where all pairs would be n^2."""
+    rows = [(u, 0, 1) for u in range(300)] + [(u, 1 + u // 2 * 3 + i, 3) for u in range(300) for i in range(3)]
+    candidates = similarity.candidate_pairs(frame(spark, rows), 0.5)
+    assert candidates.count() == 150
+    assert similarity.similar_users(frame(spark, rows), 0.5).count() == 300
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pair_changes(spark, seed):
+    """Changes of dot products and lengths add up to those of the sum of the weights."""
+    old, new = dense.random_rows(seed, per_user=5), dense.random_rows(seed + 50, users=20, per_user=3)
+    before, after = dense.matrix(old, range(46), range(30)), dense.matrix(old + new, range(46), range(30))
+    want = after.to_numpy() @ after.to_numpy().T - before.to_numpy() @ before.to_numpy().T
+    got = similarity.pair_changes(frame(spark, old), frame(spark, new)).collect()
+    assert {(r[0], r[1]): r[2] for r in got if r[2]} == {(u, v): want[u, v] for u in range(46) for v in range(46) if u != v and want[u, v]}
+    norms = similarity.norm_changes(frame(spark, old), frame(spark, new)).collect()
+    assert {r[0]: r[1] for r in norms} == {u: want[u, u] for u in range(46) if want[u, u]}
