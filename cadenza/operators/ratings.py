@@ -96,18 +96,13 @@ def duplicates(edge: DataFrame) -> DataFrame:
     return edge.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-# Columns a wide matrix may have; the long form has no such limit.
-WIDE_COLUMNS = 2000
-
-
 def wide_matrix(ratings: DataFrame, users: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
     """One row per user of ``users`` (id), one column per item of ``items`` (id), 0 where there is no rating.
 
-    The items become columns, so they are read first; more than ``WIDE_COLUMNS`` are an error.
+    The items become the table's columns, so their ids are read first, as any schema. For a whole
+    catalogue use ``matrix.wide_blocks``, whose columns do not grow with it.
     """
-    found = [r[0] for r in items.select("id").distinct().orderBy("id").limit(WIDE_COLUMNS + 1).collect()]
-    if len(found) > WIDE_COLUMNS:
-        raise ValueError(f"over {WIDE_COLUMNS} columns")
+    found = [r[0] for r in items.select("id").distinct().orderBy("id").collect()]
     cells = ratings.groupBy("user_id").pivot("item_id", found).agg(F.sum("w"))
     rows = users.select(F.col("id").alias("user_id")).join(cells, "user_id", "left")
     return rows.select("user_id", *[F.coalesce(F.col(f"`{i}`"), F.lit(0).cast("long")).alias(f"{prefix}{i}") for i in found])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.schemas import schema
 
@@ -58,3 +59,14 @@ def write_json(df: DataFrame, path: str) -> None:
 def append(df: DataFrame, path: str) -> None:
     """Append rows to a Parquet table."""
     df.write.mode("append").parquet(path)
+
+
+def write_triangle(pairs: DataFrame, path: str) -> None:
+    """Export a symmetric table (user_id, other_id, cos) as CSV, each pair once."""
+    write_csv(pairs.where("user_id < other_id").select("user_id", "other_id", "cos"), path)
+
+
+def read_triangle(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The symmetric table of a ``write_triangle`` export, both directions."""
+    rows = spark.read.schema(f"user_id {id_type}, other_id {id_type}, cos double").option("header", True).csv(path)
+    return rows.unionByName(rows.select(F.col("other_id").alias("user_id"), F.col("user_id").alias("other_id"), "cos"))

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import dense
-from cadenza.operators import ratings, recommend
+from cadenza.operators import matrix, ratings, recommend
 from cadenza.operators.listing import require_known, unknown_ids
 from cadenza.plans import recommenders as plans
+from cadenza.sources.tables import read_triangle, write_triangle
 
 EDGE = "userId long, songId long"
 
@@ -55,8 +56,42 @@ def test_wide_matrix(spark):
     wide = ratings.wide_matrix(df, users, items, prefix="s")
     assert wide.columns == ["user_id", "s1", "s2", "s3"]
     assert sorted_rows(wide) == [(1, 5, 0, 0), (2, 0, 0, 4), (3, 0, 0, 0)]
-    with pytest.raises(ValueError):
-        ratings.wide_matrix(df, users, spark.range(ratings.WIDE_COLUMNS + 1))
+
+
+def test_matrix_in_blocks(spark, tmp_path):
+    """2,500 items in blocks of 400 columns, written as CSV and read back."""
+    rows = [(u, (u * 997 + i * 131) % 2500, u + i + 1) for u in range(6) for i in range(40)]
+    users, items = spark.range(8), spark.range(2500)
+    blocks, index = matrix.wide_blocks(spark.createDataFrame(rows, "user_id long, item_id long, w long"), users, items, 400)
+    assert index.count() == 2500 and blocks.count() == 8 * 7
+    assert blocks.columns == ["user_id", "block", *[f"c{i}" for i in range(400)]]
+    assert blocks.where(" OR ".join(f"c{i} IS NULL" for i in range(400))).count() == 0
+    matrix.write_blocks(blocks, index, str(tmp_path))
+    assert sorted_rows(matrix.read_blocks(spark, str(tmp_path), columns=400)) == sorted(rows)
+    assert sorted(p.name for p in (tmp_path / "blocks").glob("block=*")) == [f"block={i}" for i in range(7)]
+
+
+def test_triangle_export(spark, tmp_path):
+    rows = [(u, v, 1 / (u + v + 3)) for u in range(12) for v in range(12) if u != v]
+    df = spark.createDataFrame(rows, "user_id long, other_id long, cos double")
+    write_triangle(df, str(tmp_path / "t"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == len(rows) // 2
+    assert sorted_rows(read_triangle(spark, str(tmp_path / "t"))) == sorted(rows)
+
+
+@pytest.mark.parametrize("lane_users", [1, 7, 1000])
+def test_neighbour_of_half_the_users(spark, lane_users):
+    """One neighbour that half the users have and some with one each: rows as without lanes, none in a large lane."""
+    near = [(u, 0) for u in range(1, 200)] + [(u, u % 10) for u in range(200, 400)]
+    rows = [(o, i, o + i + 1) for o in range(10) for i in range(o + 1)]
+    found = recommend.neighbor_rows(
+        spark.createDataFrame(near, "user_id long, other_id long"), spark.createDataFrame(rows, "user_id long, item_id long, w long"), lane_users=lane_users
+    )
+    got = sorted(tuple(r) for r in found.select("user_id", "other_id", "item_id", "w").collect())
+    assert got == sorted((u, o, i, w) for u, o in near for x, i, w in rows if x == o)
+    if lane_users == 7:
+        lanes = found.where("other_id = 0 AND item_id = 0").groupBy("lane").count().collect()
+        assert len(lanes) > 20 and max(r["count"] for r in lanes) < 25
 
 
 def test_defects(spark):
