@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import local_time_text, media_url, stable_id
 
-# The threshold, the number of classes and the texts of reports and replies.
+# The threshold, the number of classes, the model's window, and the texts of reports and replies.
 BLOCK_ABOVE = 0.9
+MAX_TOKENS = 128
 CLASSES = 6
 REPORT_TEXT = "Comments that violate community standards"
 REPORT_STATUS = "AI"
@@ -71,6 +72,31 @@ def model_scores(load: Callable[[], Scorer], key: str | None = None) -> Callable
     return run
 
 
+def in_batches(
+    score_tokens: Callable[[Sequence[Sequence[int]]], Sequence[Sequence[float]]],
+    tokens_of: Callable[[str], Sequence[int]],
+    max_tokens: int = MAX_TOKENS,
+    rows: int = 64,
+) -> Scorer:
+    """A scorer of texts from one of token lists, which pads the lists of a call to the longest.
+
+    Texts are cut to the model's window and go to it ``rows`` at a time in order of their length,
+    so that little is padded; the scores come back in the order of the texts.
+    """
+
+    def score(texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        cut_texts = [tokens_of(t)[:max_tokens] for t in texts]
+        order = sorted(range(len(cut_texts)), key=lambda i: len(cut_texts[i]))
+        out: list[Sequence[float]] = [()] * len(cut_texts)
+        for at in range(0, len(order), rows):
+            some = order[at : at + rows]
+            for i, row in zip(some, score_tokens([cut_texts[i] for i in some]), strict=True):
+                out[i] = row
+        return out
+
+    return score
+
+
 def score(request: DataFrame, scores: Callable[[Column], Column] = stand_in_scores) -> DataFrame:
     """Requests with ``scores``, the first of them as ``toxic``, and whether they are blocked."""
     out = with_defaults(request).withColumn("scores", scores(F.col("content")))
@@ -82,13 +108,16 @@ def moderated_comments(scored: DataFrame, existing: DataFrame) -> DataFrame:
     """The comment rows to store. A blocked comment keeps its parent only if that exists in
     ``existing`` (id) or is an earlier request, by time and id; an accepted one keeps it unchecked.
 
-    Only blocked replies need the lookup, so only they are joined. ``scored`` is read several
+    Only blocked replies need the lookup: stored comments and requests are first reduced to the
+    parents these name, so nothing is grouped or sorted but those. ``scored`` is read several
     times: give it as a written table when the scorer is expensive.
     """
     lookup = F.col("blocked") & F.col("commentParentId").isNotNull()
+    wanted = scored.where(lookup).select(F.col("commentParentId").alias("id")).distinct()
     # comments stored before have no time and come before all requests
-    asked = scored.select("id", F.struct("createdAt", "id").alias("at"))
-    stored = existing.select("id", F.lit(None).cast(asked.schema["at"].dataType).alias("at"))
+    asked = scored.select("id", F.struct("createdAt", "id").alias("at")).join(wanted, "id", "left_semi")
+    stored = existing.select("id").join(wanted, "id", "left_semi")
+    stored = stored.select("id", F.lit(None).cast(asked.schema["at"].dataType).alias("at"))
     # one row per parent, its first appearance
     known = stored.unionByName(asked).groupBy(F.col("id").alias("commentParentId")).agg(
         F.min("at").alias("first"), F.max(F.col("at").isNull()).alias("stored")

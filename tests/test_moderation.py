@@ -3,8 +3,11 @@
 import os
 from datetime import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import dense
 from cadenza.operators import moderation as mod
 from cadenza.queries.jobs import load_word_scorer
 from cadenza.streaming import jobs as streams
@@ -194,3 +197,95 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for name in ("1", ".1.crc"):
         (tmp_path / "progress" / "commits" / name).unlink()
     assert run() == want
+
+
+def test_batches_of_like_length():
+    """Scores in the order of the texts, texts cut to the window, and less padding than in the given order."""
+    padded = []
+
+    def score_tokens(lists):
+        width = max(map(len, lists))
+        padded.append(sum(width - len(x) for x in lists))
+        return [[float(len(x)), float(sum(x))] for x in lists]
+
+    texts = ["a" * ((i * 37) % 211) for i in range(300)]
+    got = mod.in_batches(score_tokens, lambda t: [1] * len(t), max_tokens=128, rows=16)(texts)
+    assert got == [[min(len(t), 128.0)] * 2 for t in texts]
+    by_length, padded[:] = sum(padded), []
+    for at in range(0, 300, 16):
+        score_tokens([[1] * min(len(t), 128) for t in texts[at : at + 16]])
+    assert by_length < sum(padded) / 5
+    assert mod.in_batches(score_tokens, len)([]) == []
+
+
+@pytest.mark.parametrize("stop", ["comments", "_commit"])
+def test_a_report_and_its_comment_appear_together(spark, tmp_path, monkeypatch, stop):
+    """A batch that stops between its outputs, or before its marker, shows neither; run again, it shows both."""
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    replace, commit = streams._replace, streams._commit
+    broken = [True]
+
+    def stopping(df, folder, batch_id):
+        if broken[0] and stop == folder.rsplit("/", 1)[1] and batch_id == 1:
+            raise RuntimeError("stopped")
+        replace(df, folder, batch_id)
+
+    def no_marker(session, folder, batch_id):
+        if broken[0] and stop == "_commit" and batch_id == 1:
+            raise RuntimeError("stopped")
+        commit(session, folder, batch_id)
+
+    monkeypatch.setattr(streams, "_replace", stopping)
+    monkeypatch.setattr(streams, "_commit", no_marker)
+
+    def run():
+        stream = spark.readStream.schema(REQUEST).parquet(source)
+        streams.moderate_stream(stream, existing(spark), out, progress).awaitTermination()
+
+    def shown():
+        comments = {r["id"] for r in streams.visible(spark, out, "comments").collect()}
+        return comments, {r["commentId"] for r in streams.visible(spark, out, "reports").collect()}
+
+    requests(spark).where("id <= 2").coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert shown() == ({1, 2}, {2})
+    requests(spark).where("id > 2").coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert shown() == ({1, 2}, {2})
+    broken[0] = False
+    run()
+    assert shown() == ({1, 2, 3, 4, 5, 6}, {2, 3})
+
+
+def test_nothing_is_visible_before_the_first_batch(spark, tmp_path):
+    requests(spark).write.parquet(str(tmp_path / "comments" / "batch_id=0"))
+    assert streams.visible(spark, str(tmp_path), "comments").count() == 0
+
+
+def test_parents_are_reduced_before_they_are_grouped(spark):
+    """Stored comments are only looked up: what is grouped by id has passed a semi join with the wanted parents."""
+    scored = mod.score(requests(spark))
+    plan = mod.moderated_comments(scored, existing(spark))._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate [id") :] if "Aggregate [id" in plan else plan
+    assert plan.count("LeftSemi") == 2 and "LeftSemi" in grouped
+
+
+def test_similarity_over_batches(spark, tmp_path):
+    """After each of three batches, one of them run again, as from all edges at once."""
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema, m = "kind string, userId long, songId long", None
+    for n in range(3):
+        rows = [(u, i, w) for u, i, w in dense.random_rows(n, users=12, items=9)]
+        edges = [("like", u, i) for u, i, w in rows for _ in range(w // 10)] + [("play", u, i) for u, i, w in rows for _ in range(w % 10)]
+        spark.createDataFrame(edges, schema).coalesce(1).write.mode("append").parquet(source)
+        run = lambda: streams.similarity_stream(spark.readStream.schema(schema).parquet(source), out, progress).awaitTermination()
+        run()
+        if n == 1:
+            for name in ("1", ".1.crc"):
+                (tmp_path / "progress" / "commits" / name).unlink()
+            run()
+        m = dense.matrix(rows, range(18), range(9)) if m is None else m + dense.matrix(rows, range(18), range(9))
+        sim = dense.cosines(m)
+        want = {(u, v): sim.loc[u, v] for u in m.index for v in m.index if u != v and sim.loc[u, v] > 0}
+        assert {(r[0], r[1]): r[2] for r in streams.current_similarity(spark, out).collect()} == want
