@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import columns as fc
-from cadenza.operators import catalog, integrity, listing, moderation, neighbors, ratings, recommend, similarity
+from cadenza.operators import catalog, integrity, listing, matrix, moderation, neighbors, ratings, recommend, similarity
 from cadenza.plans import recommenders
 from cadenza.plans.materialize import cut, scratch_path
-from cadenza.sources.tables import write_csv, write_json
+from cadenza.sources.tables import read_triangle, write_csv, write_json, write_triangle
 from cadenza.sources.testdata import MARKER, Domain, comment_request, event_edges
 from cadenza.streaming import jobs as streams
 
@@ -235,8 +235,45 @@ def neighbors_follow(t):
 
 @query
 def neighbors_follow_hot(t):
-    """The same, artists with over 50 followers treated as hot items."""
-    return neighbors.top_neighbors(_follows(t), recommenders.universe(t.user), hot_raters=50)
+    """The same, artists with over 50 followers under the bounds for popular items."""
+    return neighbors.top_neighbors(_follows(t), recommenders.universe(t.user), listed_raters=50)
+
+
+# Users at least so similar are found by the similarity join.
+SIMILAR = 0.5
+
+
+@query
+def similar_users_likes(t):
+    """Every two users whose likes have a cosine of at least one half."""
+    return similarity.similar_users(_like_ratings(t), SIMILAR)
+
+
+@query
+def similar_users_combined(t):
+    return similarity.similar_users(_combined(t), SIMILAR)
+
+
+@query
+def similar_users_follow(t):
+    return similarity.similar_users(_follows(t), SIMILAR)
+
+
+@query
+def export_similarity(t):
+    """The similarity of users by their likes written as CSV, one triangle, and read back whole."""
+    path = scratch_path(t.spark, "similarity-csv")
+    write_triangle(similarity.similarity(_like_ratings(t)), path)
+    return read_triangle(t.spark, path)
+
+
+@query
+def export_matrix_blocks(t):
+    """Users x all songs written as CSV in blocks of columns, and its cells read back."""
+    path, columns = scratch_path(t.spark, "matrix-blocks"), 500
+    known = ratings.known_only(ratings.combined_ratings(t.like, t.play), t.user, t.song)
+    matrix.write_blocks(*matrix.wide_blocks(known, t.user, t.song, columns), path)
+    return matrix.read_blocks(t.spark, path, columns=columns)
 
 
 # ---- recommendations
@@ -247,18 +284,22 @@ def recommend_songs(t):
     return recommenders.recommend_songs(t.like, t.play, t.user, t.song)
 
 
+def _users_with_events(t):
+    events = t.read("events").select("user_id").distinct()
+    return events.join(t.user.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
 @query
 def recommend_songs_given_users(t):
-    """The first page of songs of every fifth user, given as a table."""
-    asked = t.user.select(F.col("id").alias("user_id")).where("user_id % 5 = 0")
+    """The first page of songs of the users with an event, given as a table."""
+    asked = _users_with_events(t)
     return recommenders.recommend_songs(t.like, t.play, t.user, t.song, user_ids=asked)
 
 
 @query
 def similarity_given_users(t):
-    """Rows of the similarity matrix of every fifth user, cosine at least 0.1."""
-    asked = t.user.select(F.col("id").alias("user_id")).where("user_id % 5 = 0")
-    return similarity.similarity_of(_combined(t), asked).where("cos >= 0.1")
+    """Rows of the similarity matrix of the users with an event."""
+    return similarity.similarity_of(_combined(t), _users_with_events(t))
 
 
 @query
@@ -490,7 +531,7 @@ def stream_moderation(t):
         comment_request(documents, t.read("events")), t.existing_comment, out, f"{out}/progress"
     )
     job.awaitTermination()
-    return _shown(t.spark.read.parquet(f"{out}/comments").drop("batch_id"))
+    return _shown(streams.visible(t.spark, out, "comments").drop("batch_id"))
 
 
 @query
@@ -502,8 +543,8 @@ def stream_reports(t):
     streams.moderate_stream(
         comment_request(documents, t.read("events")), t.existing_comment, out, f"{out}/progress"
     ).awaitTermination()
-    comments = t.spark.read.parquet(f"{out}/comments").select(F.col("id").alias("commentId"), F.col("content").alias("comment"), "hide")
-    return _shown(t.spark.read.parquet(f"{out}/reports").drop("batch_id")).join(comments, "commentId")
+    comments = streams.visible(t.spark, out, "comments").select(F.col("id").alias("commentId"), F.col("content").alias("comment"), "hide")
+    return _shown(streams.visible(t.spark, out, "reports").drop("batch_id")).join(comments, "commentId")
 
 
 @query
@@ -518,3 +559,30 @@ def stream_ratings(t):
         if batch == 0:
             streams.compact_ratings(t.spark, f"{out}/increments", f"{out}/base", upto=0)
     return streams.stored_ratings(t.spark, f"{out}/increments", f"{out}/base")
+
+
+@query
+def stream_similarity(t):
+    """The similarity of users by their events, kept up to date over three batches."""
+    events, out = t.read("events"), scratch_path(t.spark, "similarity-stream")
+    for batch in range(3):
+        events.where(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{out}/source")
+        source = t.spark.readStream.schema(events.schema).parquet(f"{out}/source")
+        streams.similarity_stream(event_edges(source), f"{out}/state", f"{out}/progress").awaitTermination()
+    return streams.current_similarity(t.spark, f"{out}/state")
+
+
+def load_batched_scorer() -> moderation.Scorer:
+    """The stand-in scorer over word numbers, in batches of like length; only whole words are numbered, so no text is cut."""
+    words = {w: i + 1 for i, w in enumerate(moderation.STAND_IN_WORDS)}
+
+    def tokens_of(text):
+        return sorted({words[w] for w in re.split("[^a-z]+", text.lower()) if w in words})
+
+    return moderation.in_batches(lambda lists: [[1.0 - 4.0 ** -len(x), 0.0, 0.0, 0.0, 0.0, 0.0] for x in lists], tokens_of)
+
+
+@query
+def moderation_scores_batched(t):
+    """The same scores from a classifier of token lists, cut to its window and batched by length."""
+    return _scores_apart(moderation.score(t.comment_request, moderation.model_scores(load_batched_scorer)))

@@ -9,7 +9,7 @@ from cadenza.operators.moderation import (
     REPORT_TEXT,
     STAND_IN_WORDS,
 )
-from cadenza.queries.jobs import MEDIA, ONE_USER
+from cadenza.queries.jobs import MEDIA, ONE_USER, SIMILAR
 
 EDGES = """
 line AS (SELECT o_custkey AS user_id, l_partkey, l_suppkey, l_returnflag AS f, l_linestatus AS s
@@ -202,6 +202,10 @@ KNOWN_RATINGS = f"""r AS (SELECT user_id, item_id, CAST(sum(w) AS BIGINT) AS w F
    UNION ALL SELECT user_id, item_id, 10 FROM {EVENT_AS_USER} UNION ALL SELECT user_id, item_id, 1 FROM {EVENT_AS_SONG})
   WHERE user_id IN (SELECT c_custkey FROM customer) AND item_id IN (SELECT p_partkey FROM part) GROUP BY 1, 2)"""
 
+EVENT_RATINGS = """r AS (SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id,
+    CAST(sum(CASE event_type WHEN 'purchase' THEN 10 ELSE 1 END) AS BIGINT) AS w
+  FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2)"""
+
 # the test tables have these albums
 ALBUMS = [f"Brand#{i}" for i in range(1, 26)]
 
@@ -242,9 +246,17 @@ ORACLE: dict[str, str] = {
     "export_song_records": """SELECT p_partkey AS id, p_name AS title, CAST(p_size AS INTEGER) AS duration, p_type = 'SMALL' AS privacy,
         CAST(NULL AS VARCHAR) AS lyric,
         CASE WHEN p_size > 5 THEN strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d') END AS "releaseDate" FROM part""",
-    "recommend_songs_given_users": _page("combined", "all", 1, 10, "10.0") + " AND user_id % 5 = 0",
+    "recommend_songs_given_users": _page("combined", "all", 1, 10, "10.0") + " AND user_id IN (SELECT user_id FROM events)",
     "similarity_given_users": _with(EDGES, RATINGS["combined"], SIMILARITY)
-    + " SELECT user_id, other_id, cos FROM sim WHERE user_id % 5 = 0 AND cos >= 0.1",
+    + " SELECT user_id, other_id, cos FROM sim WHERE user_id IN (SELECT e.user_id FROM events e JOIN customer ON c_custkey = e.user_id)",
+    **{
+        f"similar_users_{kind}": _with(EDGES, RATINGS[kind], SIMILARITY) + f" SELECT user_id, other_id, cos FROM sim WHERE cos >= {SIMILAR}"
+        for kind in ("likes", "combined", "follow")
+    },
+    "export_similarity": _with(EDGES, RATINGS["likes"], SIMILARITY) + " SELECT user_id, other_id, cos FROM sim",
+    "export_matrix_blocks": f"""WITH {EDGES}, {RATINGS["combined"]} SELECT user_id, item_id, w FROM r
+      JOIN customer ON c_custkey = user_id JOIN part ON p_partkey = item_id""",
+    "stream_similarity": "WITH " + EVENT_RATINGS + "," + SIMILARITY + " SELECT user_id, other_id, cos FROM sim",
     "recommend_songs_unknown_ids": _with(EDGES, KNOWN_RATINGS, USERS["all"], SIMILARITY, _neighbors()) + ",\n" + ITEMS["combined"] + ","
     + RECOMMENDED + "\nSELECT user_id, rank, item_id, w / 10.0 AS score FROM rec WHERE rank BETWEEN 1 AND 10",
     "user_norms": f"WITH {EDGES}, {RATINGS['combined']}, {SIMILARITY} SELECT user_id, n FROM norms",
@@ -299,6 +311,7 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT id, NULL, NULL, CAST(length(path) AS INTEGER), path FROM song WHERE path NOT LIKE '%{MEDIA.marker}%'""",
     "moderation_scores": SCORES,
     "moderation_scores_model": SCORES,
+    "moderation_scores_batched": SCORES,
     "moderation_summary": f"""WITH {COMMENTS} SELECT blocked, coalesce(CAST(l.toxic AS VARCHAR), 'none') AS label, count(*) AS comments
       FROM scored s LEFT JOIN labels l ON l.doc_id = s.id GROUP BY 1, 2""",
     "moderated_comments": STORED,
