@@ -23,7 +23,7 @@ from cadenza.llm.text import short_batches, type_of
 # Ids of about this many make one record of a file.
 RECORD_IDS = 1 << 20
 # Text bytes encoded together, and bytes of parts and their ids remembered within a task.
-TEXT_BYTES, MEMO_BYTES = 1 << 22, 48 << 20
+TEXT_BYTES, MEMO_BYTES = 1 << 23, 96 << 20
 # What a remembered part takes besides its characters and ids: its entry, key and end.
 ENTRY_BYTES = 180
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-@\[-`{-~"
@@ -60,19 +60,18 @@ class Memo:
         self.ends = np.zeros(1, np.int64)
         self.held = 0
 
-    def __call__(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of lists of strings end to end, and how many each list has."""
+    def __call__(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct strings end to end, and how many each has."""
         if self.held > MEMO_BYTES:
             self.forget()
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int32, int(counts.sum()))
+        which = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
         if new := self.index.new:
             ids, sizes = self.learn(new)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, ids])
             self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + ids.nbytes
             self.index.new = []
-        return _pick(self.ids, self.ends, which, counts)
+        return _pick(self.ids, self.ends, which, np.ones(len(parts), np.int64))
 
 
 def _pick(ids: np.ndarray, ends: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,41 +83,45 @@ def _pick(ids: np.ndarray, ends: np.ndarray, which: np.ndarray, counts: np.ndarr
     return flat, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def part_borders(tokenizer) -> re.Pattern:
-    """Where pieces are cut: between a Latin letter and an ASCII sign or digit other than an apostrophe.
+def border_letters(tokenizer) -> str:
+    """The Latin letters beside which pieces may be cut.
 
     A letter that the tokenizer's normaliser turns into anything but letters (a dotted capital I
     ends in a combining dot) may join the sign behind it, so no cut is made beside it.
     """
     changed = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
     letters = [chr(c) for c in range(0x250) if re.match(f"[{_LETTERS}]", chr(c))]
-    kept = "".join(c for c in letters if changed(c).isalpha())
-    return re.compile(rf"(?<=[{kept}])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[{kept}])")
+    return "".join(c for c in letters if changed(c).isalpha())
 
 
 class PieceEncoder:
     """Encodes texts piece by piece: each distinct piece of a group once, each distinct part once
     as long as it is remembered.
 
-    A piece is a run without ASCII white space; its parts end at ``part_borders``. It fits
-    tokenizers that drop white space and never join across either; pieces and parts then have
-    the same ids alone as within their text.
+    A piece is a run without ASCII white space; its parts end where one of ``border_letters``
+    meets an ASCII sign or digit other than an apostrophe. It fits tokenizers that drop white
+    space and never join across either; pieces and parts then have the same ids alone as within
+    their text. Pieces that hold one of the tokenizer's special texts stay whole.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.borders = part_borders(tokenizer)
-        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials)) if specials else "(?!)")
+        letters = border_letters(tokenizer)
+        self.borders = [f"([{letters}])([{_SIGNS}])", f"([{_SIGNS}])([{letters}])"]
+        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.of_parts = Memo(self._encode)
 
-    def _split(self, piece: str) -> list[str]:
-        if piece.isalpha() or self.special.search(piece):
-            return [piece]
-        return self.borders.sub(" ", piece).split(" ")
+    def _parts(self, pieces: pa.Array) -> pa.Array:
+        """The parts of each piece, as lists."""
+        cut = pieces
+        for border in self.borders:
+            cut = pc.replace_substring_regex(cut, border, r"\1 \2")
+        for special in self.specials:
+            cut = pc.if_else(pc.match_substring(pieces, special), pieces, cut)
+        return pc.split_pattern(cut, " ")
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters are one word each: many are encoded as one text and parted at the ids
@@ -150,11 +153,16 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (large strings, no nulls), and how many each text has."""
-        lists = pc.ascii_split_whitespace(texts)
-        pieces = lists.flatten().dictionary_encode()
-        ids, sizes = self.of_parts([self._split(p) for p in pieces.dictionary.to_pylist()])
-        counts = pc.list_value_length(lists).to_numpy()
-        return _pick(ids, np.concatenate([[0], np.cumsum(sizes)]), pieces.indices.to_numpy(), counts)
+        pieces, in_text = _coded(pc.ascii_split_whitespace(texts))
+        parts, in_piece = _coded(self._parts(pieces.dictionary))
+        ids, sizes = self.of_parts(parts.dictionary.to_pylist())
+        ids, sizes = _pick(ids, np.concatenate([[0], np.cumsum(sizes)]), parts.indices.to_numpy(), in_piece)
+        return _pick(ids, np.concatenate([[0], np.cumsum(sizes)]), pieces.indices.to_numpy(), in_text)
+
+
+def _coded(lists: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The items of lists end to end, distinct ones numbered, and how many each list has."""
+    return lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
 
 
 @cache
@@ -190,6 +198,28 @@ def unpack_record(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ranked[simple8b.unpack(data[at + n_lengths :]).astype(np.int64)], lengths
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts in groups of about ``TEXT_BYTES``: batches put together or cut, never a text."""
+    keys: list[pa.Array] = []
+    texts: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        column = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        upto, at = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())]), 0
+        while at < len(column):
+            until = max(at + 1, int(np.searchsorted(upto, upto[at] + TEXT_BYTES - held)))
+            until = min(until, len(column))
+            keys.append(batch.column(0).slice(at, until - at))
+            texts.append(column.slice(at, until - at))
+            held += int(upto[until] - upto[at])
+            at = until
+            if held >= TEXT_BYTES:
+                yield pa.concat_arrays(keys), pa.concat_arrays(texts)
+                keys, texts, held = [], [], 0
+    if keys:
+        yield pa.concat_arrays(keys), pa.concat_arrays(texts)
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -238,28 +268,22 @@ def write_token_files(
             ids, lengths, names, size, record = [], [], [], 0, record + 1
             return pa.RecordBatch.from_arrays(columns, ["shard", "record", "doc_ids", "n_ids", "payload"])
 
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            held = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
-            at = 0
-            while at < len(texts):
-                group = texts.slice(at, max(1, int(np.searchsorted(held, held[at] + TEXT_BYTES)) - at))
-                flat, sizes = encoder(group)
-                flat = np.insert(flat, np.cumsum(sizes), end_id).astype(np.uint32)
-                sizes = sizes + 1
-                # cut behind the documents that fill a record
-                upto, done, name = np.cumsum(sizes), 0, batch.column(0).slice(at, len(group))
-                while done < len(group):
-                    base = upto[done - 1] if done else 0
-                    until = min(len(group), int(np.searchsorted(upto, base + max(1, RECORD_IDS - size))) + 1)
-                    ids.append(flat[base : upto[until - 1]])
-                    lengths.append(sizes[done:until])
-                    names.append(name.slice(done, until - done))
-                    size += int(upto[until - 1] - base)
-                    done = until
-                    if size >= RECORD_IDS:
-                        yield flush()
-                at += len(group)
+        for keys, group in _groups(batches):
+            flat, sizes = encoder(group)
+            flat = np.insert(flat, np.cumsum(sizes), end_id).astype(np.uint32)
+            sizes = sizes + 1
+            # cut behind the documents that fill a record
+            upto, done = np.cumsum(sizes), 0
+            while done < len(group):
+                base = upto[done - 1] if done else 0
+                until = min(len(group), int(np.searchsorted(upto, base + max(1, RECORD_IDS - size))) + 1)
+                ids.append(flat[base : upto[until - 1]])
+                lengths.append(sizes[done:until])
+                names.append(keys.slice(done, until - done))
+                size += int(upto[until - 1] - base)
+                done = until
+                if size >= RECORD_IDS:
+                    yield flush()
         if size:
             yield flush()
 

@@ -80,10 +80,10 @@ def test_memory_of_the_memo(monkeypatch):
     monkeypatch.setattr(token_output, "MEMO_BYTES", 2000)
     memo = token_output.Memo(lambda parts: (np.array([len(p) for p in parts], np.uint32), np.ones(len(parts), np.int64)))
     for k in range(20):
-        lists = [["a" * (i % 7 + k) for i in range(30)], [], ["b"]]
-        ids, sizes = memo(lists)
-        assert ids.tolist() == [len(p) for x in lists for p in x] and sizes.tolist() == [30, 0, 1]
-        assert memo.held < 2000 + 8 * (token_output.ENTRY_BYTES + 40)
+        parts = ["a" * (i + k) for i in range(8)] + [f"b{k}"]
+        ids, sizes = memo(parts)
+        assert ids.tolist() == [len(p) for p in parts] and sizes.tolist() == [1] * 9
+        assert memo.held < 2000 + 9 * (token_output.ENTRY_BYTES + 40)
 
 
 def test_given_order(spark):
@@ -94,8 +94,9 @@ def test_given_order(spark):
     assert got == expected([r[:2] for r in rows[::-1]])
 
 
-def test_records_are_cut(spark, monkeypatch):
+def test_records_and_groups_are_cut(spark, monkeypatch):
     monkeypatch.setattr(token_output, "RECORD_IDS", 50)
+    monkeypatch.setattr(token_output, "TEXT_BYTES", 900)
     rows = [(i, "some words here " * (i % 40)) for i in range(120)]
     assert run(spark, rows) == expected(rows)
 
