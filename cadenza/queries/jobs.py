@@ -240,12 +240,12 @@ def neighbors_follow_hot(t):
 
 
 # Users at least so similar are found by the similarity join.
-SIMILAR = 0.5
+SIMILAR = 0.2
 
 
 @query
 def similar_users_likes(t):
-    """Every two users whose likes have a cosine of at least one half."""
+    """Every two users whose likes have a cosine of at least one fifth."""
     return similarity.similar_users(_like_ratings(t), SIMILAR)
 
 
