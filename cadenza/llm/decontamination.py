@@ -183,8 +183,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, per_m
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, per_mille: int = 50) -> DataFrame:
-    """The rows of ``docs`` that ``contamination`` lets pass, with all columns."""
+    """The rows of ``docs`` that ``contamination`` lets pass, with all columns, of any name."""
     bad = contamination(docs, items, window, per_mille).where("contaminated")
     bad = cut(bad.select(F.col("doc_id").alias("bad_id_"), F.col("text_hash").alias("bad_hash_")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("bad_hash_"))
-    return docs.join(bad, same, "left_anti")
+    # the row as one column, so that its names cannot clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("bad_id_")) & (F.col("text_hash") == F.col("bad_hash_"))
+    return rows.join(bad, same, "left_anti").select("row.*")

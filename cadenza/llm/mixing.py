@@ -162,12 +162,14 @@ def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None,
 
     Without given weights these are all rows. A source that is used up leaves the mix, and the
     others go on without it. Rows repeating an id and source stand where the first of them does.
+    Columns of any name stay.
     """
     slots = mix(docs, weights, block_docs, id_column, source_column).where(F.col("slot").isNotNull())
     # as structs, ids can be null and equal
     key = F.struct(F.col(id_column).alias("id"), _key(F.col(source_column)).alias("s"))
     slots = slots.groupBy(key.alias("key_")).agg(F.min("slot").alias("slot_"))
-    keyed = docs.withColumn("mixed_", key)
+    # the row as one column, so that its names cannot clash
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("mixed_"))
     # the slots grow with the corpus, so their join does not depend on their size
     placed = keyed.join(slots.hint("merge"), F.col("mixed_") == F.col("key_"))
-    return placed.orderBy("slot_", "mixed_").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.orderBy("slot_", "mixed_").select("row.*")

@@ -151,11 +151,12 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "d
     """One row of each component of ``near_duplicates``, with all columns: the one with the smallest id.
 
     Among rows of that id the smallest text hash decides, and of rows alike in both any one stays.
-    Rows without an id stay only where their component has no other.
+    Rows without an id stay only where their component has no other. Columns of any name stay.
     """
     found = _grouped(cut(fingerprints(docs, width, id_column, text_column), "fingerprints"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("m"))
     first = cut(first.select(F.col("m.id").alias("kept_id_"), F.col("m.text_hash").alias("kept_hash_")), "kept")
-    hashed = docs.withColumn("text_hash_", F.xxhash64(F.col(text_column).cast("string")))
-    same = F.col(id_column).eqNullSafe(F.col("kept_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
-    return hashed.join(first, same, "left_semi").dropDuplicates([id_column, "text_hash_"]).drop("text_hash_")
+    # the row as one column, so that its names cannot clash
+    hashed = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash") == F.col("kept_hash_"))
+    return hashed.join(first, same, "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")

@@ -79,6 +79,21 @@ def test_run(spark, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == Counter(map(tuple, stages[4][1].collect()))
 
 
+def test_clashing_columns(spark):
+    """Columns named as those that the stages use inside come through as they are."""
+    names = ["row", "id", "text_hash", "slot_", "key_", "mixed_", "kept_id_", "kept_hash_", "bad_id_", "bad_hash_", "root", "fp", "tie", "before_0", "index_", "text_", "range_"]
+    rows = [(i, f"some words that stand here for number {i} " * 9, "en", "ab"[i % 2], 1, *[f"{n} {i}" for n in names]) for i in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = cut(stage(spark, docs, FOLDER), name)
+        assert after.schema == docs.schema
+        assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in docs.collect()}
+        docs = after
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert {r["doc_id"] for r in found.collect()} == {r["doc_id"] for r in docs.collect()} != set()
+
+
 def test_repeated_and_null_rows(spark):
     long = "some words that stand here " * 20
     schema = "doc_id long, text string, lang string, source string, n_chars long, text_hash_ int"
