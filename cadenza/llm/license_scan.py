@@ -48,9 +48,10 @@ def phrase_places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tupl
     """(word number, label) for every place of every phrase; phrases are words joined by spaces."""
     text, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
-        at = text.find(b" " + phrase + b" ")
+        at, last, word = text.find(b" " + phrase + b" "), 0, 0
         while at >= 0:
-            found.append((text.count(b" ", 0, at), label))
+            word, last = word + text.count(b" ", last, at), at
+            found.append((word, label))
             at = text.find(b" " + phrase + b" ", at + 1)
     return found
 

@@ -65,3 +65,10 @@ def test_words():
     text = "aZ09_é\x7f\x00Ünd–x—y ²"
     assert [w.decode() for w in ls.words_of(text.encode())] == plain_words(text)
     assert re.fullmatch(r"[a-z0-9 ]+", " ".join(ls.PHRASES))
+
+
+def test_many_phrases_in_one_text():
+    """Places are numbered in one walk: 400,000 phrases take a moment, not minutes."""
+    words = [b"cc", b"by", b"nc"] * 400_000
+    found = ls.phrase_places(words, {b"cc by nc": "cc-by-nc"})
+    assert found == [(3 * i, "cc-by-nc") for i in range(400_000)]
