@@ -118,9 +118,12 @@ def _nearest_of_all(ratings: DataFrame, k: int, listed_raters: int, block_rows:
     marked = marked.withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
     hot_n = F.sum(F.when(F.col("is_hot"), F.col("w") * F.col("w")).otherwise(0)).alias("hot_n")
     rated = cut(with_norms(marked, hot_n), "rated")
-    hot_part = rated.where("is_hot")
+    hot_part, listed = rated.where("is_hot"), rated.where(~F.col("is_hot"))
 
-    pairs = with_cosine(partner_dots(rated.where(~F.col("is_hot")), extra=("hot_n",), part_raters=None), "part", "dot", "n", "n_other", "hot_n", "hot_n_other")
+    # users without popular items are done: nothing can be added to their pairs
+    done = nearest(with_cosine(partner_dots(listed, part_raters=None, of=F.col("hot_n") == 0), "part"), k)
+    pairs = partner_dots(listed, extra=("hot_n",), part_raters=None, of=F.col("hot_n") > 0)
+    pairs = with_cosine(pairs, "part", "dot", "n", "n_other", "hot_n", "hot_n_other")
     # the k-th best of a user's part bounds the k-th best of the user from below
     of_part = Window.partitionBy("user_id", "part")
     pairs = pairs.withColumn("rank", F.row_number().over(of_part.orderBy(F.desc("cos"), "other_id")))
@@ -143,7 +146,7 @@ def _nearest_of_all(ratings: DataFrame, k: int, listed_raters: int, block_rows:
     exact = live.join(added, ["user_id", "other_id"], "left").withColumn(
         "dot", F.col("dot") + F.coalesce("hot_dot", F.lit(0))
     )
-    first = cut(nearest(with_cosine(exact), k), "nearest-by-listed")
+    first = cut(nearest(with_cosine(exact), k).unionByName(done), "nearest-by-listed")
 
     hot_users = _hot_rows(hot_part)
     share = F.sqrt(F.col("hot_n").cast("double") / F.col("n")) * (1 + SLACK)

@@ -66,7 +66,9 @@ def _raters(rated: DataFrame, other: Column, part_raters: int | None) -> tuple[D
     return sized, lists, ["item_id", "lane"]
 
 
-def partner_dots(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int | None = PART_RATERS) -> DataFrame:
+def partner_dots(
+    rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int | None = PART_RATERS, of: Column | None = None
+) -> DataFrame:
     """Dot product and lengths of every two users that share an item, in both directions:
     (user_id, part, other_id, dot, n, n_other).
 
@@ -77,13 +79,15 @@ def partner_dots(rated: DataFrame, extra: tuple[str, ...] = (), part_raters: int
     gets all partners of such a user.
 
     Per-user columns named in ``extra`` are carried along as ``<name>`` and ``<name>_other``.
-    ``part_raters`` None saves the search for popular items where there are none.
+    ``part_raters`` None saves the search for popular items where there are none; ``of`` narrows
+    the users whose partners are wanted.
     """
     both = ("n", *extra)
     other = F.struct(
         F.col("user_id").alias("other_id"), F.col("w").alias("w_other"), *[F.col(c).alias(f"{c}_other") for c in both]
     )
     left, lists, keys = _raters(rated, other, part_raters)
+    left = left if of is None else left.where(of)
     own = ["w", *both]
     met = left.select(*keys, "user_id", "parts", *own).join(lists, keys)
     met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
