@@ -3,9 +3,10 @@
 import random
 import sys
 from collections import Counter, defaultdict
-from math import ceil
+from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -14,26 +15,71 @@ import corpus_pipeline  # noqa: E402
 from cadenza.llm import mixing  # noqa: E402
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {f"s{i}": 1.0 / (i + 1) for i in range(40)}, {"x": 1e9, "y": 1}])
-def test_schedule(weights):
-    blocks = mixing.shares(weights, 1000)
-    period = sum(blocks.values())
-    assert period == 1000 and min(blocks.values()) >= 1
-    slots = mixing.schedule(blocks)
-    assert [x[2] for x in slots] == list(range(period))
-    assert Counter(x[0] for x in slots) == Counter(blocks)
-    given = Counter()
-    for s, k, slot, release, deadline in slots:
-        assert k == given[s] and release <= slot < deadline
-        assert release == k * period // blocks[s] and deadline == ceil((k + 1) * period / blocks[s])
-        given[s] += 1
-        for name, a in blocks.items():
-            assert abs(given[name] - a * (slot + 1) / period) < 1
-
-
-def test_many_sources_share_a_period():
-    blocks = mixing.shares({f"s{i}": i + 1 for i in range(300)}, 100)
-    assert sum(blocks.values()) == 300 and set(blocks.values()) == {1}
+def dues(weights, blocks):
+    """What is due to each source after every slot, step by step in exact fractions."""
+    got = [Fraction(0)] * len(weights)
+    for _ in range(sum(blocks)):
+        left = Fraction(1)
+        while left:
+            going = [i for i in range(len(weights)) if got[i] < blocks[i]]
+            rate = sum(weights[i] for i in going)
+            step = min([left] + [(blocks[i] - got[i]) * Fraction(rate, weights[i]) for i in going])
+            for i in going:
+                got[i] += step * Fraction(weights[i], rate)
+            left -= step
+        yield list(got)
+
+
+def held(weights, blocks, period):
+    windows = mixing.Windows(weights, blocks)
+    out = [x for start, given, end, then in mixing.periods(windows, period) for x in windows.schedule(start, given, end, then)]
+    assert [x[2] for x in out] == list(range(sum(blocks)))
+    had = [0] * len(weights)
+    for (i, k, slot, release, deadline), due in zip(out, dues(weights, blocks)):
+        assert k == had[i] and release <= slot < deadline
+        had[i] += 1
+        assert all(abs(n - d) < 1 for n, d in zip(had, due))
+    assert had == blocks
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_deviation_below_one_block_at_every_slot(seed):
+    """Also over many periods, with sources that leave, and with weights far apart."""
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 3, 7, 25])
+    weights = [rng.choice([1, 2, 7, 1000, rng.randint(1, 50), rng.randint(1, 10**6)]) for _ in range(n)]
+    blocks = [rng.choice([1, 2, rng.randint(1, 100), rng.randint(1, 400)]) for _ in range(n)]
+    held(weights, blocks, rng.choice([1, 2, 3, 10, 37, 10**6]))
+
+
+def test_fifty_periods_of_weights_no_period_divides():
+    weights = list(mixing.whole_weights({"a": 0.0000004, "b": 0.33333, "c": 0.6666666}).values())
+    assert weights == [2, 1666650, 3333333]
+    held(weights, [3, 1667, 3333], 100)
+
+
+def test_whole_weights():
+    assert mixing.whole_weights({"a": 0.5, "b": 0.25, "c": 1}) == {"a": 2, "b": 1, "c": 4}
+    assert mixing.whole_weights({"a": 2.0 / 3, "b": 1e-30}, 1000) == {"a": 999, "b": 1}
+    assert mixing.whole_weights({"x": 1e9, "y": 1}) == {"x": 10**9, "y": 1}
+
+
+def test_thousands_of_sources(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 6000}") for i in range(9000)], "doc_id long, source string")
+    found = mixing.mix(docs, block_docs=1)
+    assert sorted(r["slot"] for r in found.collect()) == list(range(9000))
+
+
+def test_large_mix_by_periods():
+    """Billions of slots: the state of a period follows from the last, and all numbers fit."""
+    weights = list(mixing.whole_weights({f"s{i}": (i + 1) ** 0.7 for i in range(5)}, 2**28).values())
+    windows = mixing.Windows(weights, [3 * 10**9 // (i + 1) for i in range(5)])
+    start, given = 10**9, windows.due(10**9)
+    for i in sorted(range(5), key=lambda i: windows.times(i, np.array([given[i] + 1]), True)[0])[: start - sum(given)]:
+        given[i] += 1
+    then = windows.after(start, given, start + 20_000)
+    assert sum(then) == start + 20_000
+    assert all(r <= slot < d for _, _, slot, r, d in windows.schedule(start, given, start + 20_000, then))
 
 
 def test_mix(spark):
@@ -97,3 +143,10 @@ def test_others_go_on_with_renormalised_weights(spark):
     for n in range(0, c - b, 100):
         assert abs(got[b : b + n].count("c") - 2 / 7 * n) <= 12
     assert set(got[c:]) == {"a"}
+
+
+def test_periods_run_in_tasks(spark):
+    windows = mixing.Windows([5, 3, 1], [40, 11, 30])
+    whole, cut = (sorted(map(tuple, mixing.slot_table(spark, ["a", "b", "c"], windows, period).collect()), key=lambda r: r[2]) for period in (1000, 7))
+    assert [r[2] for r in cut] == list(range(81)) and {r[:2] for r in cut} == {r[:2] for r in whole}
+    assert all(r[3] <= r[2] < r[4] for r in cut)
