@@ -34,8 +34,8 @@ NOTICES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
-# Blocks of so many words start at every so many words.
-BLOCK, STEP = 128, 64
+# Words of a block, if no notice is over half as long; one starts at every word.
+BLOCK = 128
 _SPACED = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -56,6 +56,31 @@ def phrase_places(words: list[bytes], phrases: Mapping[bytes, str]) -> list[tupl
     return found
 
 
+def block_words(notices: Mapping[str, str]) -> int:
+    """Words of a block: room for the longest notice drawn out to twice its length."""
+    return max([BLOCK, *(2 * len(words_of(text.encode())) for text in notices.values())])
+
+
+def best_window(places: list[int], tokens: list[int], notice: frozenset[int], size: int, starts: range) -> int:
+    """The most different tokens of ``notice`` in ``size`` words from one of ``starts`` on; places ascend."""
+    held = [(p, t) for p, t in zip(places, tokens) if t in notice]
+    inside: Counter[int] = Counter()
+    best = end = 0
+    # a window can begin with its first token of the notice, or at the last start
+    for at, (place, token) in enumerate(held):
+        first = min(place, starts[-1])
+        while end < len(held) and held[end][0] < first + size:
+            inside[held[end][1]] += 1
+            end += 1
+        best = max(best, len(inside))
+        if place >= starts[-1]:
+            break
+        inside[token] -= 1
+        if not inside[token]:
+            del inside[token]
+    return best
+
+
 def token_counts(docs: DataFrame, tokens: frozenset[bytes], text_column: str = "text") -> dict[bytes, int]:
     """Occurrences of the given tokens in all texts, summed up in the tasks first."""
 
@@ -79,18 +104,22 @@ def scan(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text_hash, n_words, places, blocks), one per row, and matches
-    (doc_id, text_hash, block, label, containment) of every block of ``BLOCK`` words, one
-    starting at every ``STEP``-th word, that holds at least ``threshold`` of a notice's tokens.
+    """Documents (doc_id, text_hash, n_words, places, spans), one per row, and matches
+    (doc_id, text_hash, span, label, containment) of all blocks that hold at least ``threshold``
+    of a notice's tokens. A block is ``block_words(notices)`` words, or the text if that is
+    shorter, and starts at any word; the blocks that start in the same ``block_words`` words are
+    one span, which gives the highest containment of its blocks.
 
     1. The notices' tokens are counted over the whole corpus; their global order is by count,
        rarest first. Only tokens of notices matter, as blocks may hold any others.
     2. A block that shares ``need`` of a notice's n tokens has one of the n - need + 1 rarest
-       (prefix filter). Blocks with such a token, and as many tokens of notices as any notice
-       needs (length filter), go on as sorted token numbers.
+       (prefix filter). Spans with such a token, and as many tokens of notices as any notice
+       needs (length filter), go on as token numbers and places.
     3. Joined with the notices on these tokens, a pair can still have one more than what stands
-       behind the shared token on either side (positional filter); the rest is counted exactly.
+       behind the shared token on either side (positional filter); what is left is counted
+       exactly, first in the span, then in each of its blocks.
     """
+    size = block_words(notices)
     tokens = {label: sorted(set(words_of(text.encode()))) for label, text in notices.items()}
     counts = token_counts(docs, frozenset(t for x in tokens.values() for t in x), text_column)
     ordered = sorted({t for x in tokens.values() for t in x}, key=lambda t: (counts.get(t, 0), t))
@@ -100,44 +129,60 @@ def scan(
     least = min((need for _, _, need in sides), default=0)
     named = {b" ".join(words_of(p.encode())): label for p, label in phrases.items()}
 
-    def blocks_of(words: list[bytes]) -> list[dict]:
+    def spans_of(words: list[bytes]) -> list[dict]:
         if prefix.isdisjoint(words):
             return []
-        out = []
-        for at in range(0, max(1, len(words) - BLOCK + STEP), STEP):
-            own = set(words[at : at + BLOCK])
-            if not prefix.isdisjoint(own) and len(held := sorted(number[w] for w in own if w in number)) >= least:
-                out.append({"block": at // STEP, "tokens": held})
+        held = [(at, number[w]) for at, w in enumerate(words) if w in number]
+        rare = sorted({n for at, t in held if ordered[t] in prefix for n in (at // size, at // size - 1)} & set(range(-(-len(words) // size))))
+        out, start = [], 0
+        for span in rare:
+            while held[start][0] < span * size:
+                start += 1
+            stop = start
+            while stop < len(held) and held[stop][0] < (span + 2) * size - 1:
+                stop += 1
+            if len({t for _, t in held[start:stop]}) >= least:
+                out.append({"span": span, "places": [p for p, _ in held[start:stop]], "tokens": [t for _, t in held[start:stop]]})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.struct([("word", pa.int64()), ("label", pa.string())])
-        block = pa.struct([("block", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+        span = pa.struct([("span", pa.int64()), ("places", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
         for batch in batches:
-            sizes, places, blocks = [], [], []
+            sizes, places, spans = [], [], []
             for x in batch.column(2).cast(pa.binary()):
                 words = words_of(x.as_py() or b"")
                 sizes.append(len(words))
                 places.append([{"word": w, "label": label} for w, label in phrase_places(words, named)])
-                blocks.append(blocks_of(words))
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(place)), pa.array(blocks, pa.list_(block))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "places", "blocks"])
+                spans.append(spans_of(words))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(place)), pa.array(spans, pa.list_(span))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "places", "spans"])
 
     text = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = f"doc_id {type_of(rows, 'doc_id')}, text_hash long, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<block:long,tokens:array<int>>>"
+    schema = f"doc_id {type_of(rows, 'doc_id')}, text_hash long, n_words long, places array<struct<word:long,label:string>>, spans array<struct<span:long,places:array<long>,tokens:array<int>>>"
     scanned = cut(rows.mapInArrow(run, schema), "scanned")
 
     heads = [(t, i, label, x, need) for label, x, need in sides for i, t in enumerate(x[: len(x) - need + 1])]
     heads = docs.sparkSession.createDataFrame(heads, "token int, i int, label string, notice array<int>, need int")
-    blocks = scanned.select("doc_id", "text_hash", F.inline("blocks"))
-    met = blocks.select("*", F.posexplode("tokens").alias("j", "token")).join(F.broadcast(heads), "token")
-    behind = F.least(F.size("notice") - F.col("i"), F.size("tokens") - F.col("j"))
-    # the first shared token of a pair has all others behind it
-    pairs = met.where(behind >= F.col("need")).select("doc_id", "text_hash", "block", "label", "tokens", "notice", "need").distinct()
-    shared = F.size(F.array_intersect("tokens", "notice"))
-    found = pairs.where(shared >= F.col("need"))
-    return scanned, found.select("doc_id", "text_hash", "block", "label", (shared / F.size("notice")).alias("containment"))
+    spans = scanned.select("doc_id", "text_hash", F.inline("spans")).withColumn("held", F.array_sort(F.array_distinct("tokens")))
+    met = spans.select("*", F.posexplode("held").alias("j", "token")).join(F.broadcast(heads), "token")
+    behind = F.least(F.size("notice") - F.col("i"), F.size("held") - F.col("j"))
+    # of the shared tokens that pass, a pair goes on with its first; all others are behind it
+    shared = F.array_intersect("held", "notice")
+    pairs = met.where((behind >= F.col("need")) & (F.col("token") == F.array_min(shared)) & (F.size(shared) >= F.col("need")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for span, places, tokens, notice in zip(*(batch.column(name).to_pylist() for name in ("span", "places", "tokens", "notice"))):
+                best.append(best_window(places, tokens, frozenset(notice), size, range(span * size, (span + 1) * size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(best, pa.int64()), pa.array([len(x) for x in batch.column("notice").to_pylist()], pa.int64())], [*batch.schema.names[:5], "best", "n"])
+
+    counted = pairs.select("doc_id", "text_hash", "span", "label", "need", "places", "tokens", "notice")
+    counted = counted.mapInArrow(count, f"doc_id {type_of(rows, 'doc_id')}, text_hash long, span long, label string, need int, best long, n long")
+    found = counted.where(F.col("best") >= F.col("need"))
+    return scanned, found.select("doc_id", "text_hash", "span", "label", (F.col("best") / F.col("n")).alias("containment"))
 
 
 def licenses(docs: DataFrame, notices: Mapping[str, str] = NOTICES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8, **columns) -> DataFrame:

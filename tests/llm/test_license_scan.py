@@ -17,10 +17,12 @@ def plain(text, notices, threshold):
         places += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     best, labels = 0.0, {label for _, label in places}
     base = ",".join(sorted(labels))
-    for at in range(0, max(1, len(w) - ls.BLOCK + ls.STEP), ls.STEP):
-        for label, notice in notices.items():
-            tokens = set(plain_words(notice))
-            share = len(tokens & set(w[at : at + ls.BLOCK])) / len(tokens)
+    size = ls.block_words(notices)
+    for label, notice in notices.items():
+        tokens = set(plain_words(notice))
+        starts = [i for i in range(len(w)) if w[i] in tokens]
+        for at in starts:
+            share = len(tokens & set(w[at : at + size])) / len(tokens)
             if share >= threshold - 1e-9:
                 labels.add(label)
                 best = max(best, share)
@@ -72,3 +74,36 @@ def test_many_phrases_in_one_text():
     words = [b"cc", b"by", b"nc"] * 400_000
     found = ls.phrase_places(words, {b"cc by nc": "cc-by-nc"})
     assert found == [(3 * i, "cc-by-nc") for i in range(400_000)]
+
+
+@pytest.mark.parametrize("length", [121, 141, 161])
+def test_notices_drawn_out_from_every_offset(spark, length):
+    """A notice among other words is found wherever it starts, if one block holds enough of it."""
+    words, step = plain_words(ls.NOTICES["bsd"]), length / len(plain_words(ls.NOTICES["bsd"]))
+    spread = ["x"] * length
+    for i, w in enumerate(words):
+        spread[int(i * step)] = w
+    rows = [(i, " ".join(["y"] * i + spread + ["z"] * 200)) for i in range(140)]
+    got = run(spark, rows)
+    assert got == sorted(((k, *plain(t, ls.NOTICES, 0.8)) for k, t in rows), key=str)
+    assert all(r[6] == "bsd" for r in got)
+
+
+def test_notice_longer_than_a_block(spark):
+    notice = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, "a " * i + notice.replace(" w1", " a w1") + " b" * 50) for i in range(0, 700, 90)]
+    got = run(spark, rows, notices={"long": notice})
+    assert got == sorted(((k, *plain(t, {"long": notice}, 0.8)) for k, t in rows), key=str)
+    assert all(r[6] == "long" for r in got)
+
+
+def test_best_window_against_all_starts():
+    rng = random.Random(3)
+    for _ in range(500):
+        size, n = rng.randint(1, 9), rng.randint(1, 30)
+        first = rng.randint(0, n)
+        places = sorted(rng.sample(range(first, first + 2 * size - 1), rng.randint(0, 2 * size - 1)))
+        tokens = [rng.randint(0, 6) for _ in places]
+        notice = frozenset(rng.sample(range(7), rng.randint(1, 6)))
+        want = max(len({t for p, t in zip(places, tokens) if a <= p < a + size} & notice) for a in range(first, first + size))
+        assert ls.best_window(places, tokens, notice, size, range(first, first + size)) == want
