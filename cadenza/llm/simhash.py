@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,11 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
     return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, text_hash long, fp long")
 
 
+# Distinct fingerprints a task spreads over the grid, some 50 rows each.
+SPREAD = 50_000
+# Fingerprints that one of so many rows has are joined by broadcast; there are no more than that.
+HOT = 1_000
+
 # The even bits of a word.
 EVEN = 0x5555555555555555
 
@@ -119,18 +125,29 @@ def links(groups: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame) -> DataFrame:
     """``fingerprints`` plus root, the same for linked fingerprints, and component_id, its smallest id.
 
-    Equal fingerprints are folded first, so copies cost one row each and no links.
+    Equal fingerprints are folded first, so copies cost one row each and no links, and those of
+    many copies are joined with their rows where these lie.
     """
-    groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = cut(components(links(groups)).withColumnRenamed("node", "fp"), "roots")
+    groups = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "groups")
+    total = groups.agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).first()
+    # by number, as small tasks would be put together by their size before the grid
+    spread = groups.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, ceil(total["n"] / SPREAD)), "fp")
+    roots = cut(components(links(spread)).withColumnRenamed("node", "fp"), "roots")
     # the roots themselves are not among the nodes
     linked = roots.union(roots.select("root", "root").distinct())
     ids = linked.join(groups, "fp").groupBy("root").agg(F.min("least").alias("linked_least"))
     linked = linked.join(ids, "root").select("fp", "root", "linked_least")
     known = groups.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("component_id")
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("component_id"),
+        (F.col("copies") * HOT >= (total["rows"] or 0)).alias("hot"),
     )
-    return rows.join(known, "fp")
+    known = cut(known, "known")
+    # the copies of one fingerprint may be a third of all rows
+    hot, rest = F.broadcast(known.where("hot").drop("hot")), known.where("not hot").drop("hot")
+    others = rows.join(hot.select("fp"), "fp", "left_anti")
+    return rows.join(hot, "fp").unionByName(others.join(rest.hint("merge"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,8 +172,9 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "d
     """
     found = _grouped(cut(fingerprints(docs, width, id_column, text_column), "fingerprints"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("m"))
-    first = cut(first.select(F.col("m.id").alias("kept_id_"), F.col("m.text_hash").alias("kept_hash_")), "kept")
-    # the row as one column, so that its names cannot clash
-    hashed = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
-    same = F.col("id").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash") == F.col("kept_hash_"))
-    return hashed.join(first, same, "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
+    first = cut(first.select(F.struct("m.id", "m.text_hash").alias("kept")), "kept")
+    # the row as one column, so that its names cannot clash; as structs, ids can be null and equal
+    key = F.struct(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
+    # in the very type that was written, so that one shuffle of the texts serves the join and the choice of one row
+    keyed = docs.select(F.struct("*").alias("row"), key.cast(first.schema["kept"].dataType).alias("key"))
+    return keyed.join(first.hint("merge"), F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")
