@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from cadenza.plans.materialize import cut
 
-# Shorter lines are only compared for equality: one edit makes other words of them.
-MIN_CHARS = 20
+# Shorter lines are only compared for equality. One edit makes other words of a very short line, so a
+# caller may ask for more; by default lines of any length are compared.
+MIN_CHARS = 1
 # A line is cut into so many parts to find where it may differ from another one.
 SEGMENTS = 16
 

@@ -46,7 +46,7 @@ def op3_simhash(spark, folder):
 
 @query
 def op4_decontamination(spark, folder):
-    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), near=0.8)
     return found.drop("text_hash")
 
 
@@ -164,11 +164,25 @@ met AS (SELECT r, s, k, item_id FROM place JOIN win USING (k, phrase)),
 hit AS (
     SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS pos FROM met) GROUP BY r),
 named AS (
-    SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY r)
+    SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY r),
+passage AS (
+    SELECT row_number() OVER () AS b, item_id, list_distinct(w[s : s + 12]) AS terms
+    FROM (SELECT DISTINCT item_id, w, unnest(list_append(range(1, len(w) - 12, 13), len(w) - 12)) AS s FROM item WHERE len(w) >= 13)),
+part AS (SELECT b, item_id, ceil(round(0.8 * len(terms), 6)) AS need, unnest(terms) AS term FROM passage),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS term FROM doc),
+of_both AS (SELECT r, b, need, item_id, term, pos FROM word JOIN part USING (term)),
+enough AS (SELECT r, b FROM of_both GROUP BY r, b, need HAVING count(DISTINCT term) >= need),
+stretch AS (
+    SELECT r, item_id, need, count(DISTINCT term) OVER (PARTITION BY r, b ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n
+    FROM of_both SEMI JOIN enough USING (r, b)),
+close AS (
+    SELECT r, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+    FROM stretch WHERE n >= need GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+       sha256(coalesce(named.ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::bigint AS n_near, sha256(coalesce(close.ids, '')) AS near_sha256
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN close USING (r)
 """
 
 # the CRC-32 of a text, bit by bit

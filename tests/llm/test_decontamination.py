@@ -1,6 +1,7 @@
 """Decontamination against a plain search for every window."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -78,12 +79,70 @@ def test_empty_tables_and_clashing_columns(spark):
     assert run(spark, rows, [(2, "b", 1, ["q"])], extra=", pos int, words array<string>") == plain([r[:2] for r in rows], [(2, "b")])
 
 
+def plain_close(docs, items, near, window=13):
+    """Names of the items of which some stretch of ``window`` words holds enough of a passage."""
+    out = []
+    for key, text in docs:
+        w, named = plain_words(text), set()
+        for name, item in items:
+            t = plain_words(item)
+            if len(t) < window or name is None:
+                continue
+            for s in {*range(0, len(t) - window + 1, window), len(t) - window}:
+                passage = set(t[s : s + window])
+                if any(len(passage & set(w[p : p + window])) >= max(math.ceil(round(near * len(passage), 6)), 1) for p in range(len(w))):
+                    named.add(str(name))
+        out.append((key, len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
 def test_proximity(spark):
     item = [f"t{i}" for i in range(13)]
     swapped = item[:]
     swapped[3], swapped[4] = swapped[4], swapped[3]
     docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(swapped)), (3, "t0 other words")], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    found = {r["doc_id"]: (len(r["hits"]), r["share"]) for r in d.find_matches(docs, items, near=0.9)[1].collect()}
-    assert found == {1: (13, 1.0), 2: (0, 1.0)}
-    assert {r["doc_id"] for r in d.find_matches(docs, items)[1].collect()} == {1}
+    _, exact, close = d.find_matches(docs, items, near=0.9)
+    assert {r["doc_id"]: len(r["hits"]) for r in exact.collect()} == {1: 13}
+    assert {r["doc_id"]: r["share"] for r in close.collect()} == {1: 1.0, 2: 1.0}
+    assert d.find_matches(docs, items)[2] is None
+
+
+@pytest.mark.parametrize("changed", range(13))
+def test_any_word_of_a_passage_changed(spark, changed):
+    item = [f"t{i}" for i in range(13)]
+    # each word is rarer than the one before it
+    rows = [(100 + i, " ".join(item[: 13 - i])) for i in range(1, 13)]
+    text = item[:]
+    text[changed] = "else"
+    docs = spark.createDataFrame([(1, "before it " + " ".join(text) + " after it"), *rows], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: r for r in d.contamination(docs, items, near=0.9).collect()}
+    assert {k for k, r in found.items() if r["n_near"]} == {1, 101}
+    assert found[1]["n_hit"] == 0
+
+
+@pytest.mark.parametrize(("near", "passes"), [(0.8, d.PASSAGES), (0.6, 3), (1.0, d.PASSAGES), (0.0, d.PASSAGES)])
+def test_random_proximity(spark, near, passes):
+    rng = random.Random(str(near))
+    vocabulary = ["the", "of", "a", "é"] * 3 + [f"w{i}" for i in range(60)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i, n in enumerate([1, 12, 13, 14, 26, 40, 70, 13])]
+    items.append((8, ["of"] * 20))
+    docs = []
+    for i in range(60):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        item = rng.choice(items)[1]
+        a = rng.randrange(len(item))
+        part = [rng.choice(vocabulary) if rng.random() < 0.15 else x for x in item[a : a + rng.choice([10, 13, 30])]]
+        if rng.random() < 0.3:
+            rng.shuffle(part)
+        docs.append((i, " ".join(text + part + text[:3])))
+    docs += [(90, None), (91, ""), (0, docs[0][1]), (None, docs[3][1]), (92, "w1 of"), (93, " ".join(items[6][1] * 50))]
+    items = [(k, " ".join(w)) for k, w in items] + [(20, None), (21, ""), (None, " ".join(items[3][1])), (6, " ".join(items[2][1]))]
+    found = d.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), near=near, passages_per_pass=passes
+    )
+    got = sorted((tuple(r) for r in found.select("doc_id", "n_near", "near_sha256").collect()), key=str)
+    assert got == plain_close(docs, items, near)
+    exact = sorted((tuple(r) for r in found.drop("text_hash", "n_near", "near_sha256").collect()), key=str)
+    assert exact == plain(docs, items)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from cadenza.llm import line_dedup as ld
@@ -24,7 +25,7 @@ def text_hash(text):
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain(rows, min_chars=20):
+def plain(rows, min_chars=1):
     ordered = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     seen, found = [], {}
     for key, text in ordered:
@@ -44,8 +45,8 @@ def plain(rows, min_chars=20):
     return sorted(((r[0], *found[r[:2]]) for r in rows), key=str)
 
 
-def run(spark, rows, schema="doc_id long, text string"):
-    got = ld.repeated_lines(spark.createDataFrame(rows, schema))
+def run(spark, rows, schema="doc_id long, text string", **options):
+    got = ld.repeated_lines(spark.createDataFrame(rows, schema), **options)
     return sorted(((r[0], *r[2:]) for r in map(tuple, got.collect())), key=str)
 
 
@@ -75,6 +76,20 @@ def test_random_lines(spark):
     assert run(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize("min_chars", [1, 8, 20])
+def test_short_lines(spark, min_chars):
+    rng = random.Random(min_chars)
+    base = ["".join(rng.choice("abcde é\U0001f600") for _ in range(rng.choice([1, 2, 3, 5, *range(7, 22)]))).strip() for _ in range(60)]
+    lines = base[:]
+    for line in filter(None, base):
+        for _ in range(2):
+            i = rng.randrange(len(line))
+            lines.append(rng.choice([line[:i] + line[i + 1 :], line[:i] + "q" + line[i:], line[:i] + "z" + line[i + 1 :], line + "y", line]))
+    rng.shuffle(lines)
+    rows = [(50 - i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for i in range(50)]
+    assert run(spark, rows, min_chars=min_chars) == plain(rows, min_chars)
+
+
 def test_numbered_lines_and_ends(spark):
     text = "\n".join(f"line number {i % 10} of the same kind" for i in range(40))
     rows = [(1, text), (2, "xline number 1 of the same kind\nine number 1 of the same kind\nline number 1 of the same kinds")]

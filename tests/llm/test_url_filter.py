@@ -40,3 +40,20 @@ def test_empty(spark):
     df = url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES)
     assert df.columns == ["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "score"]
     assert df.collect() == []
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [
+        ("XXX", "strict", None), ("deal", "soft", 0.5), ("Deal", "soft", 0.25), ("win", "soft", 1.5), ("bonus", "soft", None),
+        ("both", "soft", 3.0), ("both", "strict", 1.0), ("odd", "other", 1.0), (None, "soft", 1.0), ("", "strict", 1.0),
+    ]
+    terms = spark.createDataFrame(rows, "term string, kind string, weight double")
+    strict, soft = url_filter.vocabulary_of(terms)
+    assert (strict, soft) == (("both", "xxx"), {"bonus": 1.0, "deal": 0.5, "win": 1.5})
+    urls = ["http://a/xxx", "http://a/BOTH", "http://a/deal-bonus", "http://a/win-deal", "http://a/win", "http://a/win-win", "http://a/odd"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["verdict"], r["score"]) for r in url_filter.judge_urls(pages, [], strict, soft).orderBy("page_id").collect()]
+    assert got == [("block", 1.0), ("block", 1.0), ("allow", 0.75), ("block", 1.0), ("allow", 0.75), ("allow", 0.75), ("allow", 0.0)]
+    assert url_filter.vocabulary_of(terms.limit(0)) == ((), {})
+    empty = url_filter.judge_urls(pages, [], (), ()).collect()
+    assert {r["verdict"] for r in empty} == {"allow"}
