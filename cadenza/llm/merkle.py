@@ -76,13 +76,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(shared)
 
 
+def _paragraphs(print_: Column) -> Column:
+    return F.split(F.substring(print_, 66, 1 << 30), "[;/]")
+
+
+def changed(a: Column, b: Column) -> Column:
+    """The different paragraphs of ``a``, as their leaves, that ``b`` has at no place, in linear time;
+    none where the roots are equal. Paragraphs put in, taken out or moved around them change nothing."""
+    none = F.array().cast("array<string>")
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), none).otherwise(F.array_except(_paragraphs(a), _paragraphs(b)))
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Numbers (from 0, over all sections) of the paragraphs of ``a`` that differ from those of
-    ``b`` at the same place, or that ``b`` lacks; empty where the roots are equal."""
-    left, right = (F.split(F.substring(x, 66, 1 << 30), "[;/]") for x in (a, b))
-    changed = F.transform(left, lambda x, i: F.when(~x.eqNullSafe(F.get(right, i)), i))
-    found = F.filter(changed, lambda i: i.isNotNull())
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(found)
+    """Numbers (from 0, over all sections) of the ``changed`` paragraphs of ``a``."""
+    found = changed(a, b)
+    return F.filter(F.transform(_paragraphs(a), lambda x, i: F.when(F.array_contains(found, x), i)), lambda i: i.isNotNull())
 
 
 def next_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,8 +123,8 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     The edited text is the text with its last ``floor(n_chars / 2)`` characters replaced by the
     first as many (or all) of the next document's, downwards by id and round at the end.
     ``near_edited`` and ``near_next`` are the likeness of the fingerprint to those of the edited
-    text and of the next document; ``n_changed`` counts the paragraphs that differ from the
-    edited text's.
+    text and of the next document; ``n_changed`` counts the different paragraphs that the
+    edited text has at no place.
 
     Texts are moved once, by id, and both joins read them from there; what a document gives to
     the one before it is only as much as that one replaces, and its fingerprint.
@@ -150,5 +158,5 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
         F.col("edited_print").alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-        F.size(edits(F.col("print"), F.col("edited_print"))).alias("n_changed"),
+        F.size(changed(F.col("print"), F.col("edited_print"))).alias("n_changed"),
     )

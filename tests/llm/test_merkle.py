@@ -47,7 +47,7 @@ def plain(rows):
         edited = text[: len(text) - half] + follows[:half]
         a, b, c = map(plain_fingerprint, (text, edited, follows))
         left, right = (re.split("[;/]", x[65:]) for x in (a, b))
-        changed = 0 if a[:64] == b[:64] else sum(i >= len(right) or right[i] != x for i, x in enumerate(left))
+        changed = 0 if a[:64] == b[:64] else len(set(left) - set(right))
         out.append((key, len(text), sha(edited), a, b, plain_likeness(a, b), plain_likeness(a, c), changed))
     return sorted(out, key=str)
 
@@ -83,6 +83,15 @@ def test_roots_and_edits(spark):
     assert got == [[], [1], [1], [2]]
 
 
+def test_paragraphs_put_in_and_moved(spark):
+    first = "one\ntwo\nthree\ntwo\nfour"
+    others = ["new\n" + first, "three\ntwo\none\ntwo\nfour", "one\nthree\nfour", "one\nTWO\nthree\nnew\nfour", ""]
+    pair = spark.createDataFrame([(i, first, t) for i, t in enumerate(others)], "i int, a string, b string")
+    pair = pair.select("i", *[merkle.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    found = pair.select(merkle.edits(F.col("a"), F.col("b")), F.size(merkle.changed(F.col("a"), F.col("b"))), "i").orderBy("i").collect()
+    assert [tuple(r)[:2] for r in found] == [([], 0), ([], 0), ([1, 3], 1), ([1, 3], 1), ([0, 1, 2, 3, 4], 4)]
+
+
 SCRIPTS = {
     "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать",
     "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και",
