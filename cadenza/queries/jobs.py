@@ -524,8 +524,7 @@ def moderation_outcomes(t):
 @query
 def stream_moderation(t):
     """Comments stored by a stream over the document files."""
-    schema = t.read("documents").schema
-    documents = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    documents = t.read_stream("documents")
     out = scratch_path(t.spark, "moderated-stream")
     job = streams.moderate_stream(
         comment_request(documents, t.read("events")), t.existing_comment, out, f"{out}/progress"
@@ -537,8 +536,7 @@ def stream_moderation(t):
 @query
 def stream_reports(t):
     """The reports of such a stream, each with the comment it is about."""
-    schema = t.read("documents").schema
-    documents = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    documents = t.read_stream("documents")
     out = scratch_path(t.spark, "reported-stream")
     streams.moderate_stream(
         comment_request(documents, t.read("events")), t.existing_comment, out, f"{out}/progress"

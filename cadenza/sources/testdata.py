@@ -26,6 +26,14 @@ class Domain:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def read_stream(self, name: str) -> DataFrame:
+        """A stream over the files of a table, be it one file or a folder of them.
+
+        The path is a pattern that fits this name only: as base path of its files Spark takes a
+        plain one, which must be a folder.
+        """
+        return self.spark.readStream.schema(self.read(name).schema).parquet(f"{self.folder}/{name}.parque[t]")
+
     @cached_property
     def user(self) -> DataFrame:
         key, name = F.col("c_custkey"), F.col("c_name")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import dense
 from cadenza.operators import moderation as mod
-from cadenza.queries.jobs import load_word_scorer
+from cadenza.queries.jobs import QUERIES, load_word_scorer
 from cadenza.streaming import jobs as streams
 
 REQUEST = "id long, commentParentId long, userId long, songId long, content string, createdAt timestamp_ntz"
@@ -289,3 +289,23 @@ def test_similarity_over_batches(spark, tmp_path):
         sim = dense.cosines(m)
         want = {(u, v): sim.loc[u, v] for u in m.index for v in m.index if u != v and sim.loc[u, v] > 0}
         assert {(r[0], r[1]): r[2] for r in streams.current_similarity(spark, out).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["stream_moderation", "stream_reports"])
+@pytest.mark.parametrize("files", [0, 3])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, name, files):
+    rows = [(i, "you stupid clown" if i % 2 else "nice song") for i in range(1, 13)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    if files:
+        documents.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        documents.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    events = "event_id long, user_id long, props string, ts timestamp_ntz"
+    spark.createDataFrame([(i, 1, '{"k": 5}', AT) for i, _ in rows], events).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(2,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    hidden = {i for i, _ in rows if i % 2}
+    if name == "stream_moderation":
+        assert {r["id"]: r["hide"] for r in out.collect()} == {i: i in hidden for i, _ in rows}
+    else:
+        assert sorted(r["commentId"] for r in out.collect()) == sorted(hidden)
