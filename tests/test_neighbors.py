@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import dense
-from cadenza.operators import neighbors, similarity
+from cadenza.operators import neighbors, pairs, similarity
 
 SCHEMA = "user_id long, item_id long, w long"
 
@@ -165,3 +165,24 @@ def test_pair_changes(spark, seed):
     assert {(r[0], r[1]): r[2] for r in got if r[2]} == {(u, v): want[u, v] for u in range(46) for v in range(46) if u != v and want[u, v]}
     norms = similarity.norm_changes(frame(spark, old), frame(spark, new)).collect()
     assert {r[0]: r[1] for r in norms} == {u: want[u, u] for u in range(46) if want[u, u]}
+
+
+@pytest.mark.parametrize("entries", [1, 40, 10**6])
+def test_pairs_are_summed_a_few_users_at_a_time(spark, entries, monkeypatch):
+    rows = dense.random_rows(3, per_user=6, popular=0.7)
+    m = dense.matrix(rows, range(46), range(30)).to_numpy()
+    rated = similarity.with_norms(frame(spark, rows))
+    table = similarity._placed(rated, ["n"], ["n"], 4, half=True).repartition(1, "user_id").sortWithinPartitions("user_id", "part").toArrow()
+    monkeypatch.setattr(pairs, "ENTRIES", entries)
+    batches = pairs.per_pair(["n"], [], pairs.all_pairs)(iter(table.to_batches(max_chunksize=5)))
+    got = [r for b in batches for r in b.to_pylist()]
+    want = m @ m.T
+    assert {(r["user_id"], r["other_id"]): r["dot"] for r in got} == {(u, v): want[u, v] for u in range(46) for v in range(u + 1, 46) if want[u, v]}
+    assert len(got) == len({(r["user_id"], r["other_id"]) for r in got})
+
+
+def test_short_rows_are_not_looked_up_again(spark):
+    """Where all items of both rows are listed, the candidates' products are exact."""
+    rows = [(u, u // 4 * 2 + i, 1) for u in range(40) for i in range(3)]
+    candidates = similarity.candidate_pairs(frame(spark, rows), 0.2)
+    assert not candidates.isEmpty() and candidates.where("open").isEmpty()
