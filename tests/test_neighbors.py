@@ -186,3 +186,11 @@ def test_short_rows_are_not_looked_up_again(spark):
     rows = [(u, u // 4 * 2 + i, 1) for u in range(40) for i in range(3)]
     candidates = similarity.candidate_pairs(frame(spark, rows), 0.2)
     assert not candidates.isEmpty() and candidates.where("open").isEmpty()
+
+
+def test_tables_of_a_row_per_user_are_not_broadcast(spark):
+    rows = frame(spark, dense.random_rows(1, per_user=5))
+    near = spark.createDataFrame([(0, 1, 2, 0.5)], "user_id long, rank int, other_id long, cos double")
+    users = everybody(spark, 40)
+    for df in (similarity.with_norms(rows), neighbors.fill_up(near, users, users, 2)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
