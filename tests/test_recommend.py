@@ -71,6 +71,19 @@ def test_matrix_in_blocks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "blocks").glob("block=*")) == [f"block={i}" for i in range(7)]
 
 
+def test_matrix_blocks_made_wide_last(spark, tmp_path, monkeypatch):
+    """Rows are dealt out and sorted while they hold their cells only; a piece writes to few blocks."""
+    monkeypatch.setattr(matrix, "PIECE_CELLS", 100)
+    rows = [(u, (u * 7 + i) % 30, u + i + 1) for u in range(20) for i in range(3)]
+    df = spark.createDataFrame([*rows, *rows, (3, 29, None)], "user_id long, item_id long, w long")
+    blocks, index = matrix.wide_blocks(df, spark.range(20), spark.range(30), 5)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan and plan.index("Sort [block") > plan.index("AS c4")
+    matrix.write_blocks(blocks, index, str(tmp_path))
+    assert sorted_rows(matrix.read_blocks(spark, str(tmp_path), columns=5)) == sorted((u, i, 2 * w) for u, i, w in rows)
+    assert len(list((tmp_path / "blocks").glob("block=*/*.csv"))) <= 6 + 6
+
+
 def test_triangle_export(spark, tmp_path):
     rows = [(u, v, 1 / (u + v + 3)) for u in range(12) for v in range(12) if u != v]
     df = spark.createDataFrame(rows, "user_id long, other_id long, cos double")
