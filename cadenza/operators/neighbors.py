@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.ratings import of_users
-from cadenza.operators.similarity import SLACK, partners_live, partners_nearest, popular_items, similarity_of, with_cosine, with_norms
+from cadenza.operators.similarity import SLACK, nearest_of, partners_live, partners_nearest, popular_items, with_cosine, with_norms
 from cadenza.plans.materialize import by_shuffle, cut
 
 # A rating is paired with at most this many others of its item; see ``top_neighbors``.
@@ -66,7 +66,7 @@ def top_neighbors(
     it as a written table.
     """
     if user_ids is not None:
-        found = nearest(similarity_of(ratings, user_ids), k)
+        found = nearest(nearest_of(ratings, user_ids, k), k)
         return fill_up(found, of_users(users, user_ids), users, k)
     return fill_up(_nearest_of_all(ratings, k, listed_raters, block_rows), users, users, k)
 

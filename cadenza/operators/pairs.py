@@ -1,6 +1,6 @@
 """Sums per pair of users from ratings that carry their item's raters: task functions over Arrow batches.
 
-Rows (user_id, part, w, ..., raters) come sorted by user and part. Only the rows of some users are
+Rows (user_id, part, w, ..., raters or arrays of their values) come sorted by user and part. Only the rows of some users are
 held at a time, so a task's memory does not grow with the pairs it makes.
 """
 
@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 # Entries of rater lists that are summed up at a time, unless one user and part has more.
 ENTRIES = 1_000_000
+# Ids in a range below this are counted from the lowest; with a group's number they make one long.
+CODES = 1 << 40
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -27,23 +29,30 @@ def per_pair(own: list[str], least: list[str], finish: Callable[[pa.Table, pa.Ta
     """
 
     def summed(rows: pa.Table) -> pa.Table:
-        lists = rows["raters"].combine_chunks()
-        line = pc.list_parent_indices(lists)
-        others = pa.Table.from_struct_array(pc.list_flatten(lists))
-        apart = pc.not_equal(rows["user_id"].take(line), others["other_id"])
-        line, others = line.filter(apart.combine_chunks()), others.filter(apart)
+        others = _others(rows)
+        line = np.repeat(np.arange(len(rows)), _lengths(rows))
+        other, user = _codes(others["other_id"], rows["user_id"])
+        apart = np.flatnonzero(user[line] != other)
+        line, other = line[apart], other[apart]
         starts = _starts(rows)
         group = np.cumsum(starts) - 1
-        mine = rows.select(["w", *least]).take(line)
-        cells = {"group": pa.array(group[line.to_numpy()]), "other_id": others["other_id"], "dot": pc.multiply(mine["w"], others["w_other"])}
-        cells |= {c: mine[c] for c in least} | {f"{c}_other": others[f"{c}_other"] for c in [*own, *least]}
-        carried = [f"{c}_other" for c in own]
-        few = [x for c in least for x in (c, f"{c}_other")]
-        sums = pa.table(cells).group_by(["group", "other_id"], use_threads=False)
-        sums = sums.aggregate([("dot", "sum"), *[(c, "min") for c in [*carried, *few]]])
-        pairs = {"group": sums["group"], "other_id": sums["other_id"], "dot": sums["dot_sum"]}
+        # entries of a pair come to lie together
+        key = group[line] * (int(other.max(initial=0)) + 1) + other
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        line, spot = line[order], apart[order]
+
+        def least_of(values: np.ndarray) -> pa.Array:
+            return pa.array(np.minimum.reduceat(values, first) if len(first) else values)
+
+        product = rows["w"].to_numpy()[line] * others["w_other"].to_numpy()[spot]
+        head = group[line[first]]
+        pairs = {"group": head, "other_id": others["other_id"].take(pa.array(spot[first])), "dot": np.add.reduceat(product, first) if len(first) else product}
         groups = rows.filter(pa.array(starts))
-        pairs |= {c: groups[c].take(sums["group"]) for c in own} | {c: sums[f"{c}_min"] for c in [*carried, *few]}
+        pairs |= {c: groups[c].to_numpy()[head] for c in own} | {f"{c}_other": others[f"{c}_other"].to_numpy()[spot[first]] for c in own}
+        for c in least:
+            pairs |= {c: least_of(rows[c].to_numpy()[line]), f"{c}_other": least_of(others[f"{c}_other"].to_numpy()[spot])}
         return finish(pa.table(pairs), groups.select(["user_id", "part"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,9 +70,12 @@ def nearest_pairs(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The first k of every user and part: (user_id, part, other_id, cos)."""
 
     def finish(pairs: pa.Table, groups: pa.Table) -> pa.Table:
-        pairs, rank, cos = _by_cosine(pairs)
-        first = pa.array(rank < k)
-        return _named(pairs.append_column("cos", pa.array(cos)).filter(first), groups).select(["user_id", "part", "other_id", "cos"])
+        cos = _cosines(pairs)
+        best = np.flatnonzero(_among_first(pairs["group"].to_numpy(), cos, k))
+        pairs = pairs.take(pa.array(best)).append_column("cos", pa.array(cos[best]))
+        pairs = pairs.sort_by([("group", "ascending"), ("cos", "descending"), ("other_id", "ascending")])
+        first = pa.array(_ranks(pairs["group"].to_numpy()) < k)
+        return _named(pairs.filter(first), groups).select(["user_id", "part", "other_id", "cos"])
 
     return finish
 
@@ -72,8 +84,10 @@ def live_pairs(k: int, slack: float) -> Callable[[pa.Table, pa.Table], pa.Table]
     """Pairs whose cosine can still reach the k-th best of the user's part, with what ``hot_n`` can add."""
 
     def finish(pairs: pa.Table, groups: pa.Table) -> pa.Table:
-        pairs, rank, cos = _by_cosine(pairs)
-        group, kth = pairs["group"].to_numpy(), rank == k - 1
+        group, cos = pairs["group"].to_numpy(), _cosines(pairs)
+        best = np.flatnonzero(_among_first(group, cos, k))
+        best = best[np.lexsort((-cos[best], group[best]))]
+        kth = best[_ranks(group[best]) == k - 1]
         floor = np.zeros(len(groups))
         floor[group[kth]] = cos[kth]
         hot_both = _product(pairs, "hot_n")
@@ -117,13 +131,57 @@ def _named(pairs: pa.Table, groups: pa.Table) -> pa.Table:
     return pairs.drop_columns(["group"])
 
 
-def _by_cosine(pairs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Pairs by group, descending cosine and other id, with their place in the group from 0 and their cosine."""
-    pairs = pairs.append_column("cos", pa.array(_floats(pairs["dot"]) / np.sqrt(_product(pairs, "n"))))
-    pairs = pairs.sort_by([("group", "ascending"), ("cos", "descending"), ("other_id", "ascending")])
-    group, cos = pairs["group"].to_numpy(), pairs["cos"].to_numpy()
-    rank = np.arange(len(group)) - np.searchsorted(group, group)
-    return pairs.drop_columns(["cos"]), rank, cos
+def _lists(rows: pa.Table | pa.RecordBatch) -> list[str]:
+    """The columns that are lists of what the raters have: one of structs, or one of each value."""
+    return [f.name for f in rows.schema if pa.types.is_list(f.type)]
+
+
+def _lengths(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return pc.list_value_length(rows[_lists(rows)[0]]).to_numpy()
+
+
+def _others(rows: pa.Table) -> pa.Table:
+    """The entries of all lists, one after the other."""
+    flat = {c: pc.list_flatten(rows[c].combine_chunks()) for c in _lists(rows)}
+    return pa.Table.from_struct_array(flat["raters"]) if "raters" in flat else pa.table(flat)
+
+
+def _cosines(pairs: pa.Table) -> np.ndarray:
+    return _floats(pairs["dot"]) / np.sqrt(_product(pairs, "n"))
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """The place of each row in its group, from 0, of rows sorted by group."""
+    return np.arange(len(group)) - np.searchsorted(group, group)
+
+
+def _among_first(group: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row has one of the k highest cosines of its group, ties included, of rows sorted by group.
+
+    Each round takes the highest of every group, which is cheaper than to sort the rows.
+    """
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(group)))
+    left, taken = cos.copy(), np.zeros(len(group), bool)
+    for _ in range(k if len(group) else 0):
+        highest = left == np.repeat(np.maximum.reduceat(left, starts), sizes)
+        taken |= highest
+        left[highest] = -np.inf
+    return taken
+
+
+def _codes(others: pa.ChunkedArray, users: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Small whole numbers in place of ids, from 0, equal where these are; -1 for users who are nobody's other."""
+    others, users = others.combine_chunks(), users.combine_chunks()
+    if pa.types.is_integer(others.type) and len(others):
+        ids = others.to_numpy().astype(np.int64)
+        low, high = int(ids.min()), int(ids.max())
+        if high - low < CODES:
+            mine = users.to_numpy().astype(np.int64)
+            return ids - low, np.where((mine < low) | (mine > high), -1, mine - low)
+    found = others.dictionary_encode()
+    mine = pc.fill_null(pc.index_in(users, found.dictionary), -1)
+    return found.indices.to_numpy().astype(np.int64), mine.to_numpy().astype(np.int64)
 
 
 def _starts(rows: pa.Table) -> np.ndarray:
@@ -143,12 +201,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not len(batch):
             continue
         held.append(batch)
-        entries += pc.sum(pc.list_value_length(batch["raters"])).as_py() or 0
+        entries += int(_lengths(batch).sum())
         if entries < ENTRIES:
             continue
         rows = pa.Table.from_batches(held).combine_chunks()
         borders = np.append(np.flatnonzero(_starts(rows)), len(rows))
-        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["raters"]).to_numpy())])[borders]
+        upto = np.concatenate([[0], np.cumsum(_lengths(rows))])[borders]
         # the last group may go on in the next batch
         at, last = 0, len(borders) - 2
         while at < last:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from cadenza.operators import pairs
 from cadenza.operators.ratings import of_users
 from cadenza.operators.running import suffix_sums
-from cadenza.plans.materialize import by_shuffle, cut
+from cadenza.plans.materialize import by_shuffle, cut, spread
 
 # The raters of an item are listed in rows of about this many; popular items take several.
 PART_RATERS = 1000
 # A user with more items than this is split over several partitions of partners.
 PART_ITEMS = 5000
+# Entries of rater lists that come to one partition on average: more partitions are made where they would be more.
+PARTITION_ENTRIES = 10_000_000
 # Slack of the bounds, far above rounding error: it can only let more candidates through.
 SLACK = 1e-9
 
@@ -72,7 +74,8 @@ def _placed(
     listed: str = "w",
 ) -> DataFrame:
     """Ratings with the raters of their item, at their user and part and sorted by these:
-    (user_id, part, w, own columns, raters: array of other_id, w_other, carried columns).
+    (user_id, part, w, own columns, and arrays other_id, w_other, carried columns), or with ``half``
+    one array ``raters`` of structs of these.
 
     Each rating meets the array of its item's raters and is sent to its user with that array still
     folded, which is a fraction of the rows and about half the bytes of single pairs. A user with
@@ -87,14 +90,28 @@ def _placed(
     left, lists, keys = _raters(rated, other, part_raters)
     left = left if of is None else left.where(of)
     own = ["w", *own]
-    met = by_shuffle(left.select(*keys, "user_id", "parts", *own)).join(lists, keys)
-    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ids = by_shuffle(left.select(*keys, "user_id", "parts", *own))
+    apart = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+
+    def of_part(raters: Column) -> Column:
+        return F.filter(raters, lambda x: F.pmod(F.xxhash64(x["other_id"]), F.col("parts")) == F.col("part"))
+
     if half:
+        met = ids.join(lists, keys).select("*", apart)
         met = met.withColumn("raters", F.filter("raters", lambda x: x["other_id"] > F.col("user_id"))).where(F.size("raters") > 0)
-    of_part = F.filter("raters", lambda x: F.pmod(F.xxhash64(x["other_id"]), F.col("parts")) == F.col("part"))
-    partners = F.when(F.col("parts") == 1, F.col("raters")).otherwise(of_part).alias("raters")
-    placed = met.select("user_id", "part", *own, partners).repartition("user_id", "part")
-    return placed.sortWithinPartitions("user_id", "part")
+        partners = [F.when(F.col("parts") == 1, F.col("raters")).otherwise(of_part(F.col("raters"))).alias("raters")]
+    else:
+        # arrays of plain values, made once per item: an array of structs takes twice the room and time in each row
+        names = ["other_id", "w_other", *[f"{c}_other" for c in carried]]
+        met = ids.join(lists.select(*keys, *[F.col("raters")[c].alias(c) for c in names]), keys).select("*", apart)
+        some = of_part(F.arrays_zip(*names))
+        partners = [F.when(F.col("parts") == 1, F.col(c)).otherwise(some[c]).alias(c) for c in names]
+    placed = met.select("user_id", "part", *own, *partners)
+    met_at = left.groupBy("item_id").agg(F.count("*").alias("left")).join(rated.groupBy("item_id").agg(F.count("*").alias("raters")), "item_id")
+    entries = met_at.agg(F.sum(F.col("left") * F.col("raters"))).first()[0] or 0
+    usual = int(rated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_user = placed.repartition("user_id", "part") if entries <= usual * PARTITION_ENTRIES else spread(placed, entries, PARTITION_ENTRIES, "user_id", "part")
+    return by_user.sortWithinPartitions("user_id", "part")
 
 
 def _id_type(rated: DataFrame) -> str:
@@ -117,11 +134,12 @@ def partner_dots(
     return _placed(rated, ["n"], ["n"], part_raters, of, half).mapInArrow(task, schema)
 
 
-def partners_nearest(rated: DataFrame, k: int, of: Column | None = None) -> DataFrame:
-    """The first k partners of every user and part: (user_id, part, other_id, cos). Popular items are not split."""
+def partners_nearest(rated: DataFrame, k: int, of: Column | None = None, part_raters: int | None = None) -> DataFrame:
+    """The first k partners of every user and part: (user_id, part, other_id, cos). Popular items are split
+    with ``part_raters`` only."""
     id_type = _id_type(rated)
     task = pairs.per_pair(["n"], [], pairs.nearest_pairs(k))
-    return _placed(rated, ["n"], ["n"], None, of).mapInArrow(task, f"user_id {id_type}, part int, other_id {id_type}, cos double")
+    return _placed(rated, ["n"], ["n"], part_raters, of).mapInArrow(task, f"user_id {id_type}, part int, other_id {id_type}, cos double")
 
 
 def partners_live(rated: DataFrame, k: int, of: Column | None = None) -> DataFrame:
@@ -162,13 +180,25 @@ def similarity_of(ratings: DataFrame, user_ids: list | DataFrame) -> DataFrame:
     One-sided: only items of these users are listed, and only their rows meet the lists. A filter
     on the full matrix could not be pushed below the mirroring, hence this separate form.
     """
+    rated, asked = _rows_of(ratings, user_ids)
+    return with_cosine(partner_dots(rated, of=asked))
+
+
+def nearest_of(ratings: DataFrame, user_ids: list | DataFrame, k: int) -> DataFrame:
+    """The first k cells of each part of these rows: (user_id, part, other_id, cos), cut where the pairs are made."""
+    rated, asked = _rows_of(ratings, user_ids)
+    return partners_nearest(rated, k, asked, PART_RATERS)
+
+
+def _rows_of(ratings: DataFrame, user_ids: list | DataFrame) -> tuple[DataFrame, Column]:
+    """Ratings of the given users' items, as ``partner_dots`` takes them, and whether a rating is one of theirs."""
     mine = cut(of_users(ratings, user_ids).select("user_id", "item_id"), "asked-rows")
     per_user = user_norms(ratings).join(
         mine.groupBy("user_id").agg(F.ceil(F.count("*") / PART_ITEMS).cast("int").alias("parts")), "user_id", "left"
     )
     touched = ratings.join(mine.select("item_id").distinct(), "item_id", "left_semi")
     rated = cut(touched.join(per_user, "user_id").select("user_id", "item_id", "w", "n", "parts"), "rated")
-    return with_cosine(partner_dots(rated, of=F.col("parts").isNotNull()))
+    return rated, F.col("parts").isNotNull()
 
 
 def candidate_pairs(ratings: DataFrame, floor: float, part_raters: int = PART_RATERS) -> DataFrame:
