@@ -176,7 +176,8 @@ def _popular_rows_nearest(
     What is left is an index: each member stands under each of its items at the level of its share
     from that item on. An asker looks under its items at the levels that can reach its floor. Both
     sides of an item and level are dealt out to blocks of bounded size, and a task multiplies two
-    blocks and keeps k + 1 partners per row.
+    blocks and keeps k + 1 partners per row. Where both sides of an item fit into one block, its
+    levels are not told apart: all that ask there meet all that stand there, once.
     """
     same_row = Window.partitionBy("items", "weights").orderBy("n", "user_id")
     members = hot_users.withColumn("r", F.row_number().over(same_row)).where(F.col("r") <= k + 1)
@@ -187,9 +188,13 @@ def _popular_rows_nearest(
     )
     askers = cut(askers, "askers")
 
-    asking = askers.drop("floor").join(cut(_probes(askers, hot), "probes"), "row_id")
-    asking = asking.withColumn("level", F.explode(F.sequence("least", F.lit(LEVELS - 1)))).drop("least")
-    listed = members.join(_shares(members, hot).select("row_id", "item_id", _level(F.col("share")).alias("level")), "row_id")
+    probes = cut(_probes(askers, hot), "probes")
+    places = cut(_shares(members, hot).select("row_id", "item_id", _level(F.col("share")).alias("level")), "places")
+    small = cut(_small_items(probes, places, block_rows), "small-items")
+    levels = F.when(F.col("small"), F.array(F.lit(0))).otherwise(F.sequence("least", F.lit(LEVELS - 1)))
+    asking = askers.drop("floor").join(probes.join(small, "item_id").select("row_id", "item_id", F.explode(levels).alias("level")), "row_id")
+    level = F.when(F.col("small"), F.lit(0)).otherwise(F.col("level")).alias("level")
+    listed = members.join(places.join(small, "item_id").select("row_id", "item_id", level), "row_id")
     left, right = _blocks(asking, listed, block_rows), _blocks(listed, asking, block_rows)
     keys = ["item_id", "level", "mine", "theirs"]
     right = right.select("item_id", "level", F.col("theirs").alias("mine"), F.col("mine").alias("theirs"), "row_id", "n", "items", "weights")
@@ -216,6 +221,14 @@ def _shares(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return cells.join(hot, "item_id").select("row_id", "item_id", F.sqrt(rest.cast("double") / F.col("n")).alias("share"))
 
 
+def _small_items(probes: DataFrame, places: DataFrame, block_rows: int) -> DataFrame:
+    """(item_id, small): whether all that ask and all that stand under an item fit into one block."""
+    asked = probes.groupBy("item_id").agg(F.count("*").alias("asking"))
+    return places.groupBy("item_id").agg(F.count("*").alias("listed")).join(asked, "item_id").select(
+        "item_id", (F.greatest("asking", "listed") <= block_rows).alias("small")
+    )
+
+
 def _level(share: Column) -> Column:
     return F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int")
 

@@ -194,3 +194,53 @@ def test_tables_of_a_row_per_user_are_not_broadcast(spark):
     users = everybody(spark, 40)
     for df in (similarity.with_norms(rows), neighbors.fill_up(near, users, users, 2)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbors_of_given_users_are_cut_where_pairs_are_made(spark, monkeypatch):
+    """Only the first k pairs of a user and part leave the task that sums them, with item lists in parts."""
+    rows = dense.random_rows(5, per_user=6, popular=0.7)
+    monkeypatch.setattr(similarity, "PART_RATERS", 4)
+    near = similarity.nearest_of(frame(spark, rows), [3, 4], 2)
+    assert near.count() == 4
+    whole = similarity.similarity_of(frame(spark, rows), [3, 4])
+    assert sorted_rows(neighbors.nearest(near, 2)) == sorted_rows(neighbors.nearest(whole, 2))
+
+
+@pytest.mark.parametrize("ids", [lambda u: f"u{99 - u}", lambda u: (u - 20) * 2**57, lambda u: u - 20])
+def test_nearest_of_users_with_any_ids(spark, ids):
+    """Sums and ranks go by the ids, be they texts or numbers far apart."""
+    rows = dense.random_rows(2, per_user=6, popular=0.5)
+    plain = neighbors._nearest_of_all(frame(spark, rows), 50, 1000, 8).select("user_id", "other_id", "cos")
+    kind = "string" if isinstance(ids(0), str) else "long"
+    named = spark.createDataFrame([(ids(u), i, w) for u, i, w in rows], f"user_id {kind}, item_id long, w long")
+    got = neighbors._nearest_of_all(named, 50, 1000, 8).select("user_id", "other_id", "cos")
+    assert sorted_rows(got) == sorted((ids(u), ids(v), c) for u, v, c in plain.collect())
+    top = neighbors._nearest_of_all(named, 3, 1000, 8).collect()
+    ranked = {}
+    for u, v, c in sorted(got.collect(), key=lambda r: (r[0], -r[2], r[1])):
+        ranked.setdefault(u, []).append(v)
+    assert {(r["user_id"], r["rank"]): r["other_id"] for r in top} == {(u, i + 1): v for u, vs in ranked.items() for i, v in enumerate(vs[:3])}
+
+
+def test_partitions_grow_with_the_pairs(spark, monkeypatch):
+    rated = similarity.with_norms(frame(spark, dense.random_rows(1, per_user=6)))
+    monkeypatch.setattr(similarity, "PARTITION_ENTRIES", 50)
+    r = rated.groupBy("item_id").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert similarity._placed(rated, ["n"], ["n"], None).rdd.getNumPartitions() == -(-r // 50) > 4
+
+
+def test_levels_of_small_items_are_not_told_apart(spark, monkeypatch):
+    """An asker is sent once to an item whose askers and rows fit into one block."""
+    sent = []
+    blocks = neighbors._blocks
+
+    def counted(rows, opposite, block_rows):
+        sent.append(rows.groupBy("row_id", "item_id").count().agg(F.max("count")).first()[0])
+        return blocks(rows, opposite, block_rows)
+
+    monkeypatch.setattr(neighbors, "_blocks", counted)
+    rows = frame(spark, dense.random_rows(4, per_user=6, popular=0.5))
+    small = sorted_rows(neighbors.top_neighbors(rows, everybody(spark, 46), listed_raters=5))
+    assert sent == [1, 1]
+    assert sorted_rows(neighbors.top_neighbors(rows, everybody(spark, 46), listed_raters=5, block_rows=2)) == small
+    assert sent[2] > 1
