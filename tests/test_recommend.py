@@ -198,3 +198,14 @@ def test_no_interactions(spark):
     empty = spark.createDataFrame([], EDGE)
     got = plans.recommend_songs(empty, empty, ids(spark, 3), ids(spark, 4), page_size=2)
     assert sorted_rows(got) == [(u, r, r - 1, 0.0) for u in range(3) for r in (1, 2)]
+
+
+def test_tasks_grow_with_the_neighbors_rows(spark, monkeypatch):
+    """A join that makes many rows of small ones has as many tasks as these need, and the same rows."""
+    r = spark.createDataFrame([(u, i, 1) for u in range(20) for i in range(10)], "user_id long, item_id long, w long")
+    near = spark.createDataFrame([(u, (u + d) % 20) for u in range(20) for d in (1, 2)], "user_id long, other_id long")
+    want = sorted_rows(recommend.neighbor_rows(near, r))
+    monkeypatch.setattr(recommend, "JOINED_ROWS", 20)
+    got = recommend.neighbor_rows(near, r)
+    assert got.rdd.getNumPartitions() == 20
+    assert sorted_rows(got) == want and len(want) == 400
