@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import local_time_text, media_url, row_salt, secure_media_path
+from cadenza.plans.materialize import by_shuffle, cut
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def song_albums(album: DataFrame, album_song: DataFrame, album_image: DataFrame,
     )
     whole = album.select("albumId", "title", "albumType").join(images, "albumId", "left")
     whole = whole.select("albumId", "title", "albumType", _or_empty(whole, "albumImages"))
-    return _nested(album_song.join(whole, "albumId"), "songId", "album", "albumId", "title", "albumType", "albumImages")
+    return _nested(by_shuffle(album_song).join(whole, "albumId"), "songId", "album", "albumId", "title", "albumType", "albumImages")
 
 
 def song_artists(artist: DataFrame, artist_song: DataFrame, genres: DataFrame) -> DataFrame:
@@ -72,15 +73,16 @@ def song_cards(t, media: Media, ids: DataFrame | None = None) -> DataFrame:
     song, album_song, artist_song = t.song, t.album_song, t.artist_song
     if ids is not None:
         wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
-        song = song.join(wanted, "id", "left_semi")
+        wanted = cut(wanted, "wanted-songs")
+        song = song.join(by_shuffle(wanted), "id", "left_semi")
         wanted = wanted.withColumnRenamed("id", "songId")
-        album_song = album_song.join(wanted, "songId", "left_semi")
-        artist_song = artist_song.join(wanted, "songId", "left_semi")
+        album_song = album_song.join(by_shuffle(wanted), "songId", "left_semi")
+        artist_song = artist_song.join(by_shuffle(wanted), "songId", "left_semi")
     albums = song_albums(t.album, album_song, t.album_image, media)
     artists = song_artists(t.artist, artist_song, artist_genres(t.artist_genre, t.genre))
     cards = (
-        song.join(albums.withColumnRenamed("songId", "id"), "id", "left")
-        .join(artists.withColumnRenamed("songId", "id"), "id", "left")
+        song.join(by_shuffle(albums.withColumnRenamed("songId", "id")), "id", "left")
+        .join(by_shuffle(artists.withColumnRenamed("songId", "id")), "id", "left")
     )
     return cards.select(
         F.col("id").cast("string").alias("id"),

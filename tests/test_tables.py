@@ -158,3 +158,14 @@ def test_a_job_removes_its_scratch_tables(spark, tmp_path):
         assert len(made) == len(inner) == 1 and there(made[0]) and not there(inner[0])
     assert not there(made[0])
     assert spark.read.parquet(kept).count() == 5
+
+
+def test_songs_of_few_albums_are_not_broadcast(spark):
+    """What has a row per song is joined by a shuffle: else the songs are gathered, and a task per album makes their rows."""
+    t = Domain(spark, "/root/testdata/sf0.001")
+    media = catalog.Media(marker="M", bucket="b", endpoint="e", password="p", nonce="n")
+    albums = catalog.song_albums(t.album, t.album_song, t.album_image, media)
+    plan = albums._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [albumId" in plan and "BuildLeft" not in plan
+    cards = catalog.song_cards(t, media, ids=t.like.select("songId"))
+    assert "LeftSemi, BuildRight" not in cards._jdf.queryExecution().executedPlan().toString()
