@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.plans.materialize import cut
+from cadenza.plans.materialize import by_shuffle, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(by_shuffle(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(by_shuffle(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.graph import components
 from cadenza.llm.text import short_batches, type_of
-from cadenza.plans.materialize import cut
+from cadenza.plans.materialize import by_shuffle, cut
 
 SEED = 42
 # Shingles turned into single bits at a time, which bounds the memory a very long text needs.
@@ -102,10 +102,12 @@ def links(groups: DataFrame) -> DataFrame:
        some word is within 1 bit of both, and that word's counts are a grid point that both went
        to. Those around one word are within 2 bits of each other, so all are linked to the
        smallest one, and no pairs are made however many they are.
+
+    All joins go by a shuffle: Spark takes an exploded table to be as small as what it is made of.
     """
     cells = groups.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
-    met = cells.join(shared.select("cell"), "cell")
+    met = cells.join(by_shuffle(shared.select("cell")), "cell")
     words = F.array_append(
         F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), s))),
         F.col("fp"),
@@ -113,7 +115,7 @@ def links(groups: DataFrame) -> DataFrame:
     around = met.select("fp", F.explode(F.filter(words, lambda w: segment_counts(w) == F.col("cell"))).alias("word"))
     around = cut(around, "around")
     first = around.groupBy("word").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w")
-    return around.join(first, "word").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return around.join(by_shuffle(first), "word").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -125,12 +127,12 @@ def _grouped(rows: DataFrame) -> DataFrame:
     roots = cut(components(links(groups)).withColumnRenamed("node", "fp"), "roots")
     # the roots themselves are not among the nodes
     linked = roots.union(roots.select("root", "root").distinct())
-    ids = linked.join(groups, "fp").groupBy("root").agg(F.min("least").alias("linked_least"))
-    linked = linked.join(ids, "root").select("fp", "root", "linked_least")
-    known = groups.join(linked, "fp", "left").select(
+    ids = linked.join(by_shuffle(groups), "fp").groupBy("root").agg(F.min("least").alias("linked_least"))
+    linked = linked.join(by_shuffle(ids), "root").select("fp", "root", "linked_least")
+    known = groups.join(by_shuffle(linked), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_least")).alias("component_id")
     )
-    return rows.join(known, "fp")
+    return rows.join(by_shuffle(known), "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -159,4 +161,4 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, id_column: str = "d
     # the row as one column, so that its names cannot clash
     hashed = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
     same = F.col("id").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash") == F.col("kept_hash_"))
-    return hashed.join(first, same, "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
+    return hashed.join(by_shuffle(first), same, "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")

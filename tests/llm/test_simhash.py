@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from cadenza.llm import simhash
+from cadenza.llm import graph, simhash
 
 
 def plain_fingerprint(text, width=3):
@@ -114,3 +114,20 @@ def test_counts_bound_the_distance(spark):
         fields = [((r.ca >> s) & 3, (r.cb >> s) & 3) for s in range(0, 64, 2)]
         assert sum(abs(x - y) for x, y in fields) <= (r.a ^ r.b).bit_count()
         assert sum(x for x, _ in fields) == r.a.bit_count()
+
+
+def test_no_table_of_a_row_per_fingerprint_is_broadcast(spark, monkeypatch):
+    """Exploded grid points look as small as the fingerprints they are made of, so no join is left to Spark's estimate."""
+    plans, write = [], simhash.cut
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(graph, "cut", seen)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3 * 7 + j) % 50}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    for df in (simhash.near_duplicates(docs), simhash.without_near_duplicates(docs)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
