@@ -1,10 +1,13 @@
 """Similarity and neighbours against dense matrices, in particular with hot items."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import dense
 from cadenza.operators import neighbors, pairs, similarity
+from cadenza.plans.materialize import cut
 
 SCHEMA = "user_id long, item_id long, w long"
 
@@ -244,3 +247,55 @@ def test_levels_of_small_items_are_not_told_apart(spark, monkeypatch):
     assert sent == [1, 1]
     assert sorted_rows(neighbors.top_neighbors(rows, everybody(spark, 46), listed_raters=5, block_rows=2)) == small
     assert sent[2] > 1
+
+
+@pytest.mark.parametrize("part_raters", [1000, 3])
+@pytest.mark.parametrize("name", [int, "u{:03}".format, lambda u: u - 20])
+def test_users_in_parts_with_packed_lists(spark, monkeypatch, name, part_raters):
+    """Users of more than two items are split into parts by partner, of items in pieces too, whatever their ids are."""
+    monkeypatch.setattr(similarity, "PART_ITEMS", 2)
+    rows = dense.random_rows(7, per_user=6, popular=0.6)
+    sim = dense.cosines(dense.matrix(rows, range(46), range(30)))
+    kind = "string" if isinstance(name(0), str) else "long"
+    df = spark.createDataFrame([(name(u), i, w) for u, i, w in rows], f"user_id {kind}, item_id long, w long")
+    want = sorted((name(u), name(v), sim.loc[u, v]) for u in range(46) for v in range(46) if u != v and sim.loc[u, v] > 0)
+    assert sorted_rows(similarity.similarity(df, part_raters)) == want
+
+
+def test_lists_are_packed(spark):
+    """A list takes the bytes of its largest value for each of them, with half of it only what comes after the member's own."""
+    rows = [(u, 0, 1 + u) for u in range(300)]
+    placed = similarity._placed(similarity.with_norms(frame(spark, rows)), ["n"], ["n"], None, half=True)
+    sizes = placed.select("user_id", "raters", *[F.octet_length(c).alias(c) for c in ("other_id", "w_other", "n_other")]).collect()
+    assert sorted(tuple(r) for r in sizes) == [(u, n, 2 * n, 2 * n, 3 * n) for u in range(299) for n in [299 - u]]
+
+
+def test_pairs_are_summed_in_rounds(spark, monkeypatch):
+    """Many pairs are shuffled some users at a time, with the same result."""
+    written, write = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(similarity, "LEAST_ROUND", 60)
+    monkeypatch.setattr(similarity, "ROUND_ENTRIES", 2)
+    rows = dense.random_rows(4, per_user=5, popular=0.3)
+    m = dense.matrix(rows, range(46), range(30))
+    assert sorted_rows(neighbors.top_neighbors(frame(spark, rows), everybody(spark, 46))) == sorted(dense.neighbors(m))
+    assert written.count("round") > 2
+    sim = dense.cosines(m)
+    got = sorted_rows(similarity.similar_users(frame(spark, rows), 0.3, 4))
+    assert got == sorted((u, v, sim.loc[u, v]) for u in m.index for v in m.index if u != v and sim.loc[u, v] >= 0.3)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffles(), spark.conf.get(setting)
+    cut(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting) == kept
