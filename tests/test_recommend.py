@@ -84,6 +84,39 @@ def test_matrix_blocks_made_wide_last(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "blocks").glob("block=*/*.csv"))) <= 6 + 6
 
 
+def test_matrix_lines_are_those_of_the_wide_rows(spark, tmp_path):
+    """Lines put together from sparse rows are the same text as the wide rows written cell by cell, and both are read."""
+    odd = ["a,b", 'c"d', " e ", "f", "7", "", "'", "g\\h"]
+    rows = [(u, i, w) for u in odd[:6] for i, w in ((0, 5), (3, -12), (4, 100), (11, 0), (12, 7))]
+    df = spark.createDataFrame([*rows, (None, 2, 9), ("f", 5, None)], "user_id string, item_id long, w long")
+    users = spark.createDataFrame([(u,) for u in [*odd, None]], "id string")
+    blocks, index = matrix.wide_blocks(df, users, spark.range(13), 5)
+    matrix.write_blocks(blocks, index, str(tmp_path / "lines"))
+    matrix.write_blocks(blocks.select("*"), index, str(tmp_path / "cells"))
+
+    def text(name):
+        return sorted((f.parent.name, line) for f in (tmp_path / name / "blocks").glob("block=*/*.csv") for line in f.read_text().splitlines()[1:])
+
+    assert text("lines") == text("cells") and len(text("lines")) == 9 * 3
+    assert {f.read_text().splitlines()[0] for f in (tmp_path / "lines/blocks").glob("*/*.csv")} == {"user_id,c0,c1,c2,c3,c4"}
+    names = [f"c{i}" for i in range(5)]
+    csv = spark.read.schema("user_id string, " + ", ".join(f"{c} long" for c in names) + ", block int").option("header", True).csv(str(tmp_path / "cells/blocks"))
+    cells = csv.select("user_id", "block", F.posexplode(F.array(*names)).alias("place", "w")).where("w <> 0")
+    want = sorted_rows(cells.join(index, ["block", "place"]).select(F.coalesce("user_id", F.lit("-")), "item_id", "w"))
+    for name in ("lines", "cells"):
+        got = matrix.read_blocks(spark, str(tmp_path / name), "string", columns=5)
+        assert sorted_rows(got.select(F.coalesce("user_id", F.lit("-")), "item_id", "w")) == want
+    assert len(want) == 24
+
+
+def test_blocks_are_not_read_cell_by_cell(spark, tmp_path):
+    """No row of as many values as a block has columns is made on reading."""
+    df = spark.createDataFrame([(1, 2, 3)], "user_id long, item_id long, w long")
+    matrix.write_blocks(*matrix.wide_blocks(df, spark.range(4), spark.range(9), 5), str(tmp_path))
+    found = matrix.read_blocks(spark, str(tmp_path), columns=5)
+    assert "c4#" not in found._jdf.queryExecution().toString() and [tuple(r) for r in found.collect()] == [(1, 2, 3)]
+
+
 def test_triangle_export(spark, tmp_path):
     rows = [(u, v, 1 / (u + v + 3)) for u in range(12) for v in range(12) if u != v]
     df = spark.createDataFrame(rows, "user_id long, other_id long, cos double")
