@@ -117,6 +117,32 @@ def test_blocks_are_not_read_cell_by_cell(spark, tmp_path):
     assert "c4#" not in found._jdf.queryExecution().toString() and [tuple(r) for r in found.collect()] == [(1, 2, 3)]
 
 
+@pytest.mark.parametrize("most", [10**5, 3])
+def test_offers_of_short_lists_are_not_broadcast(spark, monkeypatch, most):
+    """The exploded offers of all short lists meet the few lowest items, which alone may be broadcast, if they are few."""
+    monkeypatch.setattr(recommend, "BROADCAST_ITEMS", most)
+    head = spark.createDataFrame([(0, 1, 5, 9)], "user_id long, rank int, item_id long, w long")
+    mine = spark.createDataFrame([(u, u % 7, 1) for u in range(50)], "user_id long, item_id long, w long")
+    users, items = spark.range(50).select(F.col("id").alias("user_id")), spark.range(200).select(F.col("id").alias("item_id"))
+    page = recommend.fill_page(head, mine, users, items, 1, 4)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "HashJoin [position" in line and "BuildLeft" in line] == []
+    assert ("BroadcastHashJoin [position" in plan) == (most > 3)
+    got = {}
+    for u, _, i, _ in sorted(tuple(r) for r in page.collect()):
+        got.setdefault(u, []).append(i)
+    assert got == {u: ([5] if u == 0 else []) + [i for i in range(9) if i != u % 7 and not (u == 0 and i == 5)][: 3 if u == 0 else 4] for u in range(50)}
+
+
+def test_ratings_are_not_broadcast_to_sets_of_neighbours(spark):
+    near = spark.createDataFrame([(0, 1, 1, 0.0), (1, 1, 0, 0.0), (2, 1, 0, 0.5)], "user_id long, rank int, other_id long, cos double")
+    rows = spark.createDataFrame([(0, 7, 3), (0, 8, 4), (2, 8, 1)], "user_id long, item_id long, w long")
+    found = recommend.recommend(near, rows, 1, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [other_id" not in plan and "SortMergeJoin [other_id" in plan
+    assert sorted_rows(found) == [(1, 1, 8, 4), (1, 2, 7, 3), (2, 1, 7, 3)]
+
+
 def test_triangle_export(spark, tmp_path):
     rows = [(u, v, 1 / (u + v + 3)) for u in range(12) for v in range(12) if u != v]
     df = spark.createDataFrame(rows, "user_id long, other_id long, cos double")
